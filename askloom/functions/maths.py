@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from askloom.functions.text import let
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -22,8 +24,7 @@ def norm(a) -> Column:
 
 
 def l2_normalize(a) -> Column:
-    n = norm(a)
-    return F.transform(_col(a), lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n))
+    return let(norm(a), lambda n: F.transform(_col(a), lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n)))
 
 
 def clip(x, lo, hi) -> Column:
@@ -54,19 +55,16 @@ def f1(p, r) -> Column:
 
 
 def softmax(values) -> Column:
-    v = _col(values)
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
+    shifted = let(F.array_max(_col(values)), lambda top: F.transform(_col(values), lambda x: F.exp(x - top)))
+    return let(shifted, lambda e: let(
+        F.aggregate(e, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def overlap(a, b) -> Column:
     """Share of the distinct tokens of ``a`` that occur in ``b``; 0 when either is empty."""
-    a, b = F.array_distinct(_col(a)), _col(b)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(
-        F.size(F.array_intersect(a, b)) / F.size(a)
-    )
+    return let(F.array_distinct(_col(a)), lambda x: let(_col(b), lambda y: F.when(
+        (F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)
+    ).otherwise(F.size(F.array_intersect(x, y)) / F.size(x))))
 
 
 def length_score(n, lo: int = 15, hi: int = 80) -> Column:

@@ -23,23 +23,28 @@ def table_like(c) -> Column:
     """Does the text look like a table or a list rather than prose?"""
     t = _col(c)
     lines = F.filter(F.split(t, "\n"), lambda x: tx.strip(x) != "")
-    n = F.size(lines)
-
-    def share(test):
-        return F.size(F.filter(lines, test)) / n
-
     code = code_like(t)
     legal = F.regexp_count(t, F.lit(fixed.LEGAL_CITE_PATTERN)) >= 3
     stops = tx.count_char(t, ".") + tx.count_char(t, "!") + tx.count_char(t, "?")
     reserved = (F.length(t) - F.length(F.replace(F.lower(t), F.lit("reserved"), F.lit("")))) / 8
     digits = F.length(t) - F.length(F.regexp_replace(t, "[0-9]", ""))
+
+    def by_lines(ls):
+        n = F.size(ls)
+
+        def share(test):
+            return F.size(F.filter(ls, test)) / n
+
+        return (
+            ((n >= 6) & (share(lambda x: tx.count_char(x, "|") >= 2) > 0.6) & ~code)
+            | ((n >= 6) & (share(lambda x: tx.count_char(x, "\t") >= 2) > 0.6))
+            | ((n >= 8) & ~code & (share(lambda x: tx.word_count(x) <= 3) > 0.75) & (stops < 3))
+        )
+
     return (
         F.when(tx.strip(t) == "", True)
         .when(reserved > 10, True)
-        .when(n == 0, True)
-        .when((n >= 6) & (share(lambda x: tx.count_char(x, "|") >= 2) > 0.6) & ~code, True)
-        .when((n >= 6) & (share(lambda x: tx.count_char(x, "\t") >= 2) > 0.6), True)
-        .when((n >= 8) & ~code & (share(lambda x: tx.word_count(x) <= 3) > 0.75) & (stops < 3), True)
+        .when(tx.let(lines, by_lines), True)
         .when((F.length(t) > 300) & ~code & ~legal & (digits / F.length(t) > 0.55), True)
         .when((tx.word_count(t) > 200) & (stops == 0) & ~code & ~legal, True)
         .otherwise(False)
@@ -106,18 +111,16 @@ def valid_pair(q, a) -> Column:
 
 def grounded_18(a, chunk) -> Column:
     """At least 18 % of the answer's content tokens in the chunk, else 30 % of its bigrams."""
-    at = tx.content_tokens(a)
-    ct = tx.tokens_word(chunk)
-    shared = F.size(F.filter(at, lambda t: F.array_contains(ct, t)))
-    abg = tx.ngrams(at, 2)
-    cbg = tx.ngrams(F.filter(ct, lambda t: F.length(t) > 2), 2)
-    shared_bg = F.size(F.filter(abg, lambda b: F.array_contains(cbg, b)))
-    return (
-        F.when(F.size(at) == 0, False)
-        .when(shared / F.size(at) >= 0.18, True)
-        .when(F.size(abg) == 0, False)
-        .otherwise(F.coalesce(F.try_divide(shared_bg, F.size(abg)), F.lit(0.0)) >= 0.30)
-    )
+    def share(xs, ys):
+        common = F.size(F.filter(xs, lambda x: F.array_contains(ys, x)))
+        return F.coalesce(F.try_divide(common, F.size(xs)), F.lit(0.0))
+
+    def test(at, ct):
+        pairs = tx.let(tx.ngrams(at, 2), lambda ab: tx.let(
+            tx.ngrams(F.filter(ct, lambda t: F.length(t) > 2), 2), lambda cb: share(ab, cb) >= 0.30))
+        return F.when(F.size(at) == 0, False).when(share(at, ct) >= 0.18, True).otherwise(pairs)
+
+    return tx.let(tx.content_tokens(a), lambda at: tx.let(tx.tokens_word(chunk), lambda ct: test(at, ct)))
 
 
 def answer_depth(a) -> Column:

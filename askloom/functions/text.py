@@ -21,6 +21,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also where the body uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c) -> Column:
     """Remove white space at both ends, line breaks included."""
     return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
@@ -76,21 +81,19 @@ def long_sentences(c, min_words: int = 5) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Space-joined runs of ``n`` tokens; none when there are fewer."""
-    size = F.size(tokens)
-    return F.when(
-        size >= n,
-        F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+    return let(tokens, lambda t: F.when(
+        F.size(t) >= n,
+        F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " ")),
+    ).otherwise(F.array().cast("array<string>")))
 
 
 def word_shingles(c, n: int = fixed.SHINGLE_WORDS) -> Column:
     """Lower-cased word n-grams; a shorter text is one shingle, an empty one none."""
-    w = words(F.lower(_col(c)))
-    return (
+    return let(words(F.lower(_col(c))), lambda w: (
         F.when(F.size(w) >= n, ngrams(w, n))
         .when(F.size(w) > 0, F.array(F.array_join(w, " ")))
         .otherwise(F.array().cast("array<string>"))
-    )
+    ))
 
 
 def strip_citations(c, kind: str = "any_id") -> Column:
@@ -190,15 +193,14 @@ def multi_part_by_word(c) -> Column:
 def split_sub_queries(c, limit: int = fixed.MAX_SUB_QUERIES) -> Column:
     """Pieces between separators, question marks restored, case-insensitively distinct, at most ``limit``."""
     pieces = F.filter(F.transform(F.split(_col(c), SEPARATORS), strip), lambda p: p != "")
-    last = F.size(pieces) - 1
-    repaired = F.transform(
-        pieces,
-        lambda p, i: F.when((i < last) & ~F.endswith(p, F.lit("?")), F.concat(F.regexp_replace(p, r"\.+$", ""), F.lit("?"))).otherwise(p),
-    )
+    repaired = let(pieces, lambda ps: F.transform(
+        ps,
+        lambda p, i: F.when((i < F.size(ps) - 1) & ~F.endswith(p, F.lit("?")), F.concat(F.regexp_replace(p, r"\.+$", ""), F.lit("?"))).otherwise(p),
+    ))
     bare = F.filter(F.transform(repaired, lambda p: strip(F.regexp_replace(p, r"^[-*]+|[-*]+$", ""))), lambda p: p != "")
-    low = F.transform(bare, lambda p: F.lower(p))
-    distinct = F.filter(bare, lambda p, i: F.array_position(low, F.lower(p)) == i + 1)
-    return F.when(F.size(distinct) == 0, F.array(strip(c))).otherwise(F.slice(distinct, 1, limit))
+    return let(bare, lambda b: let(F.transform(b, lambda p: F.lower(p)), lambda low: let(
+        F.filter(b, lambda p, i: F.array_position(low, F.lower(p)) == i + 1),
+        lambda d: F.when(F.size(d) == 0, F.array(strip(c))).otherwise(F.slice(d, 1, limit)))))
 
 
 def split_labelled(c) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from askloom.functions import fixed
 from askloom.functions import text as tx
+from askloom.util import spread
 
 
 @dataclass
@@ -29,7 +30,7 @@ def build_index(chunks: DataFrame, doc: str, text: str = "text", epsilon: float
     goes through a second shuffle. (``explode_outer``: a plain explode would make the
     optimizer tokenise once more in a filter in front of the shuffle.)
     """
-    placed = chunks.select(doc, text).repartition(doc)
+    placed = spread(chunks.select(doc, text), doc)
     tokens = placed.select(doc, tx.tokens_bm25(text).alias("_t"))
     postings = (
         tokens.select(doc, F.size("_t").alias("dl"), F.explode_outer("_t").alias("term"))
@@ -59,4 +60,4 @@ def load_index(spark: SparkSession, path: str, doc: str, doc_type: str = "bigint
     postings = spark.read.schema(f"{doc} {doc_type}, dl int, term string, tf bigint").parquet(f"{path}/postings")
     terms = spark.read.schema("term string, df bigint, ctf bigint, idf double").parquet(f"{path}/terms")
     totals = spark.read.schema("n_docs bigint, avgdl double, avg_idf double").parquet(f"{path}/totals")
-    return LexicalIndex(postings.repartition(doc), terms, totals, doc)
+    return LexicalIndex(spread(postings, doc), terms, totals, doc)

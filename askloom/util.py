@@ -71,3 +71,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Place rows by key over all shuffle partitions.
+
+    The number is given explicitly so that AQE does not merge partitions by their size in
+    bytes: the work that follows (tokenising, matching) is heavy per byte.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
