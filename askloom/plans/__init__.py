@@ -1,6 +1,6 @@
 """Registered queries (each with its oracle) over the test tables."""
 
-from askloom.plans import q_retrieval, q_text  # noqa: F401
+from askloom.plans import q_retrieval, q_sources, q_text  # noqa: F401
 from askloom.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

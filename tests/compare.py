@@ -47,8 +47,10 @@ def table_of(cols, rows):
 
 def compare(spark, con, folder, entry):
     """(rows, message); the message is empty when both sides agree."""
+    start = time.time()
     df = entry.run(spark, folder)
     left = table_of(df.columns, [tuple(r) for r in df.collect()])
+    compare.spark_seconds = time.time() - start
     if entry.sql is None:
         return len(left[1]), ""
     cur = con.execute(entry.sql)
@@ -78,7 +80,7 @@ if __name__ == "__main__":
             rows, msg = -1, f"{type(exc).__name__}: {str(exc)[:1500]}"
         kind = "ok" if not msg else "FAIL"
         oracle = "" if QUERIES[n].sql else " (rows only)"
-        print(f"{kind:4} {n:32} {rows:7} rows {time.time() - t:6.2f}s{oracle} {msg}", flush=True)
+        print(f"{kind:4} {n:32} {rows:7} rows spark {getattr(compare, "spark_seconds", 0):6.2f}s all {time.time() - t:6.2f}s{oracle} {msg}", flush=True)
         if msg:
             failed.append(n)
     print(f"{len(names) - len(failed)} of {len(names)} agree; failed: {failed}")
