@@ -67,35 +67,32 @@ def chunk_quality(c, title=None) -> Column:
     return F.when(wc < 30, F.lit(0.0)).otherwise(score)
 
 
-def qtype_scores(c) -> dict[str, Column]:
-    """Trigger counts per question type over the largest count."""
-    counts = {k: tx.count_phrases(c, v) for k, v in fixed.QTYPE_TRIGGERS.items()}
-    top = F.greatest(*counts.values())
-    return {k: v / F.when(top == 0, 1).otherwise(top) for k, v in counts.items()}
-
-
 def choose_qtype(c, coin1: Column, coin2: Column, coin3: Column) -> Column:
     """Question type: 15 % multi_hop, then 10 % comparison, else a weighted draw from the best two.
 
-    The three coins are numbers in [0, 1); pass hashes of the chunk id so reruns agree.
+    Trigger counts are taken over the largest count. The three coins are numbers in
+    [0, 1); pass hashes of the chunk id so reruns agree.
     """
-    s = qtype_scores(c)
-    order = [k for k in s if k not in ("multi_hop", "comparison")]
-    ranked = F.reverse(F.array_sort(F.array(*[
-        F.struct(s[k].alias("score"), F.lit(-i).alias("pos"), F.lit(k).alias("qtype")) for i, k in enumerate(order)
-    ])))
-    live = F.filter(ranked, lambda x: x["score"] > 0)
-    first, second = F.get(live, F.lit(0)), F.get(live, F.lit(1))
-    w1, w2 = first["score"] + 0.1, second["score"] + 0.1
+    names = list(fixed.QTYPE_TRIGGERS)
+    counts = F.array(*[tx.count_phrases(c, fixed.QTYPE_TRIGGERS[k]) for k in names])
     spare = F.get(F.array(F.lit("policy"), F.lit("factoid"), F.lit("eligibility")), F.floor(coin3 * 3).cast("int"))
-    return (
-        F.when(coin1 < 0.15, F.lit("multi_hop"))
-        .when(coin2 < 0.10, F.lit("comparison"))
-        .when(F.size(live) == 0, spare)
-        .when(F.size(live) == 1, first["qtype"])
-        .when(coin3 * (w1 + w2) < w1, first["qtype"])
-        .otherwise(second["qtype"])
-    )
+
+    def ranked(n):
+        top = F.greatest(F.array_max(n), F.lit(1))
+        rows = F.array(*[
+            F.struct((F.get(n, F.lit(i)) / top).alias("score"), F.lit(-i).alias("pos"), F.lit(k).alias("qtype"))
+            for i, k in enumerate(names) if k not in ("multi_hop", "comparison")])
+        return F.reverse(F.array_sort(F.filter(rows, lambda x: x["score"] > 0)))
+
+    def draw(live):
+        first, second = F.get(live, F.lit(0)), F.get(live, F.lit(1))
+        w1, w2 = first["score"] + 0.1, second["score"] + 0.1
+        return (
+            F.when(F.size(live) == 0, spare).when(F.size(live) == 1, first["qtype"])
+            .when(coin3 * (w1 + w2) < w1, first["qtype"]).otherwise(second["qtype"]))
+
+    weighted = tx.let(counts, lambda n: tx.let(ranked(n), draw))
+    return F.when(coin1 < 0.15, F.lit("multi_hop")).when(coin2 < 0.10, F.lit("comparison")).otherwise(weighted)
 
 
 # ---- question/answer validation -------------------------------------------

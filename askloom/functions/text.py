@@ -7,6 +7,8 @@ All of these stay inside the JVM. ``\\p{L}``/``\\p{N}`` classes are used instead
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import add, or_
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
@@ -123,17 +125,12 @@ def capped(c, limit: int = fixed.CITE_TEXT_MAX) -> Column:
 
 def any_phrase(c, phrases: Iterable[str]) -> Column:
     """True when the lower-cased text contains one of the phrases."""
-    low = F.lower(_col(c))
-    out = F.lit(False)
-    for p in phrases:
-        out = out | F.contains(low, F.lit(p))
-    return out
+    return let(F.lower(_col(c)), lambda low: reduce(or_, (F.contains(low, F.lit(p)) for p in phrases)))
 
 
 def count_phrases(c, phrases: Iterable[str]) -> Column:
     """How many of the phrases the lower-cased text contains."""
-    low = F.lower(_col(c))
-    return sum((F.contains(low, F.lit(p)).cast("int") for p in phrases), F.lit(0))
+    return let(F.lower(_col(c)), lambda low: reduce(add, (F.contains(low, F.lit(p)).cast("int") for p in phrases)))
 
 
 def count_char(c, ch: str) -> Column:

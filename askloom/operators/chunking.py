@@ -30,28 +30,29 @@ def chunk_windows(
         *keys,
         F.regexp_extract_all(text, F.lit(r"\S+\s*"), 0).alias("_w"),
         F.length(F.regexp_extract(text, r"^\s*", 0)).alias("_lead"),
-    ).filter(F.size("_w") >= minimum)
+    )
     n = F.size("_w")
     lengths = pieces.withColumn(
         "_len",
         F.transform(
-            F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")),
+            F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / step).cast("int"), F.lit(0))),
             lambda i: F.length(F.array_join(F.slice(F.col("_w"), i * step + 1, step), "")),
         ),
     )
     n_windows = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step).cast("int") + 1)
-    windows = lengths.select(
-        *keys, "_w", "_lead", "_len", F.explode(F.sequence(F.lit(0), n_windows - 1)).alias("_i")
-    )
+    # Short blocks get no windows here rather than in a filter, which would split the text twice.
+    indexes = F.when(n >= minimum, F.sequence(F.lit(0), n_windows - 1))
+    windows = lengths.select(*keys, "_w", "_lead", "_len", F.explode_outer(indexes).alias("_i")).filter("_i IS NOT NULL")
     body = windows.select(
         *keys,
         F.col("_i").alias("chunk_index"),
         F.slice("_w", F.col("_i") * step + 1, F.lit(size)).alias("_p"),
         (F.col("_lead") + F.aggregate(F.slice("_len", F.lit(1), F.col("_i")), F.lit(0), lambda s, x: s + x)).alias("span_start"),
     )
+    if overlap < minimum:  # otherwise even the last window is long enough
+        body = body.filter(F.size("_p") >= minimum)
     return (
-        body.filter(F.size("_p") >= minimum)
-        .withColumn("text", F.regexp_replace(F.array_join("_p", ""), r"\s+$", ""))
+        body.withColumn("text", F.regexp_replace(F.array_join("_p", ""), r"\s+$", ""))
         .select(
             *keys, "chunk_index", "text", F.size("_p").alias("token_count"), "span_start",
             (F.col("span_start") + F.length("text")).alias("span_end"),

@@ -29,8 +29,7 @@ def shingle_sets(chunks: DataFrame, key: str, text: str = "text", n: int = fixed
     """(key, shingles, sig): distinct shingle hashes per row, and a hash of the whole set."""
     hashes = F.array_sort(F.array_distinct(F.transform(tx.word_shingles(text, n), lambda s: F.xxhash64(s))))
     return (
-        chunks.select(F.col(key).alias("key"), hashes.alias("shingles"))
-        .filter(F.size("shingles") > 0)
+        chunks.filter(F.col(text).rlike(r"\S")).select(F.col(key).alias("key"), hashes.alias("shingles"))
         .withColumn("sig", F.sha2(F.array_join(F.transform("shingles", lambda x: x.cast("string")), ","), 256))
     )
 

@@ -154,10 +154,10 @@ def collection_stats(spark, sf):
 
 @query("purge_stale_collections", """
     SELECT collection, count(*) AS n FROM (SELECT CASE WHEN event_type = 'view' THEN 'main_' ELSE 'user_' END || user_id AS collection, ts, value FROM events)
-    GROUP BY collection HAVING NOT (collection LIKE 'user_%' AND max(value) < 40 AND max(ts) < TIMESTAMP '2024-01-30 10:00:00')""")
+    GROUP BY collection HAVING NOT (collection LIKE 'user_%' AND max(value) < 60 AND max(ts) < TIMESTAMP '2024-01-30 10:00:00')""")
 def purge_stale_collections(spark, sf):
     chunks = table(spark, sf, "events").select(F.concat(F.when(F.col("event_type") == "view", "main_").otherwise("user_"), F.col("user_id").cast("string")).alias("collection"), "ts", "value")
-    seen = chunks.groupBy("collection").agg(F.when(F.max("value") < 40, F.max("ts")).alias("created_at"))
+    seen = chunks.groupBy("collection").agg(F.when(F.max("value") < 60, F.max("ts")).alias("created_at"))
     kept = stores.purge_stale(chunks, seen, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"))
     return kept.groupBy("collection").agg(F.count("*").alias("n"))
 

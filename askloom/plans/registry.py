@@ -17,7 +17,12 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 @dataclass(frozen=True)
 class Entry:
     run: QueryFn
-    sql: str | None
+    statement: str | None
+    uses: tuple[str, ...] = ()
+
+    @property
+    def sql(self) -> str | None:
+        return None if self.statement is None else compose(self.statement, self.uses)
 
 
 QUERIES: dict[str, Entry] = {}
@@ -55,7 +60,7 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
     def register(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = Entry(fn, None if sql is None else compose(sql, uses))
+        QUERIES[name] = Entry(fn, sql, uses)
         return fn
 
     return register
