@@ -244,7 +244,7 @@ relation("talk", f"""
 
 @query("chitchat_class", rf"""
     SELECT conv_id, turn, CASE WHEN s = '' OR regexp_matches(s, '(?i){fixed.REAL_QUESTION.replace("'", "''")}') THEN NULL
-      {" ".join(f"WHEN regexp_matches(s, '(?i)^\s*{p.replace(chr(39), chr(39) * 2)}[\s!?.]*$') THEN '{n}'" for n, p in fixed.SMALL_TALK.items())} END AS kind
+      {" ".join(rf"WHEN regexp_matches(s, '(?i)^\s*{p.replace(chr(39), chr(39) * 2)}[\s!?.]*$') THEN '{n}'" for n, p in fixed.SMALL_TALK.items())} END AS kind
     FROM (SELECT conv_id, turn, {sql_strip('message')} AS s FROM talk)""", ("talk",))
 def chitchat_class(spark, sf):
     m = F.when((F.col("conv_id") + F.col("turn")) % 2 == 0, F.get(F.array(*[F.lit(s) for s in SMALL]), (F.col("conv_id") % 8).cast("int"))).otherwise(F.col("text"))
