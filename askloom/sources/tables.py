@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from askloom.util import settle
+
 CITATION = (
     "struct<doc_id:string,chunk_id:string,span_start:int,span_end:int,cited_text:string,source:string,"
     "page_number:int,source_url:string,verified:boolean>"
@@ -49,4 +51,4 @@ TABLES = {
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
+    return settle(spark).read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
