@@ -1,10 +1,134 @@
-"""Evaluation tables: per query, per model, ablations, side-loaded results."""
+"""Evaluation tables: per query, per model, ablations, significance, side-loaded results."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from askloom.functions import maths
+from askloom.functions import text as tx
+from askloom.operators import metrics as m
+
+METRICS = ("recall_at_20", "grounding", "citation_f1", "rouge1", "rouge2", "ctx_rouge1", "completeness", "citation_coverage", "fcrs")
+
+
+def per_query(responses: DataFrame, gold: DataFrame, query: str = "query_id") -> DataFrame:
+    """One metric row per (model_tag, query) in one pass after the join with gold.
+
+    responses: model_tag, query, answer, retrieved (ids), citations (doc_id, span_start,
+    span_end, cited_text), tools, ticket_id, confidence, iterations, latency_ms, ttft_ms.
+    gold: query, gold_answer, gold_ids, gold_citations, needed_tool, should_escalate.
+    """
+    j = responses.join(gold, query)
+    gold_text = tx.strip_citations(F.coalesce("gold_answer", F.lit("")), "hex8")
+    j = j.withColumns({
+        "gold_text": gold_text,
+        "gold_docs": F.transform("gold_citations", lambda c: c["doc_id"]),
+        "context": F.array_join(F.transform(F.filter("citations", lambda c: F.coalesce(c["cited_text"], F.lit("")) != ""), lambda c: c["cited_text"]), " "),
+    })
+    j = j.withColumns({
+        "key_points": tx.sentences("gold_text"), "_at": tx.tokens_alnum("answer"), "_gt": tx.tokens_alnum("gold_text"), "_ct": tx.tokens_alnum("context"),
+        "cf": m.citation_scores("citations", "gold_citations"),
+    })
+    j = j.withColumns({
+        "completeness": m.completeness("answer", "key_points"),
+        "citation_coverage": m.citation_coverage("answer", "citations", "gold_docs"),
+        "tool_appropriateness": m.tool_appropriateness("tools", "needed_tool"),
+        "escalation_accuracy": m.escalation_accuracy("ticket_id", "should_escalate"),
+    })
+    rouge = lambda p, t, n, f: F.round(m.rouge_n(p, t, n)[f], 4)
+    return j.select(
+        "model_tag", query, "latency_ms", "ttft_ms", "iterations", "confidence",
+        F.when(F.size("gold_ids") > 0, maths.recall("retrieved", "gold_ids", 20)).alias("recall_at_20"),
+        m.grounding("answer", "context").alias("grounding"),
+        F.col("cf.f1").alias("citation_f1"), F.col("cf.precision").alias("citation_precision"), F.col("cf.recall").alias("citation_recall"),
+        F.when(F.col("gold_text") != "", rouge("_at", "_gt", 1, "f1")).alias("rouge1"),
+        F.when(F.col("gold_text") != "", rouge("_at", "_gt", 2, "f1")).alias("rouge2"),
+        rouge("_ct", "_at", 1, "recall").alias("ctx_rouge1"),
+        F.when(F.col("needed_tool").isNotNull(), m.tool_name_match("tools", "needed_tool")).alias("tool_name_match"),
+        "completeness", "citation_coverage", "tool_appropriateness", "escalation_accuracy",
+        m.fcrs("completeness", "citation_coverage", "tool_appropriateness", "escalation_accuracy", "needed_tool", "should_escalate").alias("fcrs"),
+        F.col("ticket_id").isNotNull().alias("escalated"), "should_escalate",
+    )
+
+
+def binary_prf(predicted, gold) -> dict[str, Column]:
+    """Aggregates precision, recall, f1 of two Boolean columns; 0 where undefined."""
+    p, g = (F.col(c) if isinstance(c, str) else c for c in (predicted, gold))
+    tp, fp, fn = F.count_if(p & g), F.count_if(p & ~g), F.count_if(~p & g)
+    return {"precision": m.share(tp, tp + fp), "recall": m.share(tp, tp + fn), "f1": m.share(2 * tp, 2 * tp + fp + fn)}
+
+
+def loop_efficiency(iterations: str = "iterations") -> Column:
+    """Mean iterations; null when no response looped."""
+    return F.when(F.max(iterations) > 0, F.avg(iterations))
+
+
+def aggregate(rows: DataFrame) -> DataFrame:
+    """Per-model means (nulls skipped), latency percentiles, loop efficiency, escalation F1 where any is due."""
+    mean = [F.avg(c).alias(c) for c in (*METRICS, "citation_precision", "citation_recall", "tool_name_match", "tool_appropriateness", "escalation_accuracy")]
+    pct = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95)))
+    tpct = F.percentile("ttft_ms", F.array(F.lit(0.5), F.lit(0.95)))
+    return rows.groupBy("model_tag").agg(
+        F.count("*").alias("n_queries"), *mean, pct.alias("_l"), tpct.alias("_t"), F.avg("latency_ms").alias("latency_mean"),
+        loop_efficiency().alias("loop_efficiency"),
+        F.when(F.max("should_escalate"), binary_prf("escalated", "should_escalate")["f1"]).alias("escalation_f1"),
+    ).withColumns({"latency_p50": F.get("_l", F.lit(0)), "latency_p95": F.get("_l", F.lit(1)), "ttft_p50": F.get("_t", F.lit(0)), "ttft_p95": F.get("_t", F.lit(1))}).drop("_l", "_t")
+
+
+def long_form(summary: DataFrame, columns: list[str]) -> DataFrame:
+    """(model_tag, metric, value) rows."""
+    return summary.unpivot(["model_tag"], columns, "metric", "value")
+
+
+def wide_form(long: DataFrame, tags: list[str]) -> DataFrame:
+    """A row per metric with a column per model."""
+    return long.groupBy("metric").pivot("model_tag", tags).agg(F.first("value"))
+
+
+def ablation(summary: DataFrame, full: str, metric: str = "fcrs") -> DataFrame:
+    """Each variant's metric and its difference from the full system."""
+    base = summary.filter(F.col("model_tag") == full).select(F.col(metric)).scalar()
+    return summary.select("model_tag", F.col(metric), (F.col(metric) - base).alias("delta"))
+
+
+def consistency(answers: DataFrame, query: str, answer: str) -> DataFrame:
+    """Share of a query's answers that equal its most common normalised answer."""
+    norm = F.array_join(tx.tokens_alnum(answer), " ")
+    counts = answers.groupBy(query, F.md5(norm).alias("form")).agg(F.count("*").alias("n"))
+    return counts.groupBy(query).agg((F.max("n") / F.sum("n")).alias("consistency"))
+
+
+# Cumulative probabilities of a Poisson variable with mean 1.
+POISSON1 = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+
+
+def bootstrap_p(rows: DataFrame, reference: str, metric: str = "fcrs", reps: int = 1000, seed: int = 42, query: str = "query_id") -> DataFrame:
+    """Two-sided paired-bootstrap p-value of every model against ``reference``.
+
+    Resampling is done by Poisson weights: a row's weight in a repetition comes from a hash
+    of (query, repetition). Unlike drawing row numbers this needs no numbering and no join,
+    and sums combine before the shuffle, so a model with very many queries is no hot spot.
+    Pairs with a missing value are left out; no pairs gives 1.
+    """
+    ref = rows.filter(F.col("model_tag") == reference).select(query, F.col(metric).alias("_b"))
+    diff = rows.filter(F.col("model_tag") != reference).join(ref, query).select("model_tag", query, (F.col(metric) - F.col("_b")).alias("d"))
+    live = diff.filter("d IS NOT NULL")
+    observed = live.groupBy("model_tag").agg(F.avg("d").alias("observed"))
+    rep = F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")
+    u = maths.hash_unit(F.concat_ws(":", F.col(query).cast("string"), F.col("rep").cast("string")), seed)
+    weight = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON1), F.lit(0))
+    drawn = live.select("model_tag", query, "d", rep).withColumn("w", weight)
+    means = drawn.groupBy("model_tag", "rep").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("mean"))
+    p = means.join(observed, "model_tag").groupBy("model_tag").agg(
+        F.avg(F.when(F.abs(F.coalesce("mean", "observed") - F.col("observed")) >= F.abs("observed"), 1.0).otherwise(0.0)).alias("p_value"))
+    tags = rows.filter(F.col("model_tag") != reference).select("model_tag").distinct()
+    return tags.join(p, "model_tag", "left").select("model_tag", F.coalesce("p_value", F.lit(1.0)).alias("p_value"))
+
+
+def significance(p_values: DataFrame, level: float = 0.05) -> DataFrame:
+    return p_values.withColumn("significant", F.col("p_value") < level)
+
 
 def sideload(summary: DataFrame, detail: DataFrame) -> DataFrame:
     """Per-model results from the detail table where there is one, else from the summary."""

@@ -16,6 +16,7 @@ from askloom.functions import text as tx
 from askloom.operators import chunking, index, retrieve
 from askloom.plans.registry import relation
 from askloom.sources.tables import table
+from askloom.util import broadcast_if, staged
 
 
 def sql_list(values) -> str:
@@ -147,6 +148,53 @@ def qa(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def gold_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Gold per query: the item's text as answer, the documents that contain it with the span, a needed tool, a flag."""
+    pairs = gold(spark, sf)
+    docs, q = corpus(spark, sf).select("doc_id", F.col("text").alias("hay")), queries(spark, sf)
+    at = docs.join(broadcast_if(pairs.join(broadcast_if(q), "query_id"), q, 100), "doc_id")
+    start = (F.instr("hay", F.col("text")) - 1).cast("int")
+    cites = at.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", start.alias("span_start"), (start + F.length("text")).alias("span_end")))).alias("gold_citations"))
+    none = F.array().cast("array<struct<doc_id:bigint,span_start:int,span_end:int>>")
+    k = F.col("query_id")
+    out = q.join(cites, "query_id", "left").select("query_id", F.col("text").alias("gold_answer"), F.coalesce("gold_citations", none).alias("gold_citations"),
+        F.when(k % 3 == 1, "SearchKB").when(k % 3 == 2, "CreateTicket").alias("needed_tool"), (k % 4 == 0).alias("should_escalate"))
+    return out.withColumn("gold_ids", F.transform("gold_citations", lambda c: c["doc_id"]))
+
+
+TAGS = {"b1": 1, "b2": 2, "b3": 3}
+
+
+def responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses of the three baselines: answer = first three sentences of the best document, citations = up to five.
+
+    The two candidate lists are written once and shared by the three baselines.
+    """
+    q = queries(spark, sf)
+    sparse, dense = staged(bm25_top(spark, sf, 40), "sparse"), staged(dense_top(spark, sf, 40), "dense")
+    hybrid = retrieve.fused(retrieve.candidates(dense, sparse), 0.5, 20).select("query_id", "doc_id")
+    reranked5 = retrieve.rerank_topk(retrieve.with_texts(hybrid, corpus(spark, sf), q, 20), 10)
+    lists = {"b1": sparse.filter("rank <= 5"), "b2": dense.filter("rank <= 5"), "b3": retrieve.build_citations(reranked5)}
+    hits = None
+    for tag, df in lists.items():
+        part = df.select(F.lit(tag).alias("model_tag"), "query_id", "doc_id", "rank")
+        hits = part if hits is None else hits.unionByName(part)
+    tag = F.col("model_tag")
+    text = corpus(spark, sf).select("doc_id", "text").join(broadcast_if(hits, q, 20), "doc_id")
+    cite = F.struct("rank", "doc_id", F.lit(0).alias("span_start"), F.when(tag == "b3", 0).otherwise(F.length("text")).alias("span_end"), F.col("text").alias("cited_text"))
+    held = text.groupBy("model_tag", "query_id").agg(F.array_sort(F.collect_list(cite)).alias("citations"))
+    n = F.when(tag == "b1", 1).when(tag == "b2", 2).otherwise(3)
+    k = F.col("query_id")
+    return held.select(
+        "model_tag", "query_id", F.array_join(F.slice(tx.sentences(F.get("citations", F.lit(0))["cited_text"]), 1, 3), " ").alias("answer"),
+        F.transform("citations", lambda c: c["doc_id"]).alias("retrieved"),
+        F.transform("citations", lambda c: F.struct(c["doc_id"].alias("doc_id"), c["span_start"].alias("span_start"), c["span_end"].alias("span_end"), c["cited_text"].alias("cited_text"))).alias("citations"),
+        F.when(tag == "b1", F.array(F.lit("SearchKB"))).when(tag == "b2", F.array(F.lit("SearchKB"), F.lit("WebSearch"))).otherwise(F.array(F.lit("SearchKB"), F.lit("CreateTicket"))).alias("tools"),
+        F.when((tag == "b3") & (k % 5 == 0), F.concat(F.lit("T"), k.cast("string"))).alias("ticket_id"),
+        (((k * 13 + n * 7) % 100) / 100).alias("confidence"), F.when(tag == "b3", k % 3).otherwise(0).cast("int").alias("iterations"),
+        (k * 1.5 + n * 10).alias("latency_ms"), F.when(tag != "b2", k * 0.5 + n).alias("ttft_ms"))
+
+
 relation("corpus", "SELECT doc_id, text, source, lang FROM documents")
 relation("q", "SELECT item_id AS query_id, text FROM benchmark")
 relation("tok", f"SELECT doc_id, {sql_bm25_tokens('text')} AS t FROM corpus", ("corpus",))
@@ -227,3 +275,24 @@ relation("qa", rf"""
            CASE WHEN v % 2 = 0 THEN answer ELSE question END AS chunk,
            {sql_list(KINDS)}[v + 1] AS qtype
     FROM (SELECT *, ((conv_id * 3 + turn) % 7)::INT AS v FROM turns)""", ("turns",))
+
+relation("hits", """
+    SELECT 'b1' AS model_tag, query_id, doc_id, rank FROM bm25 WHERE rank <= 5
+    UNION ALL SELECT 'b2', query_id, doc_id, rank FROM dense WHERE rank <= 5
+    UNION ALL SELECT 'b3', query_id, doc_id, rank FROM b3""", ("bm25", "dense", "b3"))
+relation("cites", """
+    SELECT model_tag, query_id, doc_id, text AS cited_text, 0 AS span_start, CASE WHEN model_tag = 'b3' THEN 0 ELSE length(text) END AS span_end,
+           row_number() OVER (PARTITION BY model_tag, query_id ORDER BY rank) AS pos FROM hits JOIN corpus USING (doc_id)""", ("hits", "corpus"))
+relation("resp", f"""
+    SELECT model_tag, query_id, n, ids, context, array_to_string(({sql_sentences('first_text')})[1:3], ' ') AS answer, ((query_id * 13 + n * 7) % 100) / 100 AS confidence,
+           CASE WHEN n = 3 THEN query_id % 3 ELSE 0 END AS iterations, query_id * 1.5 + n * 10 AS latency_ms, CASE WHEN n <> 2 THEN query_id * 0.5 + n END AS ttft_ms,
+           [['SearchKB'], ['SearchKB', 'WebSearch'], ['SearchKB', 'CreateTicket']][n] AS tools, CASE WHEN n = 3 AND query_id % 5 = 0 THEN 'T' || query_id END AS ticket_id
+    FROM (SELECT model_tag, query_id, substr(model_tag, 2)::INT AS n, list(doc_id ORDER BY pos) AS ids, string_agg(cited_text, ' ' ORDER BY pos) AS context, arg_min(cited_text, pos) AS first_text
+          FROM cites GROUP BY ALL)""", ("cites",))
+relation("gold_cites", """
+    SELECT query_id, doc_id, (instr(corpus.text, q.text) - 1)::INT AS span_start, (instr(corpus.text, q.text) - 1 + length(q.text))::INT AS span_end,
+           row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS gi FROM gold JOIN corpus USING (doc_id) JOIN q USING (query_id)""", ("gold", "corpus", "q"))
+relation("gold_rows", f"""
+    SELECT q.query_id, text AS gold_answer, coalesce(gold_ids, []) AS gold_ids, CASE query_id % 3 WHEN 1 THEN 'SearchKB' WHEN 2 THEN 'CreateTicket' END AS needed_tool, query_id % 4 = 0 AS should_escalate,
+           {sql_sentences("text")} AS key_points
+    FROM q LEFT JOIN (SELECT query_id, list(doc_id ORDER BY gi) AS gold_ids FROM gold_cites GROUP BY 1) USING (query_id)""", ("q", "gold_cites"))

@@ -49,11 +49,10 @@ def compose(sql: str, uses: tuple[str, ...]) -> str:
         return sql.strip()
     head = ",\n".join(f"{n} AS ({RELATIONS[n][1]})" for n in order)
     body = sql.strip()
-    if body.upper().startswith("WITH RECURSIVE "):
-        return f"WITH RECURSIVE {head},\n{body[len('WITH RECURSIVE '):]}"
-    if body.upper().startswith("WITH "):
-        return f"WITH {head},\n{body[len('WITH '):]}"
-    return f"WITH {head}\n{body}"
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(opening):
+            return f"WITH RECURSIVE {head},\n{body[len(opening):]}"
+    return f"WITH RECURSIVE {head}\n{body}"
 
 
 def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):

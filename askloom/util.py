@@ -96,3 +96,24 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     bytes: the work that follows (tokenising, matching) is heavy per byte.
     """
     return df.repartition(int(settle(df.sparkSession).conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def global_rank(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
+    """1-based position in a total order, without sorting everything in one task.
+
+    Rows are placed by range and written once (range bounds come from a sample, so a second
+    evaluation could cut differently); each range is ranked by itself and shifted by the
+    number of rows before it. Only one count per range is brought together. End the order
+    with a unique column.
+    """
+    spark = settle(df.sparkSession)
+    names = [f"_o{i}" for i in range(len(order))]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.withColumns(dict(zip(names, order))).repartitionByRange(n, *names).withColumn("_pid", F.spark_partition_id())
+    placed = staged(placed, "ranges")
+    sizes = placed.groupBy("_pid").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    local = F.row_number().over(Window.partitionBy("_pid").orderBy(*names))
+    ranked = placed.join(F.broadcast(starts), "_pid")  # at most one row per partition
+    return ranked.withColumn(rank, F.col("_start") + local).drop("_pid", "_start", *names)
