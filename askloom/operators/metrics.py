@@ -136,11 +136,15 @@ def citation_scores(predicted, gold) -> Column:
     return tx.let(_c(predicted), lambda ps: tx.let(_c(gold), lambda gs: F.when((F.size(ps) == 0) & (F.size(gs) == 0), one).otherwise(score(ps, gs))))
 
 
+# A capitalised ASCII word with no word character (of any script) on either side.
+PROPER = r"(^|[^\p{L}\p{N}_])[A-Z][a-zA-Z0-9]+($|[^\p{L}\p{N}_])"
+
+
 def factual(sentence) -> Column:
     """A digit, or a capitalised word after the first token."""
     s = tx.strip(sentence)
     tail = F.regexp_extract(s, r"(?s)^\S+\s+(.*)$", 1)
-    return s.rlike(r"\d") | tail.rlike(r"\b[A-Z][a-zA-Z0-9]+\b")
+    return s.rlike(r"\d") | tail.rlike(PROPER)
 
 
 def citation_coverage(answer, citations, gold_docs) -> Column:

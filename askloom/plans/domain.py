@@ -285,7 +285,7 @@ relation("cites", """
            row_number() OVER (PARTITION BY model_tag, query_id ORDER BY rank) AS pos FROM hits JOIN corpus USING (doc_id)""", ("hits", "corpus"))
 relation("resp", f"""
     SELECT model_tag, query_id, n, ids, context, array_to_string(({sql_sentences('first_text')})[1:3], ' ') AS answer, ((query_id * 13 + n * 7) % 100) / 100 AS confidence,
-           CASE WHEN n = 3 THEN query_id % 3 ELSE 0 END AS iterations, query_id * 1.5 + n * 10 AS latency_ms, CASE WHEN n <> 2 THEN query_id * 0.5 + n END AS ttft_ms,
+           CASE WHEN n = 3 THEN query_id % 3 ELSE 0 END AS iterations, query_id * 1.5::DOUBLE + n * 10 AS latency_ms, CASE WHEN n <> 2 THEN query_id * 0.5::DOUBLE + n END AS ttft_ms,
            [['SearchKB'], ['SearchKB', 'WebSearch'], ['SearchKB', 'CreateTicket']][n] AS tools, CASE WHEN n = 3 AND query_id % 5 = 0 THEN 'T' || query_id END AS ticket_id
     FROM (SELECT model_tag, query_id, substr(model_tag, 2)::INT AS n, list(doc_id ORDER BY pos) AS ids, string_agg(cited_text, ' ' ORDER BY pos) AS context, arg_min(cited_text, pos) AS first_text
           FROM cites GROUP BY ALL)""", ("cites",))

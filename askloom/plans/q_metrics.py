@@ -60,7 +60,7 @@ relation("m_cf", """
     SELECT model_tag, query_id, p AS citation_precision, r AS citation_recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS citation_f1
     FROM (SELECT model_tag, query_id, CASE WHEN len(ids) > 0 THEN tp / len(ids) ELSE 0 END AS p, CASE WHEN len(gold_ids) > 0 THEN tp / len(gold_ids) ELSE 0 END AS r
           FROM toks JOIN (SELECT model_tag, query_id, max(tp) AS tp FROM m_walk GROUP BY ALL) USING (model_tag, query_id))""", ("toks", "m_walk"))
-_FACT = r"(regexp_matches(s, '\d') OR regexp_matches(regexp_extract(s, '(?s)^\S+\s+(.*)$', 1), '\b[A-Z][a-zA-Z0-9]+\b'))"
+_FACT = rf"(regexp_matches(s, '\d') OR regexp_matches(regexp_extract(s, '(?s)^\S+\s+(.*)$', 1), '{metrics.PROPER}'))"
 relation("m_cov", f"""
     SELECT model_tag, query_id, CASE WHEN answer = '' THEN 0.0 WHEN nf IS NULL THEN 1.0 WHEN nv IS NULL THEN 0.0 ELSE nc / nf END AS citation_coverage
     FROM resp LEFT JOIN (
@@ -302,7 +302,7 @@ def ece(spark, sf):
 
 @query("reliability_bins", f"""
     SELECT tag, bin, coalesce(n, 0) AS n, coalesce(round(a, 6), 0) AS accuracy, coalesce(round(m, 6), 0) AS confidence
-    FROM (SELECT tag FROM truth GROUP BY tag HAVING count(*) >= 10), (SELECT unnest(range(0, 10))::INT AS bin)
+    FROM (SELECT tag, unnest(range(0, 10))::INT AS bin FROM (SELECT tag FROM truth GROUP BY tag HAVING count(*) >= 10))
     LEFT JOIN (SELECT tag, {sql_bin('c')} AS bin, count(*) AS n, avg((c * 0.9 + quality * 0.1 >= 0.7)::INT) AS a, avg(c) AS m FROM truth GROUP BY 1, 2) USING (tag, bin)""", ("truth",))
 def reliability_bins(spark, sf):
     t = truth(spark, sf).withColumn("q", F.col("c") * 0.9 + F.col("quality") * 0.1)
