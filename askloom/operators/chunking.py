@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from askloom.functions import fixed
 from askloom.sources.records import chunk_id_of
+from askloom.util import balanced
 
 
 def chunk_windows(
@@ -26,7 +27,7 @@ def chunk_windows(
     if not 0 <= overlap < size:
         raise ValueError("overlap must be non-negative and smaller than the window size")
     step = size - overlap
-    pieces = blocks.select(
+    pieces = balanced(blocks).select(
         *keys,
         F.regexp_extract_all(text, F.lit(r"\S+\s*"), 0).alias("_w"),
         F.length(F.regexp_extract(text, r"^\s*", 0)).alias("_lead"),

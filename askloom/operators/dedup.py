@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 
 from askloom.functions import fixed
 from askloom.functions import text as tx
-from askloom.util import cut_lineage, staged
+from askloom.util import balanced, cut_lineage, staged
 
 
 def shingle_sets(chunks: DataFrame, key: str, text: str = "text", n: int = fixed.SHINGLE_WORDS) -> DataFrame:
     """(key, shingles, sig): distinct shingle hashes per row, and a hash of the whole set."""
     hashes = F.array_sort(F.array_distinct(F.transform(tx.word_shingles(text, n), lambda s: F.xxhash64(s))))
     return (
-        chunks.filter(F.col(text).rlike(r"\S")).select(F.col(key).alias("key"), hashes.alias("shingles"))
+        balanced(chunks.select(key, text)).filter(F.col(text).rlike(r"\S")).select(F.col(key).alias("key"), hashes.alias("shingles"))
         .withColumn("sig", F.sha2(F.array_join(F.transform("shingles", lambda x: x.cast("string")), ","), 256))
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from askloom.functions import fixed, maths
 from askloom.functions import text as tx
 from askloom.operators.index import LexicalIndex
-from askloom.util import broadcast_if, spread, top_per_group
+from askloom.util import balanced, broadcast_if, top_per_group
 
 QUERY_BLOCK = 2048
 VECTOR_SHARD = 200_000
@@ -292,7 +292,7 @@ def containing_docs(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item
         item, F.col(text).alias("needle"), F.size(w).alias("n"), F.array_join(F.slice(w, 2, 3), " ").alias("run"), F.get(w, F.lit(1)).alias("word")
     )
     long, mid, short = anchored.filter("n >= 5"), anchored.filter("n >= 3 and n < 5"), anchored.filter("n < 3")
-    body = spread(docs.select(doc, F.col(text).alias("hay")), doc)
+    body = balanced(docs.select(doc, F.col(text).alias("hay")))
     words = F.split("hay", r"\s+")
     hit = F.contains("hay", "needle")
     by_run = body.select(doc, "hay", F.explode_outer(tx.ngrams(words, 3)).alias("run")).join(

@@ -98,6 +98,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(settle(df.sparkSession).conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def balanced(df: DataFrame, limit: int = 8 * BROADCAST_LIMIT) -> DataFrame:
+    """Spread a small scan over all partitions; leave a large one as it is.
+
+    A small table is read by few tasks whatever the cores, and text work is heavy per byte.
+    A large one already comes in many splits, and shuffling it would cost more than it gives.
+    """
+    return spread(df) if fits(df, limit=limit) else df
+
+
 def global_rank(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
     """1-based position in a total order, without sorting everything in one task.
 
