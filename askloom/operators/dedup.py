@@ -6,6 +6,7 @@ rounds over bucket leaders and never forms all pairs of a bucket:
 
 * rows with the same set of shingles are folded into one node first, so a group of copies
   of any size is one row here;
+* in small buckets the few pairs are verified at once, and only similar pairs stay;
 * a node that is the smallest undecided one in every bucket it is in has no undecided
   earlier partner: it is kept and compared with the members of its buckets (a star);
 * what it matches is dropped, the rest goes into the next round.
@@ -106,13 +107,23 @@ def verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return scored.filter(F.col("jaccard") >= threshold)
 
 
-def dropped_nodes(nodes: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
-    """The nodes that keep-first removes. Rounds run until nothing is undecided (exact)."""
+def dropped_nodes(nodes: DataFrame, keys: DataFrame, threshold: float, small: int = 32) -> DataFrame:
+    """The nodes that keep-first removes. Exact: rounds run until nothing is undecided.
+
+    Buckets of up to ``small`` members are paired and verified at once, at most that many
+    pairs per row; only verified pairs go on, each as a bucket of two. Larger buckets are
+    never paired: they go through the leader rounds. Without crowded buckets the number of
+    rounds is the longest chain of truly similar chunks.
+    """
     spark = nodes.sparkSession
-    crowded = keys.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1")
-    live = cut_lineage(keys.join(crowded.select("band"), "band", "left_semi").distinct())
-    node_type = dict(nodes.dtypes)["node"]
-    gone = spark.createDataFrame([], f"node {node_type}")
+    sizes = keys.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = cut_lineage(keys.join(sizes, "band").select("node", "band", "c"))
+    few = shared.filter(F.col("c") <= small)
+    cand = few.select(F.col("node").alias("kept"), "band").join(few.select("node", "band"), "band").filter("kept < node")
+    near = verified(cand.select("kept", "node").distinct(), nodes, threshold)
+    edges = near.select(F.explode(F.array("kept", "node")).alias("node"), F.xxhash64("kept", "node").alias("band"))
+    live = cut_lineage(shared.filter(F.col("c") > small).select("node", "band").unionByName(edges))
+    gone = spark.createDataFrame([], f"node {dict(nodes.dtypes)['node']}")
     while not live.isEmpty():
         first = live.groupBy("band").agg(F.min("node").alias("kept"))
         led = live.join(first, "band")
@@ -123,7 +134,7 @@ def dropped_nodes(nodes: DataFrame, keys: DataFrame, threshold: float) -> DataFr
         rest = live.join(front.unionByName(lost), "node", "left_anti")
         crowded = rest.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1")
         live = cut_lineage(rest.join(crowded.select("band"), "band", "left_semi"))
-        gone = cut_lineage(gone.unionByName(lost))
+        gone = gone.unionByName(lost)  # a union of written tables, one per round
     return gone
 
 

@@ -138,7 +138,7 @@ def keep_first_of_pairs(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     while not live.isEmpty():
         sure = live.select(F.col("earlier").alias("n")).distinct().join(live.select(F.col("later").alias("n")), "n", "left_anti")
         lost = cut_lineage(live.join(sure.withColumnRenamed("n", "earlier"), "earlier", "left_semi").select(F.col("later").alias("n")).distinct())
-        gone = lost if gone is None else cut_lineage(gone.unionByName(lost))
+        gone = lost if gone is None else gone.unionByName(lost)
         rest = live.join(lost.withColumnRenamed("n", "later"), "later", "left_anti").join(sure.withColumnRenamed("n", "earlier"), "earlier", "left_anti")
         live = cut_lineage(rest.join(lost.withColumnRenamed("n", "earlier"), "earlier", "left_anti"))
     return nodes if gone is None else nodes.join(gone.withColumnRenamed("n", "node"), "node", "left_anti")

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from askloom.functions import fixed, maths
 from askloom.functions import text as tx
-from askloom.operators import decompose, retrieve, routing, tools
+from askloom.operators import decompose, index, retrieve, routing, tools
 from askloom.plans import domain as d
 from askloom.plans.domain import sql_alnum, sql_any, sql_content, sql_list, sql_sentences, sql_strip
 from askloom.plans.registry import query, relation
 from askloom.sources.tables import table
-from askloom.util import broadcast_if
+from askloom.util import broadcast_if, scratch_dir
 
 def now():
     return F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
@@ -155,7 +155,9 @@ def decompose_merge(spark, sf):
 
 def loop_parts(spark, sf):
     """The callables of the action loop over the test tables: BM25, lexical reranking, lexical verification."""
-    ix, docs = d.lexical(spark, sf), d.corpus(spark, sf)
+    docs, path = d.corpus(spark, sf), scratch_dir(spark, "index")
+    index.save_index(d.lexical(spark, sf), path)  # every round reads it
+    ix = index.load_index(spark, path, "doc_id")
 
     def find(qs):
         return retrieve.bm25_topk(qs, ix, 20)

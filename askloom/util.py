@@ -74,9 +74,12 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so that iterative plans do not grow."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared folder so that iterative plans do not grow.
+
+    A written table rather than ``checkpoint()``: it survives lost executors just as well
+    and computes the plan once, where an eager checkpoint computes it twice.
+    """
+    return staged(df, "round")
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
