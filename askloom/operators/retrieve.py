@@ -108,15 +108,15 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = fixed.TOP_K, que
 
         best = vectors.select(doc, embedding).mapInArrow(scan, schema)
     else:
-        n_blocks = -(-n_queries // block)
+        n_blocks, zero = -(-n_queries // block), F.lit(0).cast("bigint")
         n_shards = max(1, -(-vectors.count() // shard))
         q_side = queries.select(
             query, F.col(embedding).alias("qv"), F.pmod(F.xxhash64(query), F.lit(n_blocks)).alias("block"),
-            F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).cast("bigint").alias("shard"),
+            F.explode(F.sequence(zero, F.lit(n_shards - 1).cast("bigint"))).alias("shard"),
         )
         d_side = vectors.select(
             doc, F.col(embedding).alias("dv"), F.pmod(F.xxhash64(doc), F.lit(n_shards)).alias("shard"),
-            F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("bigint").alias("block"),
+            F.explode(F.sequence(zero, F.lit(n_blocks - 1).cast("bigint"))).alias("block"),
         )
 
         def cell(q: pa.Table, d: pa.Table) -> pa.Table:
@@ -133,11 +133,12 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = fixed.TOP_K, que
 
 
 def dense_topk_ann(queries: DataFrame, vectors: DataFrame, k: int = fixed.TOP_K, query: str = "query_id",
-                   doc: str = "doc_id", embedding: str = "embedding", tables: int = 8, bits: int = 8, seed: int = 42) -> DataFrame:
+                   doc: str = "doc_id", embedding: str = "embedding", tables: int = 16, bits: int = 6, seed: int = 42) -> DataFrame:
     """Approximate best ``k``: signed random projections as join keys, then exact rescoring.
 
     The keys of both sides are computed in Arrow batches; candidates are distinct
-    (query, doc) pairs that share a key in one of ``tables``. AQE splits crowded keys.
+    (query, doc) pairs that share a key in one of ``tables``. AQE splits crowded keys. More
+    ``bits`` make keys rarer (for larger tables of vectors), more ``tables`` raise recall.
     """
 
     def keyed(df: DataFrame, key: str) -> DataFrame:
@@ -299,5 +300,7 @@ def containing_docs(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item
         broadcast_if(long.select(item, "needle", "run"), items), "run").filter(hit).select(item, doc)
     by_word = body.select(doc, "hay", F.explode_outer(words).alias("word")).join(
         broadcast_if(mid.select(item, "needle", "word"), items), "word").filter(hit).select(item, doc)
-    by_scan = body.join(broadcast_if(short.select(item, "needle"), items), hit).select(item, doc)
-    return by_run.unionByName(by_word).unionByName(by_scan).distinct()
+    found = by_run.unionByName(by_word)
+    if not short.isEmpty():
+        found = found.unionByName(body.join(broadcast_if(short.select(item, "needle"), items), hit).select(item, doc))
+    return found.distinct()

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from askloom.functions import fixed
 from askloom.sources.records import ticket_id_of
 from askloom.sources.stores import severity_sla, valid_category, valid_severity
-from askloom.util import broadcast_if, top_per_group
 
 # The argument schema of each tool as (field, type, required, enum, minimum, maximum).
 TOOL_FIELDS = {
@@ -64,19 +63,31 @@ def tool_arg_errors(tool, args) -> Column:
     return out
 
 
+GRAM = 8
+
+
+def _grams(text: Column) -> Column:
+    """Distinct substrings of one to eight characters."""
+    return F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))),
+        lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.greatest(F.length(text) - i + 1, F.lit(1)))), lambda q: F.substring(text, i, q)))))
+
+
 def policy_lookup(requests: DataFrame, policies: DataFrame, key: str = "section_id", pos: str = "pos") -> DataFrame:
     """Exact key, else the first key (by position) that contains the requested text, else not found.
 
-    Requests that match exactly leave before the substring step. The rest are distinct
-    needles against distinct keys: each side is reduced before the theta join, and the keys
-    are broadcast only when they are small.
+    Requests that match exactly leave first. For the rest, a key containing the needle also
+    contains the needle's first eight characters (or all of a shorter one), so the substring
+    match is an equi-join on short pieces of the keys, checked afterwards; keys are names,
+    so their pieces are few. No request is compared with all keys.
     """
     keyed = policies.select(F.col(key).alias("found_id"), F.col(pos).alias("_pos"))
     exact = requests.join(keyed.withColumnRenamed("found_id", key), key, "left")
     hit = exact.filter("_pos IS NOT NULL").select(*requests.columns, F.col(key).alias("found_id"), F.lit(False).alias("fuzzy"))
     missed = exact.filter("_pos IS NULL").select(*requests.columns)
-    needles = missed.select(F.lower(key).alias("needle")).filter("needle <> ''").distinct()
-    near = needles.join(broadcast_if(keyed, policies), F.contains(F.lower("found_id"), F.col("needle")))
+    needles = missed.select(F.lower(key).alias("needle")).filter("needle <> ''").distinct().withColumn("gram", F.left("needle", F.lit(GRAM)))
+    pieces = keyed.select("found_id", "_pos", F.lower("found_id").alias("low")).select("*", F.explode_outer(_grams(F.col("low"))).alias("gram"))
+    near = pieces.join(needles, "gram").filter(F.contains("low", "needle"))
     best = near.groupBy("needle").agg(F.min_by("found_id", "_pos").alias("found_id"))
     rest = missed.withColumn("needle", F.lower(key)).join(best, "needle", "left").select(
         *requests.columns, "found_id", F.col("found_id").isNotNull().alias("fuzzy"))
