@@ -148,17 +148,24 @@ def question_dedup(questions: DataFrame, key: str, text: str, threshold: float =
     """(key, kept): a question goes when its canonical form is more than ``threshold`` alike (difflib ratio) to a kept one.
 
     Equal forms are folded first. A ratio r means that at least r/2 of all characters lie in
-    common blocks, so two forms above it are close in length and share many character
-    3-grams: pairs come from an equi-join on the rarer 3-grams, which misses none, and only
+    common blocks, so two forms above it are close in length and share character 3-grams
+    (2-grams when they are very short): pairs come from an equi-join on the rarer 3-grams, which misses none, and only
     those are compared in Python.
     """
     forms = questions.select(F.col(key).alias("key"), tx.canonical_string(text).alias("form"))
     nodes = cut_lineage(forms.groupBy("form").agg(F.min("key").alias("node")))
-    grams = nodes.select("node", F.length("form").alias("n"), F.explode_outer(F.array_distinct(F.when(
-        F.length("form") >= 3, F.transform(F.sequence(F.lit(1), F.length("form") - 2), lambda i: F.substring("form", i, F.lit(3)))).otherwise(F.array("form")))).alias("g"))
+    form, n = F.col("form"), F.length("form")
+
+    def pieces(q):
+        return F.when(n >= q, F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.substring(form, i, F.lit(q)))).otherwise(F.array(form))
+
+    keys = F.when(n < 16, F.concat(pieces(2), pieces(3))).otherwise(pieces(3))
+    grams = nodes.select("node", n.alias("n"), F.explode_outer(F.array_distinct(keys)).alias("g"))
     freq = grams.groupBy("g").agg(F.count("*").alias("df"))
-    # Shared distinct 3-grams cannot fall below this share for forms of useful length; short forms keep all grams.
-    spare = 2 * (1 - threshold) * 3
+    # Of a form's 3-grams at most 3 * (unmatched characters of both forms) are not in a common
+    # block, and those characters are fewer than this share of its length; so a shared one is
+    # among that many plus one. Short forms keep all, with their 2-grams.
+    spare = 6 * (1 - threshold) / threshold
     keep = F.when(F.col("n") < 30, F.col("m")).otherwise(F.least(F.col("m"), F.ceil(F.col("n") * spare).cast("int") + 1))
     rare = (
         grams.join(freq, "g").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))

@@ -121,6 +121,8 @@ def test_question_dedup_equals_brute_force(spark):
         words = rnd.sample(vocab, rnd.choice([3, 5, 7]))
         rows.append((i, "what about " + " ".join(w + ("s" if rnd.random() < 0.2 else "") for w in words) + "?"))
 
+    rows += [(100, "abxcd?"), (101, "abcd?"), (102, "abcdefgh ijk?"), (103, "abcdefghijk?")]
+
     def canon(t):
         import re
         return " ".join(sorted({w for w in re.findall(r"\w+", t.lower()) if w not in fixed.CANONICAL_STOPWORDS and len(w) > 2}))
