@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
-from askloom.llm import bpe, langid, licenses, packing, quality
+from askloom.llm import bpe, langid, licenses, lines, packing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,6 +45,15 @@ def op4_language_id(spark, folder):
     return langid.predict(docs, model).withColumn("held_out", langid.held_out())
 
 
+PSEUDONYM_KEY = "a key for the test tables; a user brings a secret one"
+
+
+@query("op5_pii")
+def op5_pii(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PSEUDONYM_KEY).select("doc_id", "text", "n_found", "n_changed")
+
+
 @query("op7_quality_rules", """
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 n AS (SELECT doc_id, t, ws, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
@@ -65,6 +75,12 @@ def op7_quality_rules(spark, folder):
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op8_line_dedup")
+def op8_line_dedup(spark, folder):
+    rows = lines.drop_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_kept_chars"), F.md5("text").alias("kept_md5"))
+
+
 @query("op9_byte_bpe")
 def op9_byte_bpe(spark, folder):
     return bpe.round_trip(table(spark, folder, "documents"), vocabulary())
