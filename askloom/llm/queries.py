@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from askloom.llm import bpe, langid, licenses, lines, packing, pii, quality
+from askloom.llm import ann, bpe, jaccard, langid, licenses, lines, packing, pii, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,11 +33,29 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_collision_ann")
+def op1_collision_ann(spark, folder):
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 @query("op2_packing")
 def op2_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), vocabulary(), capacity=1024, end_id=0, ids=False)
 
 
+@query("op3_ngram_jaccard", """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+r(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.seen = e.x)
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(seen) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""")
+def op3_ngram_jaccard(spark, folder):
+    return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), n=3, num=90, den=100)
+
+
 @query("op4_language_id")
 def op4_language_id(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
@@ -54,6 +72,20 @@ def op5_pii(spark, folder):
     return pii.pseudonymise(docs, PSEUDONYM_KEY).select("doc_id", "text", "n_found", "n_changed")
 
 
+@query("op6_substring_dedup", """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 12], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+m AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS least FROM g) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM m, (SELECT unnest(range(13)) AS j)),
+e AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+k AS (SELECT e.doc_id, string_agg(ws[e.i], ' ' ORDER BY e.i) AS kept FROM e LEFT JOIN gone ON gone.doc_id = e.doc_id AND gone.i = e.i WHERE gone.i IS NULL GROUP BY e.doc_id),
+c AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id""")
+def op6_substring_dedup(spark, folder):
+    return substrings.without_repeats(table(spark, folder, "documents").select("doc_id", "text"), n=13, texts=False)
+
+
 @query("op7_quality_rules", """
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 n AS (SELECT doc_id, t, ws, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
