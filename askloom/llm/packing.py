@@ -69,7 +69,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0
         arrow = None
 
         def emit(k, start, part, total, seq, offset):
-            rows.append((k, start, len(part), zlib.crc32(part.astype("<u4").tobytes()), total, first + seq, offset) + ((part.tolist(),) if ids else ()))
+            rows.append((k, start, len(part), zlib.crc32(part.astype("<u4").tobytes()), total, first + seq, offset) + ((part,) if ids else ()))
 
         def close():
             nonlocal used, waiting
@@ -83,9 +83,12 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 0
             nonlocal rows
             columns = list(zip(*rows))
             rows = []
-            names = ["k", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * ids
-            kinds = [arrow] + [pa.int64()] * 6 + [pa.list_(pa.int32())] * ids
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+            names = ["k", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+            arrays = [pa.array(c, t) for c, t in zip(columns, [arrow] + [pa.int64()] * 6)]
+            if ids:
+                cut = np.concatenate([[0], np.cumsum(columns[2])])
+                arrays.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate(columns[7]), pa.int32())))
+            return pa.RecordBatch.from_arrays(arrays, names + ["ids"] * ids)
 
         for b in batches:
             arrow = b.column(0).type
