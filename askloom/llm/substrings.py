@@ -41,7 +41,7 @@ from askloom.llm import spans
 GRAM = 5
 #: entries that a task gathers before it sends them, and bytes of text per bucket
 _GATHERED = 2_000_000
-_BUCKET_BYTES = 48 << 20
+_BUCKET_BYTES = 16 << 20
 
 
 def windows_of(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,18 +92,18 @@ def _shared_anchors(docs: DataFrame, n: int, buckets: int) -> DataFrame:
             anchor = np.concatenate([x[0] for x in held])
             doc = np.concatenate([x[1] for x in held])
             order = np.lexsort((doc, anchor))
-            anchor, doc = anchor[order], doc[order]
-            fresh = np.ones(len(anchor), bool)
-            fresh[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-            anchor, doc = anchor[fresh], doc[fresh]
-            first, run = _groups(anchor)
-            several = np.diff(np.append(first, len(anchor)))[run] > 1
-            rank = np.arange(len(anchor)) - first[run]
-            open_ = rank < 2  # of several documents two tell the bucket that the anchor is shared
-            for settled, mask, bucket in ((False, open_, anchor[open_] % np.uint64(buckets)),
-                                          (True, several & ~open_, spans.mixed(doc[several & ~open_].view(np.uint64)) % np.uint64(buckets))):
-                if len(bucket):
-                    number, (a, d) = _lists(bucket.astype(np.int32), [anchor[mask].view(np.int64), doc[mask]])
+            sorted_, owner = anchor[order], doc[order]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (sorted_[1:] != sorted_[:-1]) | (owner[1:] != owner[:-1])
+            order = order[fresh]
+            first, run = _groups(anchor[order])
+            several = np.diff(np.append(first, len(order)))[run] > 1
+            open_ = np.arange(len(order)) - first[run] < 2  # of several documents two tell the bucket that the anchor is shared
+            for settled, mask in ((False, open_), (True, several & ~open_)):
+                part = np.sort(order[mask])  # as they stand in the documents: equal keys in a row are small when packed
+                if len(part):
+                    bucket = (spans.mixed(doc[part].view(np.uint64)) if settled else anchor[part]) % np.uint64(buckets)
+                    number, (a, d) = _lists(bucket.astype(np.int32), [anchor[part].view(np.int64), doc[part]])
                     yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(np.full(len(number), settled)), a, d], ["bucket", "settled", "a", "d"])
 
         for b in batches:
@@ -149,13 +149,13 @@ def _covered(docs: DataFrame, anchors: DataFrame, n: int, buckets: int) -> DataF
         def flush():
             window, doc, t, pos = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((doc, window))
-            window, doc, t, pos = window[order], doc[order], t[order], pos[order]
-            first, run = _groups(window)
-            least = doc == doc[first][run]
-            for settled, mask, bucket in ((False, least, window[least] % np.uint64(buckets)),
-                                          (True, ~least, spans.mixed(doc[~least].view(np.uint64)) % np.uint64(buckets))):
-                if len(bucket):
-                    columns = [window[mask].view(np.int64) if not settled else np.zeros(int(mask.sum()), np.int64), doc[mask], t[mask], pos[mask]]
+            first, run = _groups(window[order])
+            least = doc[order] == doc[order][first][run]
+            for settled, mask in ((False, least), (True, ~least)):
+                part = np.sort(order[mask])
+                if len(part):
+                    bucket = (spans.mixed(doc[part].view(np.uint64)) if settled else window[part]) % np.uint64(buckets)
+                    columns = [np.zeros(len(part), np.int64) if settled else window[part].view(np.int64), doc[part], t[part], pos[part]]
                     number, lists = _lists(bucket.astype(np.int32), columns)
                     yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(np.full(len(number), settled)), *lists], ["bucket", "settled", "w", "d", "t", "p"])
 
