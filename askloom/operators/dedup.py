@@ -2,14 +2,14 @@
 
 A chunk is dropped only when it is similar to an earlier chunk that was itself kept, so
 "drop whatever has an earlier match" would be wrong on chains. The decision is made in
-rounds over bucket leaders and never forms all pairs of a bucket:
+rounds over the first members of each bucket:
 
 * rows with the same set of shingles are folded into one node first, so a group of copies
   of any size is one row here;
-* in small buckets the few pairs are verified at once, and only similar pairs stay;
-* a node that is the smallest undecided one in every bucket it is in has no undecided
-  earlier partner: it is kept and compared with the members of its buckets (a star);
-* what it matches is dropped, the rest goes into the next round.
+* the first undecided members of a bucket are compared with its later members, as many as
+  the round's block holds;
+* a node with nothing undecided before it is kept unless a kept one resembles it, and what
+  a kept one resembles is dropped; the rest goes into the next round.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from askloom.functions import fixed
 from askloom.functions import text as tx
-from askloom.util import balanced, cut_lineage, staged
+from askloom.util import balanced, cut_lineage, staged, top_per_group
 
 
 def shingle_sets(chunks: DataFrame, key: str, text: str = "text", n: int = fixed.SHINGLE_WORDS) -> DataFrame:
@@ -60,17 +60,24 @@ def prefix_keys(nodes: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def minhash_keys(nodes: DataFrame, permutations: int = fixed.MINHASH_PERMUTATIONS, bands: int = 32,
-                 seed: int = 42) -> DataFrame:
-    """(node, band) from a MinHash signature cut into ``bands`` slices; only the keys are shuffled later.
+def band_rows(threshold: float, permutations: int, miss: float = 1e-3) -> int:
+    """Longest slice of a signature with which a pair at the threshold is missed with at most ``miss``."""
+    fits = [r for r in range(1, permutations + 1) if (1 - threshold ** r) ** (permutations // r) <= miss]
+    return max(fits, default=1)
 
+
+def minhash_keys(nodes: DataFrame, threshold: float, permutations: int = fixed.MINHASH_PERMUTATIONS, seed: int = 42) -> DataFrame:
+    """(node, band) from a MinHash signature cut into slices; only the keys are shuffled later.
+
+    The slices are as long as the threshold allows, so that unlike texts seldom meet.
     Signatures are made in Arrow batches: one vectorised pass over a batch's shingles per
     permutation, then a segment minimum.
     """
     rng = np.random.default_rng(seed)
     mult = rng.integers(1, 2**63, size=permutations, dtype=np.uint64) | np.uint64(1)
     add = rng.integers(0, 2**63, size=permutations, dtype=np.uint64)
-    rows = permutations // bands
+    rows = band_rows(threshold, permutations)
+    bands = permutations // rows
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
@@ -107,34 +114,59 @@ def verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return scored.filter(F.col("jaccard") >= threshold)
 
 
-def dropped_nodes(nodes: DataFrame, keys: DataFrame, threshold: float, small: int = 32) -> DataFrame:
+def resolved(edges: DataFrame, ready: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped) nodes: the keep-first rule over verified edges (kept < node).
+
+    ``ready`` are the nodes all of whose earlier candidates are among the edges; only they
+    may be kept. One pass per link of the longest chain of similar nodes.
+    """
+    spark = edges.sparkSession
+    none = spark.createDataFrame([], ready.schema)
+    kept, dropped, open_ = none, none, edges
+    while True:
+        sure = cut_lineage(ready.join(open_.select("node").distinct(), "node", "left_anti"))
+        if sure.isEmpty():
+            return kept, dropped
+        lost = cut_lineage(open_.join(sure.withColumnRenamed("node", "kept"), "kept", "left_semi").select("node").distinct())
+        kept, dropped = kept.unionByName(sure), dropped.unionByName(lost)
+        done = sure.unionByName(lost)
+        ready = cut_lineage(ready.join(done, "node", "left_anti"))
+        open_ = cut_lineage(open_.join(done.withColumnRenamed("node", "kept"), "kept", "left_anti").join(lost, "node", "left_anti"))
+
+
+def dropped_nodes(nodes: DataFrame, keys: DataFrame, threshold: float, blocks: tuple[int, ...] = (1, 32, 1024), rounds: list | None = None) -> DataFrame:
     """The nodes that keep-first removes. Exact: rounds run until nothing is undecided.
 
-    Buckets of up to ``small`` members are paired and verified at once, at most that many
-    pairs per row; only verified pairs go on, each as a bucket of two. Larger buckets are
-    never paired: they go through the leader rounds. Without crowded buckets the number of
-    rounds is the longest chain of truly similar chunks.
+    In each round the first few undecided members of every bucket (its block) are compared
+    with the bucket's later members of similar size. The block is one member in the first
+    round, where copies of one text all go, and grows, so a bucket of members that resemble
+    each other just too little is done in a few rounds; ``blocks`` bounds the pairs a row is
+    in per bucket and round. A node is decided when it stands in the block of each of its
+    buckets, so that nothing earlier is unknown; buckets left with one member vanish.
+    ``rounds`` collects the number of undecided rows per round.
     """
     spark = nodes.sparkSession
-    sizes = keys.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1")
-    shared = cut_lineage(keys.join(sizes, "band").select("node", "band", "c"))
-    few = shared.filter(F.col("c") <= small)
-    cand = few.select(F.col("node").alias("kept"), "band").join(few.select("node", "band"), "band").filter("kept < node")
-    near = verified(cand.select("kept", "node").distinct(), nodes, threshold)
-    edges = near.select(F.explode(F.array("kept", "node")).alias("node"), F.xxhash64("kept", "node").alias("band"))
-    live = cut_lineage(shared.filter(F.col("c") > small).select("node", "band").unionByName(edges))
+    sized = keys.join(nodes.select("node", F.size("shingles").alias("n")), "node")
+    sizes = keys.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1").select("band")
+    live = cut_lineage(sized.join(sizes, "band", "left_semi").select("node", "band", "n"))
     gone = spark.createDataFrame([], f"node {dict(nodes.dtypes)['node']}")
+    step = 0
     while not live.isEmpty():
-        first = live.groupBy("band").agg(F.min("node").alias("kept"))
-        led = live.join(first, "band")
-        front = led.groupBy("node").agg(F.min(F.col("node") == F.col("kept")).alias("front")).filter("front").select("node")
-        stars = led.filter("node > kept").select("kept", "node").distinct()
-        stars = stars.join(front.withColumnRenamed("node", "kept"), "kept", "left_semi")
-        lost = cut_lineage(verified(stars, nodes, threshold).select("node").distinct())
-        rest = live.join(front.unionByName(lost), "node", "left_anti")
+        width = blocks[min(step, len(blocks) - 1)]
+        step += 1
+        if rounds is not None:
+            rounds.append(live.count())
+        block = cut_lineage(top_per_group(live, ["band"], [F.asc("node")], width).drop("rank"))
+        pairs = block.select(F.col("node").alias("kept"), "band", F.col("n").alias("n1")).join(live, "band").filter(
+            (F.col("kept") < F.col("node")) & (F.least("n", "n1") >= threshold * F.greatest("n", "n1") - 1e-9))
+        edges = cut_lineage(verified(pairs.select("kept", "node").distinct(), nodes, threshold).select("kept", "node"))
+        standing = live.select("node", F.lit(1).alias("all"), F.lit(0).alias("first")).unionByName(block.select("node", F.lit(0).alias("all"), F.lit(1).alias("first")))
+        ready = standing.groupBy("node").agg(F.sum("all").alias("all"), F.sum("first").alias("first")).filter("all = first").select("node")
+        kept, lost = resolved(edges, cut_lineage(ready))
+        rest = live.join(kept.unionByName(lost), "node", "left_anti")
         crowded = rest.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1")
         live = cut_lineage(rest.join(crowded.select("band"), "band", "left_semi"))
-        gone = gone.unionByName(lost)  # a union of written tables, one per round
+        gone = gone.unionByName(lost)  # a union of written tables
     return gone
 
 
@@ -146,7 +178,7 @@ def keep_first(chunks: DataFrame, key: str, text: str = "text", threshold: float
     """
     sets = staged(shingle_sets(chunks, key, text), "shingles")
     nodes = staged(representatives(sets), "nodes")
-    keys = prefix_keys(nodes, threshold) if exact else minhash_keys(nodes)
+    keys = prefix_keys(nodes, threshold) if exact else minhash_keys(nodes, threshold)
     gone = dropped_nodes(nodes, keys, threshold)
     stay = nodes.join(gone, "node", "left_anti").select(F.col("node").alias("key"))
     empty = chunks.select(F.col(key).alias("key")).join(sets.select("key"), "key", "left_anti")

@@ -58,9 +58,15 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh local one only where none is named."""
+    """The cluster's shared checkpoint folder; a fresh local one only on a local master.
+
+    On a cluster a folder of one machine would hold a part of each table, so there it is an
+    error not to name a shared one.
+    """
     sc = settle(spark).sparkContext
     named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {sc.master} share")
     if not named:
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if sc.getCheckpointDir() is None:
