@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from askloom.functions import fixed, maths
 from askloom.functions import text as tx
 from askloom.operators.index import LexicalIndex
-from askloom.util import balanced, broadcast_if, top_per_group
+from askloom.util import balanced, broadcast_if, staged, top_per_group
 
 QUERY_BLOCK = 2048
 VECTOR_SHARD = 200_000
@@ -58,57 +59,85 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
-def _best(scores: np.ndarray, doc_order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column indexes of the k best rows of every column; ties go to the smaller document."""
-    scores = np.round(scores, 6)
-    if len(scores) > k:
-        bound = -np.partition(-scores, k - 1, axis=0)[k - 1]
-        rows, cols = np.nonzero(scores >= bound)
-    else:
-        rows, cols = np.indices(scores.shape).reshape(2, -1)
-    order = np.lexsort((doc_order[rows], -scores[rows, cols], cols))
-    rows, cols = rows[order], cols[order]
-    first = np.searchsorted(cols, cols, side="left")
-    keep = np.arange(len(cols)) - first < k
-    return rows[keep], cols[keep]
+#: query-vector products that are held at once (32 MB)
+_CELLS = 4_000_000
+
+
+def _first_k(cols: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best rows of every column; ties go to the smaller document."""
+    place = np.unique(ids, return_inverse=True)[1]
+    order = np.lexsort((place, -scores, cols))
+    cols = cols[order]
+    return order[np.arange(len(cols)) - np.searchsorted(cols, cols, side="left") < k]
+
+
+class _BestK:
+    """Running best ``k`` documents of a block of queries, fed with vectors strip by strip.
+
+    A strip is as tall as ``_CELLS`` products allow, and what cannot beat a query's k-th best
+    so far is dropped at once, so the memory does not depend on the number of vectors.
+    """
+
+    def __init__(self, q: np.ndarray, k: int):
+        self.q, self.k = q, k
+        self.cols = self.ids = self.scores = None
+        self.bound = np.full(len(q), -np.inf)
+
+    def feed(self, ids: np.ndarray, d: np.ndarray) -> None:
+        tall = max(1, _CELLS // max(1, len(self.q)))
+        for at in range(0, len(d), tall):
+            part = np.round(d[at:at + tall] @ self.q.T, 6)
+            if len(part) > self.k:
+                bound = np.maximum(self.bound, np.partition(part, len(part) - self.k, axis=0)[len(part) - self.k])
+            else:
+                bound = self.bound
+            rows, cols = np.nonzero(part >= bound)
+            score = np.round(np.einsum("ij,ij->i", d[at:at + tall][rows], self.q[cols]), 6)
+            found = cols, ids[at:at + tall][rows], score
+            if self.cols is not None:
+                found = tuple(np.concatenate(x) for x in zip((self.cols, self.ids, self.scores), found))
+            keep = _first_k(*found, self.k)
+            self.cols, self.ids, self.scores = (x[keep] for x in found)
+            full = np.flatnonzero(np.bincount(self.cols, minlength=len(self.q)) == self.k)
+            last = np.searchsorted(self.cols, full, side="right") - 1
+            self.bound[full] = self.scores[last]
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = fixed.TOP_K, query: str = "query_id", doc: str = "doc_id",
                embedding: str = "embedding", block: int = QUERY_BLOCK, shard: int = VECTOR_SHARD) -> DataFrame:
     """(query, doc, score, rank): exact best ``k`` by cosine of unit vectors.
 
-    Scores are block matrix products inside Arrow batches and only a batch's best ``k`` rows
-    per query leave a task. Up to ``block`` queries travel to the vectors, which are not
-    shuffled. Beyond that both sides are cut into blocks and every (shard, block) cell of
-    the grid is one bounded group; nothing grows with a query's or a document's popularity.
+    Scores are matrix products of strips inside a task, which keeps a running best ``k`` and
+    emits it once. Up to ``block`` queries travel to the vectors, which are not shuffled.
+    Beyond that both sides are cut into blocks and every (shard, block) cell of the grid is
+    one bounded group; nothing grows with a query's or a document's popularity.
     """
-    n_queries = queries.count()
     qt, dt = dict(queries.dtypes)[query], dict(vectors.dtypes)[doc]
     schema = f"{query} {qt}, {doc} {dt}, score double"
+    # one row more than a block tells which plan to take, from the very rows that are used
+    held = queries.select(query, embedding).limit(block + 1).toArrow().combine_chunks()
 
-    def pick(qids: pa.Array, q: np.ndarray, dids: pa.Array, d: np.ndarray) -> pa.RecordBatch:
-        rows, cols = _best(d @ q.T, np.argsort(np.argsort(np.asarray(dids), kind="stable")), k)
-        score = np.round(np.einsum("ij,ij->i", d[rows], q[cols]), 6)
-        return pa.RecordBatch.from_arrays(
-            [qids.take(pa.array(cols)), dids.take(pa.array(rows)), pa.array(score)], [query, doc, "score"]
-        )
+    def told(qids: pa.Array, best: _BestK, kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([qids.take(pa.array(best.cols)), pa.array(best.ids, kind), pa.array(best.scores)], [query, doc, "score"])
 
-    if n_queries <= block:
-        held = queries.select(query, embedding).limit(block).toArrow().combine_chunks()
+    if held.num_rows <= block:
         sent = vectors.sparkSession.sparkContext.broadcast(held)
 
         def scan(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             t = sent.value
             if t.num_rows == 0:
                 return
-            qids, q = t.column(query).chunk(0), _matrix(t.column(embedding).chunk(0))
+            qids, best, kind = t.column(query).chunk(0), _BestK(_matrix(t.column(embedding).chunk(0)), k), None
             for batch in batches:
                 if batch.num_rows:
-                    yield pick(qids, q, batch.column(0), _matrix(batch.column(1)))
+                    kind = batch.column(0).type
+                    best.feed(batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1)))
+            if best.cols is not None:
+                yield told(qids, best, kind)
 
         best = vectors.select(doc, embedding).mapInArrow(scan, schema)
     else:
-        n_blocks, zero = -(-n_queries // block), F.lit(0).cast("bigint")
+        n_blocks, zero = -(-queries.count() // block), F.lit(0).cast("bigint")
         n_shards = max(1, -(-vectors.count() // shard))
         q_side = queries.select(
             query, F.col(embedding).alias("qv"), F.pmod(F.xxhash64(query), F.lit(n_blocks)).alias("block"),
@@ -122,26 +151,33 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = fixed.TOP_K, que
         def cell(q: pa.Table, d: pa.Table) -> pa.Table:
             if not q.num_rows or not d.num_rows:
                 return pa.table({n: pa.array([], t) for n, t in zip((query, doc, "score"), (q.schema.field(query).type, d.schema.field(doc).type, pa.float64()))})
-            q, d = q.combine_chunks(), d.combine_chunks()
-            return pa.Table.from_batches([pick(
-                q.column(query).chunk(0), _matrix(q.column("qv").chunk(0)), d.column(doc).chunk(0), _matrix(d.column("dv").chunk(0))
-            )])
+            q = q.combine_chunks()
+            best = _BestK(_matrix(q.column("qv").chunk(0)), k)
+            for b in d.to_batches():
+                best.feed(b.column(doc).to_numpy(zero_copy_only=False), _matrix(b.column("dv")))
+            return pa.Table.from_batches([told(q.column(query).chunk(0), best, d.schema.field(doc).type)])
 
         grid = ["shard", "block"]
         best = q_side.groupBy(*grid).cogroup(d_side.groupBy(*grid)).applyInArrow(cell, schema)
     return top_per_group(best, [query], by_score("score", doc), k)
 
 
-def dense_topk_ann(queries: DataFrame, vectors: DataFrame, k: int = fixed.TOP_K, query: str = "query_id",
-                   doc: str = "doc_id", embedding: str = "embedding", tables: int = 16, bits: int = 6, seed: int = 42) -> DataFrame:
-    """Approximate best ``k``: signed random projections as join keys, then exact rescoring.
+def ann_bits(n: int, bucket: int = 16) -> int:
+    """Key length at which ``n`` vectors fall into buckets of about ``bucket``."""
+    return int(min(24, max(2, np.floor(np.log2(max(n, 1) / bucket)))))
+
+
+def ann_candidates(queries: DataFrame, vectors: DataFrame, query: str = "query_id", doc: str = "doc_id", embedding: str = "embedding",
+                   tables: int = 8, bits: int | None = None, probes: int = 2, seed: int = 42) -> DataFrame:
+    """(query, doc) pairs that share a key of signed random projections in one of ``tables``.
 
-    The keys of both sides are computed in Arrow batches; candidates are distinct
-    (query, doc) pairs that share a key in one of ``tables``. AQE splits crowded keys. More
-    ``bits`` make keys rarer (for larger tables of vectors), more ``tables`` raise recall.
+    Keys are as long as the number of vectors asks for, so the share of all pairs that become
+    candidates falls as the table grows. A query also looks into the ``probes`` buckets
+    across its least certain bits, which costs no table.
     """
+    length = bits or ann_bits(vectors.count())
 
-    def keyed(df: DataFrame, key: str) -> DataFrame:
+    def keyed(df: DataFrame, key: str, more: int) -> DataFrame:
         t = dict(df.dtypes)[key]
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -149,17 +185,28 @@ def dense_topk_ann(queries: DataFrame, vectors: DataFrame, k: int = fixed.TOP_K,
                 if not batch.num_rows:
                     continue
                 m = _matrix(batch.column(1))
-                p = np.random.default_rng(seed).standard_normal((m.shape[1], tables * bits))
-                code = ((m @ p) > 0).reshape(len(m), tables, bits) @ (1 << np.arange(bits))
-                cells = (code + np.arange(tables) * (1 << bits)).astype(np.int64)
-                offsets = pa.array(np.arange(0, cells.size + 1, tables, dtype=np.int32))
+                p = np.random.default_rng(seed).standard_normal((m.shape[1], tables * length))
+                margin = (m @ p).reshape(len(m), tables, length)
+                code = (margin > 0) @ (1 << np.arange(length))
+                near = np.argsort(np.abs(margin), axis=2)[:, :, :more]
+                code = np.concatenate([code[:, :, None], code[:, :, None] ^ (1 << near)], axis=2)
+                cells = (code + (np.arange(tables) * (1 << length))[None, :, None]).astype(np.int64).reshape(len(m), -1)
+                offsets = pa.array(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(cells.reshape(-1)))], [key, "cells"]
                 )
 
         return df.select(key, embedding).mapInArrow(run, f"{key} {t}, cells array<bigint>").select(key, F.explode("cells").alias("cell"))
 
-    pairs = keyed(vectors, doc).join(broadcast_if(keyed(queries, query), queries, tables), "cell").select(query, doc).distinct()
+    more = min(probes, length)
+    asked = broadcast_if(keyed(queries, query, more), queries, tables * (1 + more))
+    return keyed(vectors, doc, 0).join(asked, "cell").select(query, doc).distinct()
+
+
+def dense_topk_ann(queries: DataFrame, vectors: DataFrame, k: int = fixed.TOP_K, query: str = "query_id",
+                   doc: str = "doc_id", embedding: str = "embedding", **how) -> DataFrame:
+    """Approximate best ``k``: candidates of ``ann_candidates``, then exact rescoring. AQE splits crowded keys."""
+    pairs = ann_candidates(queries, vectors, query, doc, embedding, **how)
     scored = (
         pairs.join(vectors.select(doc, F.col(embedding).alias("dv")), doc)
         .join(broadcast_if(queries.select(query, F.col(embedding).alias("qv")), queries), query)
@@ -177,6 +224,14 @@ def minmax(score: str, group: str) -> Column:
     return F.when(hi - lo < 1e-12, F.when(hi == 0, 0.0).otherwise(1.0)).otherwise((F.col(score) - lo) / (hi - lo))
 
 
+def minmax_rows(rows: DataFrame, score: str, group: str, name: str = "norm") -> DataFrame:
+    """``minmax`` of groups of any size: bounds are aggregated, combined per task, and joined back, so no group is gathered."""
+    bounds = rows.groupBy(F.col(group).alias("_g")).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    norm = F.when(hi - lo < 1e-12, F.when(hi == 0, 0.0).otherwise(1.0)).otherwise((F.col(score) - lo) / (hi - lo))
+    return rows.join(bounds, rows[group].eqNullSafe(F.col("_g"))).withColumn(name, norm).drop("_g", "_lo", "_hi")
+
+
 def candidates(dense: DataFrame, sparse: DataFrame, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
     """Union of both candidate lists per query with missing scores as 0, and both scores normalised over it.
 
@@ -207,9 +262,22 @@ def fused(cand: DataFrame, alpha, k: int, query: str = "query_id", doc: str = "d
     return top_per_group(scored, [query], by_score("score", doc), k)
 
 
+def allowed_postings(index: LexicalIndex, allowed: DataFrame) -> LexicalIndex:
+    """The index with postings of the allowed documents only; statistics stay those of the whole corpus."""
+    return replace(index, postings=index.postings.join(broadcast_if(allowed.select(index.doc)), index.doc, "left_semi"))
+
+
 def hybrid_fuse(queries: DataFrame, index: LexicalIndex, query_vectors: DataFrame, vectors: DataFrame,
-                k: int = fixed.TOP_K, alpha=fixed.ALPHA_DEFAULT, query: str = "query_id") -> DataFrame:
-    """Fetch ``2k`` from each side, normalise over the union, weight by ``alpha``, keep the best ``k``."""
+                k: int = fixed.TOP_K, alpha=fixed.ALPHA_DEFAULT, query: str = "query_id",
+                allowed: DataFrame | None = None, scope: str = "both") -> DataFrame:
+    """Fetch ``2k`` from each side, normalise over the union, weight by ``alpha``, keep the best ``k``.
+
+    ``allowed`` holds the documents that a metadata filter lets through; with ``scope``
+    "dense" it bears on the vectors alone, with "both" on the postings too.
+    """
+    if allowed is not None:
+        vectors = vectors.join(broadcast_if(allowed.select(index.doc)), index.doc, "left_semi")
+        index = allowed_postings(index, allowed) if scope == "both" else index
     dense = dense_topk(query_vectors, vectors, 2 * k, query, index.doc)
     sparse = bm25_topk(queries, index, 2 * k, query)
     return fused(candidates(dense, sparse, query, index.doc), alpha, k, query, index.doc)
@@ -284,23 +352,33 @@ def containing_docs(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item
     """(item, doc) where the document contains the item's text verbatim.
 
     An item's inner words occur in a containing document as whole words in a row, so the
-    pairs come from an equi-join on a run of inner words and are then checked. Items with
-    fewer than five words are looked up on a single inner word, and those with fewer than
-    three have none: they are checked against all documents.
+    pairs come from an equi-join of the documents' distinct word runs, without their texts,
+    on a run of inner words; the texts are fetched for those pairs only. Items with fewer
+    than five words are looked up on a single inner word, and those with fewer than three,
+    which have none, on their first characters (three at most). An item without text is in
+    no document.
     """
     w = F.split(F.col(text), r"\s+")
-    anchored = items.select(
-        item, F.col(text).alias("needle"), F.size(w).alias("n"), F.array_join(F.slice(w, 2, 3), " ").alias("run"), F.get(w, F.lit(1)).alias("word")
-    )
-    long, mid, short = anchored.filter("n >= 5"), anchored.filter("n >= 3 and n < 5"), anchored.filter("n < 3")
+    n = F.size(w)
+    chars = F.least(F.length(text), F.lit(3))
+    key = F.when(n >= 5, F.concat(F.lit("r "), F.array_join(F.slice(w, 2, 3), " "))).when(n >= 3, F.concat(F.lit("w "), F.get(w, F.lit(1)))).otherwise(
+        F.concat(F.lit("c"), chars.cast("string"), F.lit(" "), F.left(text, chars)))
+    asked = items.filter(F.length(text) > 0).select(item, F.col(text).alias("needle"), key.alias("key"))
+    kinds = {r[0] for r in asked.select(F.substring_index("key", " ", 1)).distinct().collect()}  # five at most
     body = balanced(docs.select(doc, F.col(text).alias("hay")))
-    words = F.split("hay", r"\s+")
-    hit = F.contains("hay", "needle")
-    by_run = body.select(doc, "hay", F.explode_outer(tx.ngrams(words, 3)).alias("run")).join(
-        broadcast_if(long.select(item, "needle", "run"), items), "run").filter(hit).select(item, doc)
-    by_word = body.select(doc, "hay", F.explode_outer(words).alias("word")).join(
-        broadcast_if(mid.select(item, "needle", "word"), items), "word").filter(hit).select(item, doc)
-    found = by_run.unionByName(by_word)
-    if not short.isEmpty():
-        found = found.unionByName(body.join(broadcast_if(short.select(item, "needle"), items), hit).select(item, doc))
-    return found.distinct()
+
+    def grams(q: int) -> Column:
+        return tx.let(F.split("hay", ""), lambda c: F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(c) - q, F.lit(0))), lambda i: F.array_join(F.slice(c, i + 1, q), "")))
+
+    parts = {"r": lambda: tx.ngrams(F.split("hay", r"\s+"), 3), "w": lambda: F.split("hay", r"\s+"), **{f"c{q}": (lambda q=q: grams(q)) for q in (1, 2, 3)}}
+    pairs = None
+    for kind in sorted(kinds):
+        keys = body.select(doc, F.explode_outer(F.array_distinct(parts[kind]())).alias("k")).select(doc, F.concat(F.lit(f"{kind} "), "k").alias("key"))
+        found = keys.join(broadcast_if(asked.select(item, "key"), items), "key").select(item, doc)
+        pairs = found if pairs is None else pairs.unionByName(found)
+    if pairs is None:
+        return asked.join(docs.select(doc).limit(0), F.lit(False)).select(item, doc)
+    pairs = staged(pairs.distinct(), "pairs")  # few, and of known size: texts that are not wanted are then not moved
+    checked = docs.select(doc, F.col(text).alias("hay")).join(broadcast_if(pairs), doc).join(broadcast_if(asked.select(item, "needle"), items), item)
+    return checked.filter(F.contains("hay", "needle")).select(item, doc)

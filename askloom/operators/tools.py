@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askloom.functions import fixed
+from askloom.operators import retrieve
+from askloom.operators.index import LexicalIndex
 from askloom.sources.records import ticket_id_of
 from askloom.sources.stores import severity_sla, valid_category, valid_severity
+from askloom.util import broadcast_if
 
 # The argument schema of each tool as (field, type, required, enum, minimum, maximum).
 TOOL_FIELDS = {
@@ -16,7 +19,7 @@ TOOL_FIELDS = {
     "GetPolicy": (("section_id", "string", True, None, None, None), ("fuzzy", "boolean", False, None, None, None)),
     "CreateTicket": (("query", "string", False, None, None, None), ("summary", "string", False, None, None, None),
                      ("category", "string", True, fixed.TICKET_CATEGORIES, None, None),
-                     ("severity", "string", True, tuple(reversed(fixed.SEVERITY_SLA)), None, None),
+                     ("severity", "string", True, ("low", "medium", "high", "critical"), None, None),
                      ("user_context", "string", False, None, None, None), ("evidence_gap", "string", False, None, None, None)),
     "AnswerVerify": (("answer", "string", True, None, None, None), ("cited_spans", "array", True, None, None, None),
                      ("confidence", "number", False, None, None, None)),
@@ -110,6 +113,11 @@ def escalate(routed: DataFrame, now: Column, reason: str | Column = "low_confide
     )
 
 
-def search_kb(ranked: DataFrame, k: int = 5, query: str = "query_id") -> DataFrame:
-    """First ``k`` rows per query of a ranking made from max(4k, 20) candidates."""
-    return ranked.filter(F.col("rank") <= k)
+def search_kb(queries: DataFrame, index: LexicalIndex, query_vectors: DataFrame, vectors: DataFrame, docs: DataFrame, k: int = 5,
+              scorer=retrieve.lexical_scorer, allowed: DataFrame | None = None, scope: str = "both", query: str = "query_id", text: str = "text") -> DataFrame:
+    """Knowledge-base search for all queries: max(4k, 20) fused candidates under a filter, reranked, the best ``k`` with span, text and source."""
+    n = max(4 * k, 20)
+    found = retrieve.hybrid_fuse(queries, index, query_vectors, vectors, n, query=query, allowed=allowed, scope=scope).select(query, index.doc)
+    best = retrieve.rerank_topk(retrieve.with_texts(found, docs, queries, n, index.doc, query, text), k, scorer, query, index.doc)
+    at = docs.select(index.doc, F.lit(0).alias("span_start"), F.length(text).alias("span_end"), F.col(text).alias("text"), "source")
+    return at.join(broadcast_if(best.select(query, index.doc, "score", "rank"), queries, k), index.doc)

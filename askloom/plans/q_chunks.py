@@ -434,13 +434,32 @@ def similarity_floor(spark, sf):
     return kept.select("query_id", "doc_id", "score").unionByName(empty.select("query_id", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("double").alias("score")))
 
 
-@query("metadata_filter", """
-    SELECT query_id, vec_id AS doc_id, score, rank FROM (
-      SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
-        SELECT query_id, vec_id, round(list_inner_product(embedding::DOUBLE[], qv), 6) AS score FROM embeddings, qv WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en' AND contains(source, '1'))))
-    WHERE rank <= 10""", ("qv",))
+# The same fusion over what a filter on language and source lets through: on both sides, or on the vectors alone.
+relation("may", "SELECT doc_id FROM documents WHERE lang = 'en' AND contains(source, '1')")
+relation("dense_may", """
+    SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+      SELECT query_id, vec_id AS doc_id, round(list_inner_product(embedding::DOUBLE[], qv), 6) AS score FROM embeddings, qv WHERE vec_id IN (SELECT doc_id FROM may))""", ("qv", "may"))
+relation("sparse_may", """
+    SELECT 'both' AS scope, query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm25_all WHERE score > 0 AND doc_id IN (SELECT doc_id FROM may)
+    UNION ALL SELECT 'dense', query_id, doc_id, score, rank FROM bm25""", ("bm25_all", "bm25", "may"))
+_NORM = "CASE WHEN max({c}) OVER p - min({c}) OVER p < 1e-12 THEN CASE WHEN max({c}) OVER p = 0 THEN 0.0 ELSE 1.0 END ELSE ({c} - min({c}) OVER p) / (max({c}) OVER p - min({c}) OVER p) END"
+
+
+@query("metadata_filter", f"""
+    SELECT scope, query_id, doc_id, score, rank FROM (
+      SELECT scope, query_id, doc_id, score, row_number() OVER (PARTITION BY scope, query_id ORDER BY score DESC, doc_id) AS rank FROM (
+        SELECT scope, query_id, doc_id, round({fixed.ALPHA_DEFAULT} * dn + (1.0 - {fixed.ALPHA_DEFAULT}) * sn, 6) AS score FROM (
+          SELECT scope, query_id, doc_id, {_NORM.format(c="ds")} AS dn, {_NORM.format(c="ss")} AS sn FROM (
+            SELECT scope, query_id, doc_id, coalesce(d.score, 0.0) AS ds, coalesce(s.score, 0.0) AS ss
+            FROM (SELECT scope, query_id, doc_id, score FROM dense_may, (SELECT unnest(['both', 'dense']) AS scope) WHERE rank <= 20) d
+            FULL JOIN (SELECT scope, query_id, doc_id, score FROM sparse_may WHERE rank <= 20) s USING (scope, query_id, doc_id))
+          WINDOW p AS (PARTITION BY scope, query_id))))
+    WHERE rank <= 10""", ("dense_may", "sparse_may"))
 def metadata_filter(spark, sf):
-    from askloom.util import broadcast_if
     allowed = d.corpus(spark, sf).filter((F.col("lang") == "en") & F.contains("source", F.lit("1"))).select("doc_id")
-    v = d.vectors(spark, sf).join(broadcast_if(allowed), "doc_id", "left_semi")
-    return retrieve.dense_topk(d.query_vectors(spark, sf), v, 10).select("query_id", "doc_id", "score", "rank")
+    out = None
+    for scope in ("both", "dense"):
+        top = retrieve.hybrid_fuse(d.queries(spark, sf), d.lexical(spark, sf), d.query_vectors(spark, sf), d.vectors(spark, sf), 10, allowed=allowed, scope=scope)
+        part = top.select(F.lit(scope).alias("scope"), "query_id", "doc_id", "score", "rank")
+        out = part if out is None else out.unionByName(part)
+    return out
