@@ -28,6 +28,22 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def runs(values: Column, token=lambda x: x) -> Column:
+    """Runs of equal tokens in a sorted array: array of struct(head, n); linear in its size."""
+    def cut(u):
+        fresh = lambda i: (i == 0) | (token(F.get(u, i)) != token(F.get(u, i - 1)))
+        starts = F.when(F.size(u) > 0, F.filter(F.sequence(F.lit(0), F.size(u) - 1), fresh)).otherwise(F.array().cast("array<int>"))
+        return let(starts, lambda at: F.transform(at, lambda p, i: F.struct(
+            F.get(u, p).alias("head"), (F.coalesce(F.get(at, i + 1), F.size(u)) - p).alias("n"))))
+
+    return let(values, cut)
+
+
+def token_counts(tokens: Column) -> Column:
+    """array of struct(head, n): each distinct token with its number, made within the row."""
+    return runs(F.array_sort(tokens))
+
+
 def strip(c) -> Column:
     """Remove white space at both ends, line breaks included."""
     return F.regexp_replace(_col(c), r"^\s+|\s+$", "")

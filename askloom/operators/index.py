@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from askloom.functions import fixed
 from askloom.functions import text as tx
-from askloom.util import spread
+from askloom.util import balanced, settle
 
 
 @dataclass
 class LexicalIndex:
-    """postings(doc, dl, term, tf), terms(term, df, ctf, idf), totals(n_docs, avgdl)."""
+    """postings(doc, dl, term, tf), terms(term, df, ctf, idf), totals(n_docs, avgdl, avg_idf)."""
 
     postings: DataFrame
     terms: DataFrame
@@ -22,24 +22,23 @@ class LexicalIndex:
     doc: str
 
 
-def build_index(chunks: DataFrame, doc: str, text: str = "text", epsilon: float = fixed.BM25_EPSILON) -> LexicalIndex:
-    """Index tables of a corpus.
+def postings_of(chunks: DataFrame, doc: str, text: str = "text") -> DataFrame:
+    """(doc, dl, term, tf) of chunks, one row of which is one document.
 
-    The text is shuffled once, by document: counting terms per document and, later, adding
-    up a query's scores per document both reuse that partitioning. Only the vocabulary
-    goes through a second shuffle. (``explode_outer``: a plain explode would make the
-    optimizer tokenise once more in a filter in front of the shuffle.)
+    Terms are counted inside the row, so nothing is shuffled. (``explode_outer``: a plain
+    explode would make the optimizer tokenise once more in a filter before it.)
     """
-    placed = spread(chunks.select(doc, text), doc)
-    tokens = placed.select(doc, tx.tokens_bm25(text).alias("_t"))
-    postings = (
-        tokens.select(doc, F.size("_t").alias("dl"), F.explode_outer("_t").alias("term"))
-        .filter("term IS NOT NULL")
-        .groupBy(doc, "dl", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    counts = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
-    n_docs = chunks.agg(F.count("*").alias("n")).scalar()
+    tokens = balanced(chunks.select(doc, text)).select(doc, tx.tokens_bm25(text).alias("_t"))
+    each = tokens.select(doc, F.size("_t").alias("dl"), F.explode_outer(tx.token_counts(F.col("_t"))).alias("_p")).filter("_p IS NOT NULL")
+    return each.select(doc, "dl", F.col("_p.head").alias("term"), F.col("_p.n").cast("bigint").alias("tf"))
+
+
+def counts_of(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
+
+
+def from_counts(postings: DataFrame, counts: DataFrame, n_docs, doc: str, epsilon: float = fixed.BM25_EPSILON) -> LexicalIndex:
+    """The index of postings whose term counts are known; terms in over half of all documents get a floor."""
     raw = counts.withColumn("raw_idf", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     totals = raw.agg(
         F.sum("ctf").alias("tokens"), F.avg("raw_idf").alias("avg_idf"), F.max(n_docs).alias("n_docs")
@@ -49,8 +48,23 @@ def build_index(chunks: DataFrame, doc: str, text: str = "text", epsilon: float
     return LexicalIndex(postings, terms, totals, doc)
 
 
+def build_index(chunks: DataFrame, doc: str, text: str = "text", epsilon: float = fixed.BM25_EPSILON) -> LexicalIndex:
+    """Index tables of a corpus. Only (term, count) pairs are shuffled, combined per task first."""
+    settle(chunks.sparkSession)
+    postings = postings_of(chunks, doc, text)
+    return from_counts(postings, counts_of(postings), chunks.agg(F.count("*").alias("n")).scalar(), doc, epsilon)
+
+
+def extend(index: LexicalIndex, chunks: DataFrame, text: str = "text", epsilon: float = fixed.BM25_EPSILON) -> LexicalIndex:
+    """The index with new documents: only their texts are tokenised, old statistics are added to."""
+    new = postings_of(chunks, index.doc, text)
+    counts = index.terms.select("term", "df", "ctf").unionByName(counts_of(new)).groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
+    sizes = index.totals.select("n_docs").unionByName(chunks.agg(F.count("*").alias("n_docs")))
+    return from_counts(index.postings.unionByName(new), counts, sizes.agg(F.sum("n_docs").alias("n")).scalar(), index.doc, epsilon)
+
+
 def save_index(index: LexicalIndex, path: str) -> None:
-    """Write the three tables; postings are clustered by document so that scoring stays local."""
+    """Write the three tables."""
     index.postings.write.mode("overwrite").parquet(f"{path}/postings")
     index.terms.write.mode("overwrite").parquet(f"{path}/terms")
     index.totals.write.mode("overwrite").parquet(f"{path}/totals")
@@ -60,4 +74,23 @@ def load_index(spark: SparkSession, path: str, doc: str, doc_type: str = "bigint
     postings = spark.read.schema(f"{doc} {doc_type}, dl int, term string, tf bigint").parquet(f"{path}/postings")
     terms = spark.read.schema("term string, df bigint, ctf bigint, idf double").parquet(f"{path}/terms")
     totals = spark.read.schema("n_docs bigint, avgdl double, avg_idf double").parquet(f"{path}/totals")
-    return LexicalIndex(spread(postings, doc), terms, totals, doc)
+    return LexicalIndex(postings, terms, totals, doc)
+
+
+def write_segment(chunks: DataFrame, path: str, segment: int, doc: str, text: str = "text") -> None:
+    """Add documents to an index kept as segments; a segment that is written again replaces itself."""
+    spark = settle(chunks.sparkSession)
+    postings_of(chunks, doc, text).write.mode("overwrite").parquet(f"{path}/postings/segment={segment}")
+    mine = spark.read.parquet(f"{path}/postings/segment={segment}")
+    counts_of(mine).write.mode("overwrite").parquet(f"{path}/counts/segment={segment}")
+    chunks.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/sizes/segment={segment}")
+
+
+def load_segments(spark: SparkSession, path: str, doc: str, doc_type: str = "string", epsilon: float = fixed.BM25_EPSILON) -> LexicalIndex:
+    """The index over all segments: their counts are added up, no text is read."""
+    settle(spark)
+    postings = spark.read.schema(f"{doc} {doc_type}, dl int, term string, tf bigint, segment bigint").parquet(f"{path}/postings").drop("segment")
+    counts = spark.read.schema("term string, df bigint, ctf bigint, segment bigint").parquet(f"{path}/counts")
+    sizes = spark.read.schema("n bigint, segment bigint").parquet(f"{path}/sizes")
+    summed = counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
+    return from_counts(postings, summed, sizes.agg(F.sum("n").alias("n")).scalar(), doc, epsilon)

@@ -24,30 +24,40 @@ def share(part: Column, whole: Column, empty: float = 0.0) -> Column:
 
 # ---- grounding --------------------------------------------------------------------
 
+def split_by(tokens: Column, known: Column) -> Column:
+    """struct(n, rest): how many ``tokens`` are in ``known``, and the others; one sort, no nested scans."""
+    tagged = F.array_sort(F.concat(
+        F.transform(F.array_distinct(known), lambda t: F.struct(t.alias("t"), F.lit(0).alias("own"))),
+        F.transform(tokens, lambda t: F.struct(t.alias("t"), F.lit(1).alias("own")))))
+    hit = lambda r: r["head"]["own"] == 0
+    return tx.let(tx.runs(tagged, lambda x: x["t"]), lambda runs: F.struct(
+        F.aggregate(F.filter(runs, hit), F.lit(0), lambda s, r: s + r["n"] - 1).alias("n"),
+        F.flatten(F.transform(F.filter(runs, lambda r: ~hit(r)), lambda r: F.array_repeat(r["head"]["t"], r["n"]))).alias("rest")))
+
+
 def grounding(answer, support) -> Column:
     """Mean credit of the answer's content tokens: 1 when in the support text, 0.6 when a 5-letter prefix is."""
     at = F.filter(tx.tokens_alnum(answer), lambda t: ~t.isin(*fixed.GROUNDING_STOPWORDS))
-    st = F.array_distinct(tx.tokens_alnum(support))
-    prefixes = lambda s: F.array_distinct(F.transform(F.filter(s, lambda t: F.length(t) >= 5), lambda t: F.left(t, F.lit(5))))
+    prefixes = lambda s: F.transform(F.filter(s, lambda t: F.length(t) >= 5), lambda t: F.left(t, F.lit(5)))
 
-    def credit(a, s, p):
-        one = lambda t: F.when(F.array_contains(s, t), 1.0).when((F.length(t) >= 5) & F.array_contains(p, F.left(t, F.lit(5))), 0.6).otherwise(0.0)
-        total = F.aggregate(a, F.lit(0.0), lambda acc, t: acc + one(t))
-        return F.when((F.size(a) == 0) | (F.size(s) == 0), F.lit(0.0)).otherwise(total / F.size(a))
+    def credit(a, s):
+        whole = lambda w: tx.let(split_by(prefixes(w["rest"]), prefixes(s)), lambda h: w["n"] + 0.6 * h["n"])
+        return F.when((F.size(a) == 0) | (F.size(s) == 0), F.lit(0.0)).otherwise(tx.let(split_by(a, s), whole) / F.size(a))
 
-    return tx.let(at, lambda a: tx.let(st, lambda s: tx.let(prefixes(s), lambda p: credit(a, s, p))))
+    return tx.let(at, lambda a: tx.let(tx.tokens_alnum(support), lambda s: credit(a, s)))
 
 
 # ---- ROUGE --------------------------------------------------------------------------
 
-def clipped_matches(a, b) -> Column:
-    """Size of the multiset intersection of two token arrays."""
-    def count(d, x, y):
-        same = lambda xs, g: F.size(F.filter(xs, lambda t: t == g))
-        return F.aggregate(d, F.lit(0), lambda acc, g: acc + F.least(same(x, g), same(y, g)))
+def numbered(tokens) -> Column:
+    """The tokens with the number of their occurrence attached, so that a multiset becomes a set."""
+    each = lambda r: F.transform(F.sequence(F.lit(1), r["n"]), lambda k: F.concat_ws("\x00", r["head"], k.cast("string")))
+    return F.flatten(F.transform(tx.runs(F.array_sort(_c(tokens))), each))
 
-    return tx.let(_c(a), lambda x: tx.let(F.array_distinct(x), lambda d: tx.let(
-        F.filter(_c(b), lambda t: F.array_contains(d, t)), lambda y: count(d, x, y))))
+
+def clipped_matches(a, b) -> Column:
+    """Size of the multiset intersection of two token arrays; linear but for the sort."""
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
 
 
 def rouge_n(prediction_tokens, target_tokens, n: int) -> Column:

@@ -136,8 +136,10 @@ def append_index(spark, sf):
     docs = d.corpus(spark, sf).select(records.short_hash("text").alias("chunk_id"), "text", "doc_id")
     labelled = table(spark, sf, "labels").select("doc_id")
     current = docs.join(labelled, "doc_id", "left_semi").groupBy("chunk_id").agg(F.first("text").alias("text"))
-    grown = stores.append_unseen(current, docs.select("chunk_id", "text"), "chunk_id")
-    return index.build_index(grown, "chunk_id").terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    path = scratch_dir(spark, "index")
+    index.save_index(index.build_index(current, "chunk_id"), path)
+    fresh = stores.unseen(current, docs.select("chunk_id", "text"), "chunk_id")
+    return index.extend(index.load_index(spark, path, "chunk_id", "string"), fresh).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("save_load_index", "SELECT query_id, doc_id, score, rank FROM bm25 WHERE rank <= 5", ("bm25",))

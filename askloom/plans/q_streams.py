@@ -12,6 +12,17 @@ from askloom.streaming import events as ev
 from askloom.util import scratch_dir
 
 
+def replay(spark, sf):
+    """The events in five micro-batches, so that watermarks move while the stream runs."""
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    days = ["2024-01-07", "2024-01-13", "2024-01-19", "2024-01-25"]
+    return ev.replayed(e, "ts", [F.lit(f"{day} 00:00:00").cast("timestamp_ntz").cast("timestamp") for day in days])
+
+
+#: the last watermark: an hour before the latest event
+_CLOSED = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)"
+
+
 def ntz(name):
     return F.col(name).cast("timestamp_ntz").alias(name)
 
@@ -27,26 +38,26 @@ def stream_audit_append(spark, sf):
 _AGG = "event_type AS model_tag, count(*) AS n, round(avg(value), 6) AS avg_latency_ms, count_if(event_type = 'error') AS escalations"
 
 
-@query("stream_metrics", f"SELECT date_trunc('day', ts)::TIMESTAMP AS start, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS \"end\", {_AGG} FROM events GROUP BY ALL")
+@query("stream_metrics", f"SELECT * FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS start, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS \"end\", {_AGG} FROM events GROUP BY ALL) WHERE \"end\" <= {_CLOSED}")
 def stream_metrics(spark, sf):
-    m = ev.complete_result(ev.windowed_metrics(ev.audit_stream(ev.event_stream(spark, sf)), "1 day"))
+    m = ev.closed_result(ev.windowed_metrics(ev.audit_stream(replay(spark, sf)), "1 day"))
     return m.select(ntz("start"), ntz("end"), "model_tag", "n", F.round("avg_latency_ms", 6).alias("avg_latency_ms"), "escalations")
 
 
 @query("stream_metrics_sliding", f"""
-    SELECT start, start + INTERVAL 1 DAY AS "end", {_AGG} FROM (
-      SELECT *, (time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL (i * 6) HOUR)::TIMESTAMP AS start FROM events, (SELECT unnest([0, 1, 2, 3]) AS i)) GROUP BY ALL""")
+    SELECT * FROM (SELECT start, start + INTERVAL 1 DAY AS "end", {_AGG} FROM (
+      SELECT *, (time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL (i * 6) HOUR)::TIMESTAMP AS start FROM events, (SELECT unnest([0, 1, 2, 3]) AS i)) GROUP BY ALL) WHERE "end" <= {_CLOSED}""")
 def stream_metrics_sliding(spark, sf):
-    m = ev.complete_result(ev.windowed_metrics(ev.audit_stream(ev.event_stream(spark, sf)), "1 day", "6 hours"))
+    m = ev.closed_result(ev.windowed_metrics(ev.audit_stream(replay(spark, sf)), "1 day", "6 hours"))
     return m.select(ntz("start"), ntz("end"), "model_tag", "n", F.round("avg_latency_ms", 6).alias("avg_latency_ms"), "escalations")
 
 
-@query("stream_session_ttl", """
+@query("stream_session_ttl", f"""
     SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS expires, count(*) AS n FROM (
       SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM (
-        SELECT *, (coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 2 HOUR, true))::INT AS fresh FROM events)) GROUP BY user_id, sid""")
+        SELECT *, (coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 2 HOUR, true))::INT AS fresh FROM events)) GROUP BY user_id, sid HAVING max(ts) + INTERVAL 2 HOUR <= {_CLOSED}""")
 def stream_session_ttl(spark, sf):
-    s = ev.complete_result(ev.sessions(ev.event_stream(spark, sf)))
+    s = ev.closed_result(ev.sessions(replay(spark, sf)))
     return s.select("user_id", ntz("start"), ntz("expires"), "n")
 
 
@@ -70,12 +81,12 @@ def stream_ingest_incremental(spark, sf):
     ev.ingest_stream(spark, sf, store, scratch_dir(spark, "ingest-state"))
     again = scratch_dir(spark, "ingest-state")
     ev.run_batches(ev.table_stream(spark, sf, "documents"), lambda df, i: ev.ingest_batch(store)(df, i + 1000), again)
-    chunks = spark.read.schema("chunk_id string, text string, batch bigint").parquet(store)
-    ix = index.build_index(chunks, "chunk_id")
+    ix = index.load_segments(spark, f"{store}-index", "chunk_id")
     return ix.terms.select("term", "df", ix.totals.select("n_docs").scalar().alias("n_chunks"))
 
 
-@query("stream_dedup_queries")
+@query("stream_dedup_queries", """
+    SELECT DISTINCT lower(trim(json_extract_string(props, '$.k'))) AS query, event_type AS model_tag FROM events""")
 def stream_dedup_queries(spark, sf):
     s = ev.event_stream(spark, sf).withColumn("query", F.lower(F.trim(F.get_json_object("props", "$.k"))))
     d = ev.deduplicated(s.select("ts", "query", F.col("event_type").alias("model_tag")), ["query", "model_tag"])

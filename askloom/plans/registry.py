@@ -27,6 +27,8 @@ class Entry:
 
 QUERIES: dict[str, Entry] = {}
 RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {}
+#: costly relations that several others read
+SHARED = {"post", "raw_terms"}
 
 
 def relation(name: str, sql: str, uses: tuple[str, ...] = ()) -> None:
@@ -47,7 +49,7 @@ def compose(sql: str, uses: tuple[str, ...]) -> str:
         visit(name)
     if not order:
         return sql.strip()
-    head = ",\n".join(f"{n} AS ({RELATIONS[n][1]})" for n in order)
+    head = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in SHARED else ''}({RELATIONS[n][1]})" for n in order)
     body = sql.strip()
     for opening in ("WITH RECURSIVE ", "WITH "):
         if body.upper().startswith(opening):

@@ -34,8 +34,12 @@ def write_collections(chunks: DataFrame, path: str) -> None:
 
 def append_unseen(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Union of the current rows and those incoming rows whose key is new (first incoming one per key)."""
-    fresh = incoming.dropDuplicates([key]).join(current.select(key), key, "left_anti")
-    return current.unionByName(fresh)
+    return current.unionByName(unseen(current, incoming, key))
+
+
+def unseen(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """Incoming rows whose key is new, one per key."""
+    return incoming.dropDuplicates([key]).join(current.select(key), key, "left_anti")
 
 
 def collection_stats(chunks: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Each runner starts a query with ``availableNow``, waits for it, stops it, and gives back
 what the sink holds as a batch DataFrame. State and sinks live in the shared folder.
-Rows later than the watermark are dropped.
+Windows and sessions are in append mode: they come out when the watermark closes them, and
+rows later than the watermark are dropped.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from askloom.operators.index import write_segment
 from askloom.sources.records import short_hash
 from askloom.sources.tables import TABLES
 from askloom.util import scratch_dir, settle
@@ -43,14 +45,28 @@ def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], chec
         q.stop()
 
 
-def complete_result(stream: DataFrame) -> DataFrame:
-    """Run an aggregating stream in complete mode; every batch replaces the result table."""
+def closed_result(stream: DataFrame) -> DataFrame:
+    """Run an aggregating stream in append mode: windows are written once, when the watermark closes them, and leave the state."""
     spark = stream.sparkSession
     path, schema = scratch_dir(spark, "stream-result"), stream.schema
-    run_batches(stream, lambda df, _: df.write.mode("overwrite").parquet(path), scratch_dir(spark, "stream-state"), "complete")
+    run_append(stream, path, scratch_dir(spark, "stream-state"))
     return spark.read.schema(schema).parquet(path)
 
 
+def replayed(rows: DataFrame, time: str, bounds: list) -> DataFrame:
+    """A table as a stream of several micro-batches, cut at ``bounds`` of its time column.
+
+    The parts are written one after the other, so a file source takes them in this order.
+    """
+    spark = settle(rows.sparkSession)
+    folder, edges = scratch_dir(spark, "replay"), [None, *bounds, None]
+    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        part = rows if lo is None else rows.filter(F.col(time) >= lo)
+        part = part if hi is None else part.filter(F.col(time) < hi)
+        part.coalesce(1).write.parquet(f"{folder}/part={i}")  # a part is one micro-batch of the replay
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(folder)
+
+
 def audit_stream(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("event_id"), F.col("ts"), F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("model_tag"), F.col("value").alias("latency_ms"),
@@ -77,7 +93,7 @@ def retained(audit: DataFrame, now: Column, days: int = 30, time: str = "ts") ->
 
 
 def ingest_batch(store: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer: new chunks only, one folder per batch id, so a replayed batch overwrites itself."""
+    """A foreachBatch writer: new chunks only, one folder and one index segment per batch id, so a replayed batch overwrites itself."""
     def write(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         fresh = df.select(short_hash("text").alias("chunk_id"), "text").groupBy("chunk_id").agg(F.first("text").alias("text"))
@@ -87,6 +103,8 @@ def ingest_batch(store: str) -> Callable[[DataFrame, int], None]:
             known = spark.read.schema("chunk_id string, text string, batch bigint").parquet(store)
             fresh = fresh.join(known.filter(F.col("batch") != batch_id).select("chunk_id"), "chunk_id", "left_anti")
         fresh.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        stored = spark.read.schema("chunk_id string, text string").parquet(f"{store}/batch={batch_id}")
+        write_segment(stored, f"{store}-index", batch_id, "chunk_id")
 
     return write
 
