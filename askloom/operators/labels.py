@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from askloom.functions import fixed, maths
 from askloom.functions import text as tx
 from askloom.operators import retrieve
-from askloom.util import broadcast_if, top_per_group
+from askloom.util import broadcast_if, global_rank, top_per_group
 
 # Wording of the rule-made rejected answers; callers can pass other lists.
 FILLERS = (" Other rules may apply to some accounts.", " Results can differ by region and plan.", " Exceptions have been reported in a few cases.")
@@ -24,20 +24,21 @@ def hard_negatives(ranked: DataFrame, gold: DataFrame, k: int = 7, query: str =
 
 
 def random_negatives(queries: DataFrame, gold: DataFrame, n: int = 2, seed: int = 42, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
-    """``n`` passages that other queries cite, drawn by hashes.
+    """``n`` passages that other queries cite, drawn by hashes; fewer only where no more exist.
 
-    The pool is hashed into buckets of about four passages; each query draws buckets, so
-    the join is an equi-join with a bounded fan-out and no query meets the whole pool.
+    The pool stands in hash order. A query starts at a place its own hash gives and takes
+    the following ones, around the end. As many more as it has gold passages are looked at,
+    so ``n`` remain whatever it cites, and the join is an equi-join of n plus gold rows.
     """
     pool = gold.select(doc).distinct()
-    buckets = max(1, pool.count() // 4)
-    placed = pool.withColumn("b", F.pmod(F.xxhash64(F.col(doc), F.lit(seed)), F.lit(buckets)))
-    draws = queries.select(query, F.explode(F.sequence(F.lit(1), F.lit(16 * n))).alias("j")).withColumn(
-        "b", F.pmod(F.xxhash64(F.col(query), F.col("j"), F.lit(seed)), F.lit(buckets)))
-    drawn = draws.join(placed, "b").join(gold.select(query, doc), [query, doc], "left_anti")
-    first = drawn.groupBy(query, doc).agg(F.min("j").alias("j"))
-    order = [F.asc("j"), F.asc(F.xxhash64(query, doc, F.lit(seed))), F.asc(doc)]
-    return top_per_group(first, [query], order, n).select(query, doc, "rank")
+    size = pool.count()
+    placed = global_rank(pool.withColumn("_h", maths.hash_order(doc, seed)), [F.col("_h"), F.col(doc)], "_at").select(doc, "_at")
+    own = gold.select(query, doc).distinct().groupBy(query).agg(F.count("*").alias("_g"))
+    reach = F.least(F.lit(n) + F.coalesce("_g", F.lit(0)), F.lit(size))
+    draws = queries.select(query).join(own, query, "left").filter(F.lit(size) > 0).select(query, F.explode(F.sequence(F.lit(1), reach.cast("int"))).alias("j"))
+    draws = draws.withColumn("_at", (maths.hash_below(query, seed, size) + F.col("j") - 1) % F.lit(max(1, size)) + 1)
+    drawn = draws.join(placed, "_at").join(gold.select(query, doc), [query, doc], "left_anti")
+    return top_per_group(drawn, [query], [F.asc("j")], n).select(query, doc, "rank")
 
 
 def training_pairs(gold: DataFrame, hard: DataFrame, random: DataFrame | None = None, smoothing: float = 0.0,
@@ -114,9 +115,9 @@ def corrupt(pairs: DataFrame, pool: DataFrame, key: str, chosen: str, per_type:
     (doc_id), met through hash buckets. ``per_type`` is the number of rows asked for per kind.
     """
     n_pool = max(1, pool.count() // 4)
-    ids = pool.select(F.col("doc_id").cast("string").alias("fake"), F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(n_pool)).alias("b"))
+    ids = pool.select(F.col("doc_id").cast("string").alias("fake"), maths.hash_below("doc_id", seed, n_pool).alias("b"))
     one = ids.groupBy("b").agg(F.min("fake").alias("fake"))
-    base = pairs.withColumn("b", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(n_pool))).join(broadcast_if(one, pool), "b", "left").drop("b")
+    base = pairs.withColumn("b", maths.hash_below(key, seed, n_pool)).join(broadcast_if(one, pool), "b", "left").drop("b")
     a, rx = F.col(chosen), fixed.CITATION_PATTERNS["word_id"]
 
     def pick(values):

@@ -19,15 +19,20 @@ def fit_alpha(rows: DataFrame, features: list[str], label: str, key: str, lo: fl
     x = VectorAssembler(inputCols=features, outputCol="x").transform(weighted)
     model = LinearRegression(featuresCol="x", labelCol=label, weightCol="weight", loss="huber", maxIter=50, regParam=0.001).fit(x.filter("_train"))
     scored = model.transform(x.filter("NOT _train")).withColumn("alpha", maths.clip("prediction", lo, hi))
-    return model, scored.select(key, label, "alpha")
+    return model, scored.select(key, label, "alpha", F.abs(F.col("alpha") - F.col(label)).alias("abs_error"))
 
 
-def fit_confidence(rows: DataFrame, query: str, evidence: str, label: str) -> tuple[object, DataFrame]:
-    """(model, rows with a predicted confidence in [0, 1]) from [query; mean evidence] vectors."""
+def fit_confidence(rows: DataFrame, query: str, evidence: str, label: str, key: str, share: float = 0.8, seed: int = 42) -> tuple[object, DataFrame]:
+    """(model, rows with a predicted confidence in [0, 1]) from [query; mean evidence] vectors.
+
+    Learned from a ``share`` of the rows by hash of the key; ``held_out`` marks the others, ``abs_error`` is on all.
+    """
     joined = F.concat(F.transform(query, lambda v: v.cast("double")), F.transform(evidence, lambda v: v.cast("double")))
     x = rows.withColumn("x", array_to_vector(joined))
-    model = LinearRegression(featuresCol="x", labelCol=label, regParam=0.1, maxIter=50).fit(x)
-    return model, model.transform(x).withColumn("confidence", maths.clip("prediction", 0, 1)).drop("x", "prediction")
+    x = x.withColumn("held_out", maths.hash_unit(key, seed) >= share)
+    model = LinearRegression(featuresCol="x", labelCol=label, regParam=0.1, maxIter=50).fit(x.filter("NOT held_out"))
+    scored = model.transform(x).withColumn("confidence", maths.clip("prediction", 0, 1)).drop("x", "prediction")
+    return model, scored.withColumn("abs_error", F.abs(F.col("confidence") - F.col(label)))
 
 
 def fit_classifier(rows: DataFrame, vector: str, label: str, multinomial: bool = False) -> tuple[object, DataFrame]:

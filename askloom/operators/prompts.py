@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askloom.functions import fixed
+from askloom.functions import fixed, maths
 from askloom.functions import text as tx
 from askloom.sources.records import first_present
 
@@ -78,7 +78,7 @@ def alternate_qtype(qtype) -> Column:
 def qa_prompts(chunks: DataFrame, key: str, qtype: str, seed: int = 42, retry: bool = False) -> DataFrame:
     """(key, qtype, frame, prompt): the frame rotates with a hash of the key; a retry uses the alternate type."""
     kind = alternate_qtype(qtype) if retry else F.col(qtype)
-    frame = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(len(FRAME_ASKS))).cast("int")
+    frame = maths.hash_below(key, seed, len(FRAME_ASKS)).cast("int")
     ask = F.get(F.array(*[F.lit(a) for a in FRAME_ASKS]), frame)
     return chunks.select(key, kind.alias("qtype"), frame.alias("frame"), F.concat(
         F.lit("PASSAGE:\n"), F.col("text"), F.lit("\n\nQUESTION TYPE: "), F.upper(kind), F.lit("\nASK ABOUT: "), ask,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from askloom.functions import fixed, maths
 from askloom.functions import text as tx
 from askloom.operators.retrieve import drop_seen
-from askloom.util import cut_lineage
+from askloom.util import cut_lineage, settle
 
 
 def route_tier(confidence, has_candidates=None, high: float = fixed.CONF_HIGH, medium: float = fixed.CONF_MEDIUM, low: float = fixed.CONF_LOW) -> Column:
@@ -106,6 +106,18 @@ def action_loop(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame],
 
 
 def previous_confidence(steps: DataFrame, session: str, order: str, confidence: str) -> DataFrame:
-    """Confidence before and after each step."""
-    w = Window.partitionBy(session).orderBy(order)
-    return steps.withColumn("confidence_before", F.lag(confidence).over(w)).withColumnRenamed(confidence, "confidence_after")
+    """Confidence before and after each step.
+
+    Rows are placed by ranges of (session, order), so a session of any length is spread; the
+    last step of each range is carried over to the session's next one.
+    """
+    spark = settle(steps.sparkSession)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(steps.repartitionByRange(n, session, order).withColumn("_pid", F.spark_partition_id()))
+    w = Window.partitionBy("_pid", session).orderBy(order)
+    inner = placed.withColumns({"_before": F.lag(confidence).over(w), "_first": F.row_number().over(w) == 1})
+    ends = placed.groupBy(F.col(session).alias("_s"), F.col("_pid").alias("_p")).agg(F.max_by(confidence, order).alias("_last"))
+    carried = ends.withColumn("_carry", F.lag("_last").over(Window.partitionBy("_s").orderBy("_p"))).drop("_last")
+    joined = inner.join(carried, inner[session].eqNullSafe(F.col("_s")) & (F.col("_pid") == F.col("_p")))
+    before = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_before"))
+    return joined.withColumn("confidence_before", before).withColumnRenamed(confidence, "confidence_after").drop("_pid", "_before", "_first", "_s", "_p", "_carry")

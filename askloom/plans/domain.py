@@ -150,9 +150,9 @@ def qa(spark: SparkSession, sf: str) -> DataFrame:
 
 def gold_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Gold per query: the item's text as answer, the documents that contain it with the span, a needed tool, a flag."""
-    pairs = gold(spark, sf)
+    pairs = staged(gold(spark, sf), "gold")  # its size is then known, and bounds what may be broadcast
     docs, q = corpus(spark, sf).select("doc_id", F.col("text").alias("hay")), queries(spark, sf)
-    at = docs.join(broadcast_if(pairs.join(broadcast_if(q), "query_id"), q, 100), "doc_id")
+    at = docs.join(broadcast_if(pairs), "doc_id").join(broadcast_if(q), "query_id")
     start = (F.instr("hay", F.col("text")) - 1).cast("int")
     cites = at.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", start.alias("span_start"), (start + F.length("text")).alias("span_end")))).alias("gold_citations"))
     none = F.array().cast("array<struct<doc_id:bigint,span_start:int,span_end:int>>")

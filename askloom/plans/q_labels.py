@@ -31,11 +31,10 @@ def build_citations(spark, sf):
     return both[0].unionByName(both[1])
 
 
-@query("search_kb", "SELECT query_id, doc_id, score, rank, c.source FROM rerank JOIN corpus c USING (doc_id) WHERE rank <= 5", ("rerank", "corpus"))
+@query("search_kb", "SELECT query_id, doc_id, score, rank, 0 AS span_start, length(c.text) AS span_end, md5(c.text) AS text_md5, c.source FROM rerank JOIN corpus c USING (doc_id) WHERE rank <= 5", ("rerank", "corpus"))
 def search_kb(spark, sf):
-    from askloom.util import broadcast_if
-    hits = tools.search_kb(d.reranked(spark, sf))
-    return d.corpus(spark, sf).select("doc_id", "source").join(broadcast_if(hits, d.queries(spark, sf), 5), "doc_id").select(*FLAT, "source")
+    hits = tools.search_kb(d.queries(spark, sf), d.lexical(spark, sf), d.query_vectors(spark, sf), d.vectors(spark, sf), d.corpus(spark, sf), 5)
+    return hits.select(*FLAT, "span_start", "span_end", F.md5("text").alias("text_md5"), "source")
 
 
 # Policies are parts (key: name and brand); requests are brand or name fragments met in the data.
@@ -66,7 +65,17 @@ def hard_negatives(spark, sf):
     return labels.hard_negatives(d.bm25_top(spark, sf, 17), d.gold(spark, sf), 7).select("query_id", "doc_id", "rank")
 
 
-@query("random_negatives")
+_HASH = "floor(('0x' || substr(md5({key} || '|42'), 1, 8))::BIGINT / 4294967296.0 * {n})::BIGINT"
+
+
+@query("random_negatives", f"""
+    WITH neg_pool AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || '|42'), doc_id) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT doc_id FROM gold)),
+      neg_q AS (SELECT item_id AS query_id, (SELECT count(*) FROM gold g WHERE g.query_id = item_id) AS g FROM benchmark),
+      neg_draws AS (SELECT query_id, j, ({_HASH.format(key='query_id', n='m.n')} + j - 1) % m.n + 1 AS place
+                FROM (SELECT query_id, g, m.n, unnest(range(1, least(2 + g, m.n) + 1)) AS j FROM neg_q, (SELECT max(n) AS n FROM neg_pool) m) d, (SELECT max(n) AS n FROM neg_pool) m)
+    SELECT query_id, doc_id, rank FROM (
+      SELECT query_id, p.doc_id, row_number() OVER (PARTITION BY query_id ORDER BY j) AS rank FROM neg_draws JOIN neg_pool p USING (place)
+      WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.query_id = neg_draws.query_id AND g.doc_id = p.doc_id)) WHERE rank <= 2""", ("gold",))
 def random_negatives(spark, sf):
     return labels.random_negatives(d.queries(spark, sf).select("query_id"), d.gold(spark, sf))
 
@@ -255,9 +264,15 @@ def corrupt_answers(spark, sf):
     return corrupted(spark, sf).filter("rejection_type <> 'hallucinated_citation'").select("qa_id", "rejection_type", "rejected")
 
 
-@query("corrupt_citation")
+@query("corrupt_citation", f"""
+    WITH one AS (SELECT b, min(doc_id::VARCHAR) AS fake FROM (SELECT doc_id, {_HASH.format(key='doc_id', n='greatest(1, n // 4)')} AS b FROM documents, (SELECT count(*) AS n FROM documents)) GROUP BY b),
+      p AS (SELECT qa_id, answer, regexp_extract(answer, '\\[[A-Za-z0-9_\\-]+:\\d+\\-\\d+\\]') AS mark, {_HASH.format(key='qa_id', n='greatest(1, n // 4)')} AS b FROM prefs, (SELECT count(*) AS n FROM documents))
+    SELECT qa_id, 'hallucinated_citation' AS rejection_type, rejected FROM (
+      SELECT qa_id, answer, replace(answer, mark, '[' || coalesce(fake, 'fa' || substr(md5(qa_id), 1, 14)) || regexp_extract(mark, '(:\\d+-\\d+\\])$', 1)) AS rejected
+      FROM p LEFT JOIN one USING (b) WHERE mark <> '')
+    WHERE rejected <> '' AND {sql_strip('rejected')} <> {sql_strip('answer')}""", ("prefs",))
 def corrupt_citation(spark, sf):
-    """The swapped-citation kind (its id is drawn by Spark's own hash, so rows only)."""
+    """The swapped-citation kind."""
     return corrupted(spark, sf).filter("rejection_type = 'hallucinated_citation'").select("qa_id", "rejection_type", "rejected")
 
 

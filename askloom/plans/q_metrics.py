@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from askloom.functions import fixed, maths
 from askloom.functions import text as tx
-from askloom.operators import audit, calibrate, decompose, evaluate, features, labels, metrics, models
+from askloom.operators import audit, calibrate, decompose, evaluate, features, labels, metrics, models, retrieve
 from askloom.plans import domain as d
 from askloom.plans.domain import sql_alnum, sql_list, sql_sentences
 from askloom.plans.registry import query, relation
 from askloom.sources.tables import table
-from askloom.util import broadcast_if
+from askloom.util import broadcast_if, staged
 
 KEYS = "model_tag", "query_id"
 
@@ -43,6 +43,9 @@ relation("m_rouge", f"""
            round(CASE WHEN len(a2) + len(g2) > 0 THEN 2 * m2 / (len(a2) + len(g2)) ELSE 0 END, 4) AS rouge2, round(CASE WHEN len(a1) > 0 THEN mc / len(a1) ELSE 0 END, 4) AS ctx_rouge1
     FROM (SELECT model_tag, query_id, a1, g1, a2, g2, {sql_rouge('a1', 'g1', 1)} AS m1, {sql_rouge('a2', 'g2', 2)} AS m2, {sql_rouge('cf', 'a1', 1)} AS mc
           FROM (SELECT *, list_filter(c1, lambda x: list_contains(a1, x)) AS cf FROM toks))""", ("toks",))
+relation("m_ctx2", f"""
+    SELECT model_tag, query_id, round(CASE WHEN len(a2) > 0 THEN {sql_rouge('cf', 'a2', 2)} / len(a2) ELSE 0 END, 4) AS ctx_rouge2
+    FROM (SELECT model_tag, query_id, a2, list_filter({sql_ngrams('c1', 2)}, lambda x: list_contains(a2, x)) AS cf FROM toks)""", ("toks",))
 # Greedy matching, one prediction after the other, with the used gold positions as state.
 relation("m_walk", """
     SELECT model_tag, query_id, 0::BIGINT AS pos, []::BIGINT[] AS used, 0.0::DOUBLE AS tp FROM resp
@@ -78,13 +81,13 @@ relation("m_comp", f"""
 relation("m_tool", """
     SELECT model_tag, query_id, ticket_id, should_escalate, needed_tool, CASE WHEN needed_tool IS NULL THEN CASE WHEN len(list_filter(tools, lambda t: t NOT IN ('AnswerDirect', 'AnswerVerify', 'SearchKB', 'GetPolicy'))) = 0 THEN 1.0 ELSE 0.5 END
              WHEN list_contains(tools, needed_tool) THEN 1.0 ELSE 0.0 END AS tool_appropriateness, CASE WHEN (ticket_id IS NOT NULL) = should_escalate THEN 1.0 ELSE 0.0 END AS escalation_accuracy,
-           CASE WHEN needed_tool IS NOT NULL THEN list_contains(tools, needed_tool)::INT::DOUBLE END AS tool_name_match FROM toks""", ("toks",))
+           CASE WHEN needed_tool IS NOT NULL THEN list_contains(tools, needed_tool)::INT::DOUBLE END AS tool_name_match, CASE WHEN needed_tool IS NOT NULL THEN list_contains(tools, needed_tool)::INT::DOUBLE END AS tool_arg_f1, query_id % 5 = 0 AS decomposed, query_id % 3 = 0 AS is_multi_part FROM toks""", ("toks",))
 relation("m_all", """
     SELECT *, (0.35 * completeness + 0.25 * citation_coverage + CASE WHEN needed_tool IS NOT NULL THEN 0.20 * tool_appropriateness ELSE 0 END + CASE WHEN should_escalate THEN 0.20 * escalation_accuracy ELSE 0 END)
              / (0.60 + CASE WHEN needed_tool IS NOT NULL THEN 0.20 ELSE 0 END + CASE WHEN should_escalate THEN 0.20 ELSE 0 END) AS fcrs
-    FROM (SELECT model_tag, query_id, latency_ms, ttft_ms, iterations, confidence FROM resp) JOIN m_recall USING (model_tag, query_id) JOIN m_ground USING (model_tag, query_id) JOIN m_rouge USING (model_tag, query_id)
+    FROM (SELECT model_tag, query_id, latency_ms, ttft_ms, iterations, confidence FROM resp) JOIN m_recall USING (model_tag, query_id) JOIN m_ground USING (model_tag, query_id) JOIN m_rouge USING (model_tag, query_id) JOIN m_ctx2 USING (model_tag, query_id)
     JOIN m_cf USING (model_tag, query_id) JOIN m_cov USING (model_tag, query_id) JOIN m_comp USING (model_tag, query_id) JOIN m_tool USING (model_tag, query_id)""",
-         ("resp", "m_recall", "m_ground", "m_rouge", "m_cf", "m_cov", "m_comp", "m_tool"))
+         ("resp", "m_recall", "m_ground", "m_rouge", "m_ctx2", "m_cf", "m_cov", "m_comp", "m_tool"))
 
 
 @query("recall_at_k", "SELECT model_tag, query_id, round(recall_at_20, 6) AS recall FROM m_recall", ("m_recall",))
@@ -215,12 +218,13 @@ def completeness(spark, sf):
     return joined(spark, sf).select(*KEYS, F.round(metrics.completeness("answer", tx.sentences("gold_answer")), 6).alias("completeness"))
 
 
-EVAL = ("recall_at_20", "grounding", "citation_f1", "citation_precision", "citation_recall", "rouge1", "rouge2", "ctx_rouge1", "completeness", "citation_coverage",
-        "tool_name_match", "tool_appropriateness", "escalation_accuracy", "fcrs")
+EVAL = ("recall_at_20", "grounding", "citation_f1", "citation_precision", "citation_recall", "rouge1", "rouge2", "ctx_rouge1", "ctx_rouge2", "completeness", "citation_coverage",
+        "tool_name_match", "tool_arg_f1", "tool_appropriateness", "escalation_accuracy", "fcrs")
 
 
 def per_query(spark, sf):
-    return evaluate.per_query(d.responses(spark, sf), d.gold_rows(spark, sf))
+    k = F.col("query_id")
+    return evaluate.per_query(d.responses(spark, sf).withColumn("decomposed", k % 5 == 0), d.gold_rows(spark, sf).withColumn("is_multi_part", k % 3 == 0))
 
 
 @query("fcrs", "SELECT model_tag, query_id, round(fcrs, 6) AS fcrs FROM m_all", ("m_all",))
@@ -235,8 +239,9 @@ def eval_per_query(spark, sf):
 
 relation("m_sum", "SELECT model_tag, count(*) AS n_queries, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in EVAL) + """, round(quantile_cont(latency_ms, 0.5), 6) AS latency_p50, round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95, round(avg(latency_ms), 6) AS latency_mean,
     round(quantile_cont(ttft_ms, 0.5), 6) AS ttft_p50, round(quantile_cont(ttft_ms, 0.95), 6) AS ttft_p95, CASE WHEN max(iterations) > 0 THEN round(avg(iterations), 6) END AS loop_efficiency,
-    round(2 * count_if(ticket_id IS NOT NULL AND should_escalate) / (2 * count_if(ticket_id IS NOT NULL AND should_escalate) + count_if((ticket_id IS NOT NULL) <> should_escalate)), 6) AS escalation_f1 FROM m_all GROUP BY model_tag""", ("m_all",))
-SUMMARY = (*EVAL, "latency_p50", "latency_p95", "latency_mean", "ttft_p50", "ttft_p95", "loop_efficiency", "escalation_f1")
+    round(2 * count_if(ticket_id IS NOT NULL AND should_escalate) / (2 * count_if(ticket_id IS NOT NULL AND should_escalate) + count_if((ticket_id IS NOT NULL) <> should_escalate)), 6) AS escalation_f1,
+    round(2 * count_if(decomposed AND is_multi_part) / (2 * count_if(decomposed AND is_multi_part) + count_if(decomposed <> is_multi_part)), 6) AS decomposition_f1 FROM m_all GROUP BY model_tag""", ("m_all",))
+SUMMARY = (*EVAL, "latency_p50", "latency_p95", "latency_mean", "ttft_p50", "ttft_p95", "loop_efficiency", "escalation_f1", "decomposition_f1")
 
 
 def summary(spark, sf):
@@ -262,7 +267,7 @@ _W = " + ".join(f"(u >= {p})::INT" for p in evaluate.POISSON1)
 relation("boot", f"""
     SELECT model_tag, avg((abs(coalesce(m, o) - o) >= abs(o))::INT) AS p_value FROM (
       SELECT model_tag, rep, CASE WHEN sum(w) > 0 THEN sum(w * d) / sum(w) END AS m FROM (
-        SELECT model_tag, d, rep, {_W} AS w FROM (SELECT model_tag, d, rep, ('0x' || substr(md5(event || ':' || rep || '|42'), 1, 8))::BIGINT / 4294967296.0 AS u FROM bdiff, (SELECT unnest(range(1, 201)) AS rep)))
+        SELECT model_tag, d, rep, {_W} AS w FROM (SELECT model_tag, d, rep, ('0x' || substr(md5(event || ':' || rep || '|42'), 1, 8))::BIGINT / 4294967296.0 AS u FROM bdiff, (SELECT unnest(range(1, 1001)) AS rep)))
       GROUP BY ALL) JOIN (SELECT model_tag, avg(d) AS o FROM bdiff GROUP BY 1) USING (model_tag) GROUP BY model_tag""".replace("GROUP BY ALL)", "GROUP BY model_tag, rep)"), ("bdiff",))
 # Per-query values for significance: mean event value per user and event type.
 relation("bval", "SELECT event_type AS model_tag, user_id AS event, round(avg(value), 6) AS v FROM events GROUP BY ALL")
@@ -271,7 +276,7 @@ relation("bdiff", "SELECT a.model_tag, a.event, a.v - b.v AS d FROM bval a JOIN
 
 def p_values(spark, sf):
     rows = table(spark, sf, "events").groupBy(F.col("event_type").alias("model_tag"), F.col("user_id").alias("query_id")).agg(F.round(F.avg("value"), 6).alias("fcrs"))
-    return evaluate.bootstrap_p(rows, "click", reps=200)
+    return evaluate.bootstrap_p(rows, "click")
 
 
 @query("bootstrap_p", "SELECT model_tag, round(p_value, 6) AS p_value FROM boot", ("boot",))
@@ -395,20 +400,25 @@ relation("x", "SELECT event_id, least(floor((props->>'$.k')::INT / 100 * 5), 4):
 
 @query("fit_alpha_model")
 def fit_alpha_model(spark, sf):
-    """Fusion weights predicted for the held-out questions; the label follows the share of stopword-like features."""
-    from askloom.plans.q_labels import conversation_vectors
+    """Fusion weights for held-out questions, learned from the weights that retrieve their gold documents best."""
+    q = d.queries(spark, sf).join(d.query_vectors(spark, sf), "query_id", "left")
+    norm = F.sqrt(F.aggregate(F.coalesce("embedding", F.array().cast("array<float>")), F.lit(0.0), lambda s, v: s + v.cast("double") * v))
     f = features.features12("text", "role", F.col("norm"))
-    rows = conversation_vectors(spark, sf).select(F.concat_ws("-", "conv_id", "turn").alias("key"), *[c.alias(n) for n, c in f.items()])
-    rows = rows.withColumn("label", maths.clip(F.col("keyword_density") * 0.8 + F.col("avg_word_len") * 0.2, 0, 1))
-    return models.fit_alpha(rows, list(features.NAMES12), "label", "key", fixed.ALPHA_MIN, fixed.ALPHA_MAX)[1]
+    rows = q.withColumns({"role": F.lit("user"), "norm": norm}).select("query_id", *[c.alias(n) for n, c in f.items()])
+    best = labels.alpha_oracle(d.hybrid_candidates(spark, sf), d.gold(spark, sf), balanced=True).select("query_id", F.col("optimal_alpha").alias("label"))
+    # a fit reads its rows many times: the label's retrieval is done once
+    return models.fit_alpha(staged(rows.join(best, "query_id"), "alpha-rows"), list(features.NAMES12), "label", "query_id", fixed.ALPHA_MIN, fixed.ALPHA_MAX)[1]
 
 
 @query("fit_confidence_model")
 def fit_confidence_model(spark, sf):
-    q = d.query_vectors(spark, sf)
-    ev = labels.mean_pool(d.dense_top(spark, sf, 5), d.vectors(spark, sf), q.select("query_id"), 64)
-    rows = q.join(ev, "query_id").withColumn("soft", maths.hash_unit("query_id", 7))
-    return models.fit_confidence(rows, "embedding", "evidence", "soft")[1].select("query_id", "soft", "confidence")
+    """Confidence learned from how far the best document covers the question's text, with the error on held-out questions."""
+    q, top = d.query_vectors(spark, sf), staged(d.dense_top(spark, sf, 5), "top")
+    ev = labels.mean_pool(top, d.vectors(spark, sf), q.select("query_id"), 64)
+    first = retrieve.with_texts(top.filter("rank = 1").select("query_id", "doc_id"), d.corpus(spark, sf), d.queries(spark, sf), 1)
+    soft = first.select("query_id", maths.clip(retrieve.lexical_scorer(F.col("query_text"), F.col("doc_text")) * 1.25, 0, 1).alias("soft"))
+    rows = staged(q.join(ev, "query_id").join(soft, "query_id"), "confidence-rows")
+    return models.fit_confidence(rows, "embedding", "evidence", "soft", "query_id")[1].select("query_id", "soft", "confidence", "held_out", "abs_error")
 
 
 @query("fit_tool_policy")

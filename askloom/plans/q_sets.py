@@ -53,7 +53,7 @@ def win_first_occurrence(spark, sf):
 
 @query("win_minmax_frame", "SELECT event_id, round(CASE WHEN max(value) OVER u - min(value) OVER u < 1e-12 THEN CASE WHEN max(value) OVER u = 0 THEN 0.0 ELSE 1.0 END ELSE (value - min(value) OVER u) / (max(value) OVER u - min(value) OVER u) END, 6) AS norm FROM events WINDOW u AS (PARTITION BY user_id)")
 def win_minmax_frame(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.round(retrieve.minmax("value", "user_id"), 6).alias("norm"))
+    return retrieve.minmax_rows(table(spark, sf, "events"), "value", "user_id").select("event_id", F.round("norm", 6).alias("norm"))
 
 
 @query("list_tickets", "SELECT event_id AS ticket_id, user_id AS session_id, ts AS timestamp FROM events WHERE event_type = 'error' ORDER BY ts DESC, user_id")

@@ -187,9 +187,16 @@ def format_confidence_prompt(spark, sf):
     return prompts.confidence_prompts(ctx, d.qa(spark, sf).select("qa_id", F.col("query").alias("text")), "qa_id")
 
 
-@query("format_qa_prompt")
+_FRAME = f"floor(('0x' || substr(md5(id || '|42'), 1, 8))::BIGINT / 4294967296.0 * {len(prompts.FRAME_ASKS)})::INT"
+
+
+@query("format_qa_prompt", f"""
+    WITH c AS (SELECT doc_id || '-' || chunk_index AS id, text FROM chunks),
+      k AS (SELECT id, text, retry, CASE WHEN retry THEN '{fixed.QTYPE_ALTERNATE.get("factoid", "policy")}' ELSE 'factoid' END AS qtype FROM c, (SELECT unnest([false, true]) AS retry))
+    SELECT id AS chunk_id, qtype, {_FRAME} AS frame, retry, 'PASSAGE:' || chr(10) || text || chr(10) || chr(10) || 'QUESTION TYPE: ' || upper(qtype) || chr(10) || 'ASK ABOUT: '
+      || {sql_list(prompts.FRAME_ASKS)}[{_FRAME} + 1] || chr(10) || chr(10) || 'Reply with strict JSON: {{"query": "...", "answer": "..."}}' AS prompt FROM k""", ("chunks",))
 def format_qa_prompt(spark, sf):
-    """Prompts for every chunk and their retry form (frames rotate by Spark's own hash, so rows only)."""
+    """Prompts for every chunk and their retry form."""
     c = d.chunks(spark, sf).select(F.concat_ws("-", "doc_id", "chunk_index").alias("chunk_id"), "text", F.lit("factoid").alias("kind"))
     first = prompts.qa_prompts(c, "chunk_id", "kind").withColumn("retry", F.lit(False))
     return first.unionByName(prompts.qa_prompts(c, "chunk_id", "kind", retry=True).withColumn("retry", F.lit(True)))

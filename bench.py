@@ -27,6 +27,10 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 4))
     names = os.environ.get("BENCH_QUERIES", " ".join(HEADLINE)).split()
     spark = local_session("bench", cpus)
+    # start the session's machinery (Python workers, code generation) before anything is timed
+    start = time.perf_counter()
+    QUERIES["bm25_topk"].run(spark, folder).write.format("noop").mode("overwrite").save()
+    warm_up = round(time.perf_counter() - start, 3)
     took: dict[str, float] = {}
     for name in names:
         start = time.perf_counter()
@@ -37,7 +41,7 @@ def main() -> None:
     rate = round(n_queries / took["hybrid_fuse"], 2) if took.get("hybrid_fuse") else None
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took,
-        "sf": os.path.basename(folder.rstrip("/")).replace("sf", ""), "hybrid_queries_per_sec": rate}))
+        "sf": os.path.basename(folder.rstrip("/")).replace("sf", ""), "hybrid_queries_per_sec": rate, "warm_up": warm_up}))
     spark.stop()
 
 
