@@ -125,6 +125,28 @@ def user_docs_answers(spark, sf):
     return answer_from_collection(q, qv, d.vectors(spark, sf), coll, answer, now()).select("query_id", "outcome", "answer", "n_hits", "ticket_id")
 
 
+# Every user's own collection at once: documents and questions belong to the user their number gives.
+relation("udocs", """
+    SELECT query_id, text, doc_id, score, rank, CASE WHEN query_id % 3 = 0 THEN 'The text does not contain it.' ELSE text END AS answer FROM (
+      SELECT query_id, vec_id AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+        SELECT query_id, vec_id, round(list_inner_product(embedding::DOUBLE[], qv), 6) AS score FROM embeddings, qv WHERE vec_id % 7 = query_id % 7 AND vec_id IN (SELECT doc_id FROM documents)))
+    JOIN q USING (query_id) WHERE rank <= 5 AND score >= 0.30""", ("qv", "q"))
+
+
+@query("user_docs_many", f"""
+    WITH outcome AS (SELECT q.query_id, q.text, any_value(answer) AS answer, count(doc_id) AS n_hits FROM q LEFT JOIN udocs USING (query_id) WHERE q.query_id IN (SELECT query_id FROM qv) GROUP BY ALL)
+    SELECT query_id, 'answer' AS outcome, answer, n_hits, NULL AS ticket_id FROM outcome WHERE n_hits > 0 AND NOT {sql_any('answer', fixed.OUT_OF_SCOPE_PHRASES)}
+    UNION ALL SELECT query_id, 'ticket', NULL, 0, 'TKT-' || upper(substr(sha256(query_id::VARCHAR), 1, 10)) FROM outcome WHERE NOT (n_hits > 0 AND NOT {sql_any("coalesce(answer, 'no information')", fixed.OUT_OF_SCOPE_PHRASES)})""", ("q", "udocs", "qv"))
+def user_docs_many(spark, sf):
+    from askloom.operators.userdocs import answer_from_collections
+    user = lambda c: (F.col(c) % 7).alias("collection")
+    qv = d.query_vectors(spark, sf)
+    q = d.queries(spark, sf).join(qv.select("query_id"), "query_id", "left_semi").select("query_id", "text", user("query_id"))
+    members = d.corpus(spark, sf).select(user("doc_id"), "doc_id")
+    answer = F.when(F.col("query_id") % 3 == 0, "The text does not contain it.").otherwise(F.col("text"))
+    return answer_from_collections(q, qv, d.vectors(spark, sf), members, answer, now()).select("query_id", "outcome", "answer", "n_hits", "ticket_id")
+
+
 # Sub-responses: the turns of a conversation answered one by one and merged per conversation.
 relation("subr", f"""
     SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS first FROM (
