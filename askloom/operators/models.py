@@ -14,12 +14,15 @@ from askloom.operators.audit import inverse_frequency_weights
 
 
 def fit_alpha(rows: DataFrame, features: list[str], label: str, key: str, lo: float, hi: float, seed: int = 42) -> tuple[object, DataFrame]:
-    """(model, scored validation rows): a weighted robust regression on the query features, 90/10 by hash."""
-    weighted = inverse_frequency_weights(rows, label).withColumn("_train", maths.hash_unit(key, seed) < 0.9)
+    """(model, scored rows): a weighted robust regression on the query features, learned from 90 % of the rows by hash.
+
+    ``held_out`` marks the rows that were not learned from, ``abs_error`` is on all.
+    """
+    weighted = inverse_frequency_weights(rows, label).withColumn("held_out", maths.hash_unit(key, seed) >= 0.9)
     x = VectorAssembler(inputCols=features, outputCol="x").transform(weighted)
-    model = LinearRegression(featuresCol="x", labelCol=label, weightCol="weight", loss="huber", maxIter=50, regParam=0.001).fit(x.filter("_train"))
-    scored = model.transform(x.filter("NOT _train")).withColumn("alpha", maths.clip("prediction", lo, hi))
-    return model, scored.select(key, label, "alpha", F.abs(F.col("alpha") - F.col(label)).alias("abs_error"))
+    model = LinearRegression(featuresCol="x", labelCol=label, weightCol="weight", loss="huber", maxIter=50, regParam=0.001).fit(x.filter("NOT held_out"))
+    scored = model.transform(x).withColumn("alpha", maths.clip("prediction", lo, hi))
+    return model, scored.select(key, label, "alpha", "held_out", F.abs(F.col("alpha") - F.col(label)).alias("abs_error"))
 
 
 def fit_confidence(rows: DataFrame, query: str, evidence: str, label: str, key: str, share: float = 0.8, seed: int = 42) -> tuple[object, DataFrame]:
