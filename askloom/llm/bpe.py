@@ -297,7 +297,7 @@ class Encoded:
 
 def encode_pieces(content: bytes, column: pa.Array) -> Iterator[tuple[int, int, Encoded]]:
     v = _vocabulary(content)
-    for lo, hi, raw, at in spans.pieces(column):
+    for lo, hi, raw, at in spans.pieces(column, 2):  # larger pieces hold more words that are equal
         yield lo, hi, Encoded(v, raw, at)
 
 

@@ -23,6 +23,13 @@ def _towards_least(links: DataFrame, smaller_only: bool) -> DataFrame:
     return out.filter(F.col("a") != F.col("b")).distinct()
 
 
+def _all_stars(links: DataFrame) -> bool:
+    """Every node has one link to a smaller node, or only links to larger ones."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up > 0 and down > 0").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of the links (a, b) of type long; the label is the least node reached.
 
@@ -30,18 +37,13 @@ def components(links: DataFrame) -> DataFrame:
     rounds grows with the logarithm of the longest chain. Links to itself and nulls are ignored.
     """
     util.settle(links.sparkSession)
-    now = util.staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct(), "links")
-
-    def digest(df: DataFrame):
-        row = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return row[0], row[1]
-
-    before = digest(now)
-    while before[0]:
-        large = _towards_least(now, smaller_only=False).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        now = util.staged(_towards_least(large, smaller_only=True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-        after = digest(now)
-        if after == before:
-            break
-        before = after
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
+
+    def ordered(df: DataFrame) -> DataFrame:
+        return df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    now = ordered(links.filter(F.col("a") != F.col("b")))
+    while True:
+        large = ordered(_towards_least(now, smaller_only=False))
+        now = util.staged(ordered(_towards_least(large, smaller_only=True)), "links")
+        if _all_stars(now):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()

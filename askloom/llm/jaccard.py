@@ -5,19 +5,22 @@ similarity t or more must have an n-gram in common among the first |x| - ceil(t
 each. The steps, each a Spark job over written tables:
 
 1. Each text becomes its set of 64-bit n-gram hashes (numpy, per Arrow batch). The order is by
-   hash, with the most frequent n-grams last: counts come from the beginnings of all sets, and
-   the ``_HOT`` most frequent form a table of fixed size. Any order gives the same result; this
-   one keeps passages that many documents share out of the prefixes.
-2. Equal sets are one node. Nodes of equal prefix and size form a group, and groups are what
-   the prefix tokens are joined on.
-3. Star step: each group is paired with two hubs (the least and the greatest group by a hash)
-   of its tokens, each node with its group. Pairs that share too few prefix tokens for the
-   threshold, or whose sizes differ too much, are dropped; the rest is verified on whole
-   sets. A family of thousands of near copies becomes connected here with two pairs per member.
-4. Full step: for tokens whose nodes are not all connected yet, groups are expanded and every
-   pair of nodes of different components is filtered in the same way and verified. Nothing is
-   sampled and no bucket is capped, so no link between components is lost; pairs inside a
-   component, which cannot change the result, are never formed.
+   hash, with the most frequent n-grams last: the beginnings of all sets are counted, then the
+   rest of those sets whose prefix, without frequent n-grams, would reach beyond. The ``_HOT``
+   most frequent of each count form a table of fixed size. Any order gives the same result;
+   this one keeps passages that many documents share out of the prefixes.
+2. Equal sets are one node. Nodes of equal prefix and size form a group, and the group's
+   leader stands for it where the prefix tokens are joined; members are verified against it.
+3. Rounds. Each token's groups are dealt by a hash of the round into hands of at most
+   ``_HANDS`` on average, and the groups of a hand are paired unless connected already. Pairs of
+   too different size, or that share too few prefix n-grams for the threshold, are dropped;
+   the rest is verified on whole sets. A token of few groups is done after the first round;
+   a family of thousands of near copies is connected after a few, with some pairs per member
+   in each, though most of its members may not be similar to any one of them.
+4. Full step. Of the tokens whose nodes are still not all connected, groups are expanded and
+   every pair of nodes of different components is filtered and verified. Nothing is sampled
+   and no bucket is capped, so no link between components is lost; pairs inside a component,
+   which cannot change the result, are never formed.
 
 Defined results: a text with fewer than ``n`` words is its whole word sequence as one n-gram;
 a text that is null or has no words is empty and linked with nothing; equal rows are linked
@@ -36,6 +39,7 @@ from askloom.llm import graph, spans
 
 _HOT = 1 << 18
 _HOT_LEAST = 50
+_HANDS = (32, 64, 256)
 
 
 def sets_of(raw: np.ndarray, at: np.ndarray, n: int, hot: np.ndarray) -> list[np.ndarray]:
@@ -76,22 +80,40 @@ def _prefix(n: Column | int, num: int, den: int):
     return n - F.ceil(n * num / den) + 1
 
 
-def _tokens(docs: DataFrame, n: int, num: int, den: int, key: str, text: str) -> DataFrame:
-    """One row per n-gram of the first two prefixes' length of each set, in plain order."""
+def _counted(docs: DataFrame, n: int, num: int, den: int, text: str, hot: np.ndarray | None = None) -> np.ndarray:
+    """The most frequent n-grams, sorted, of the first two prefixes' length of each set in plain order.
+
+    With ``hot``, of the rest of those sets that have less than a prefix of other n-grams there.
+    """
+    sent = None if hot is None else docs.sparkSession.sparkContext.broadcast(hot)
+
+    def part(s: np.ndarray) -> np.ndarray:
+        p = _prefix(len(s), num, den)
+        if sent is None:
+            return s[:2 * p]
+        known = sent.value
+        if len(known) == 0 or len(s) <= 2 * p:
+            return s[:0]
+        frequent = known[np.minimum(np.searchsorted(known, s[:2 * p]), len(known) - 1)] == s[:2 * p]
+        return s[2 * p:] if 2 * p - frequent.sum() < p else s[:0]
+
     def run(batches):
         none = np.zeros(0, np.uint64)
         for b in batches:
             for _, _, raw, at in spans.pieces(b.column(0)):
-                parts = [s[:2 * _prefix(len(s), num, den)] for s in sets_of(raw, at, n, none) if len(s)]
+                parts = [x for x in map(part, sets_of(raw, at, n, none)) if len(x)]
                 if parts:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64))], ["token"])
 
-    return docs.select(docs[text].alias("t")).mapInArrow(run, "token long")
+    tokens = docs.select(docs[text].alias("t")).mapInArrow(run, "token long")
+    frequent = tokens.groupBy("token").count().filter(F.col("count") >= _HOT_LEAST)
+    top = frequent.orderBy(F.desc("count"), "token").limit(_HOT).select("token").toArrow()
+    return np.sort(np.array(top.column(0).to_numpy(), np.int64).view(np.uint64))
 
 
 def _described(docs: DataFrame, n: int, num: int, den: int, hot: np.ndarray, key: str, text: str) -> DataFrame:
     """(k, n_shingles, node, prefix) of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(hot)  # _HOT numbers at most
+    sent = docs.sparkSession.sparkContext.broadcast(hot)  # 2 * _HOT numbers at most
 
     def run(batches):
         for b in batches:
@@ -131,21 +153,53 @@ def _near(nx: Column, ny: Column, num: int, den: int) -> Column:
     return F.least(nx, ny) * den >= F.greatest(nx, ny) * num
 
 
+def _early(nx: str, ny: str, early_x: str, early_y: str) -> Column:
+    return (F.col(early_x) & (F.col(nx) <= F.col(ny))) | (F.col(early_y) & (F.col(ny) <= F.col(nx)))
+
+
 def _enough(c: Column, nx: Column, ny: Column, num: int, den: int) -> Column:
     """Shared prefix tokens that a similar pair must have, given both sizes."""
     most_left = F.greatest(nx - _prefix(nx, num, den), ny - _prefix(ny, num, den))
     return c >= F.ceil((nx + ny) * num / (num + den)) - most_left
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = util.staged(nodes.join(ends, "node", "left_semi").select("node", "rep"), "wanted")
-    sets = util.staged(_sets(docs, wanted, n, key, text), "sets")
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common * den >= (F.size("sa") + F.size("sb") - common) * num).select("a", "b")
+class _Checker:
+    """Verifies pairs of nodes on their whole sets, which are read once and kept in written tables."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, key: str, text: str):
+        self.docs, self.nodes, self.how = docs, nodes, (n, key, text)
+        self.num, self.den = num, den
+        self.held: DataFrame | None = None
+
+    def candidates(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose prefixes share enough."""
+        known = self.nodes.select("node", "n", "prefix")
+        left = pairs.join(known.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a")
+        both = left.join(known.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
+        common = F.size(F.array_intersect("pa", "pb"))
+        return both.filter(_near(F.col("na"), F.col("nb"), self.num, self.den) & _enough(common, F.col("na"), F.col("nb"), self.num, self.den)).select("a", "b")
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """The similar ones among the written pairs, as a written table."""
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        new = self.nodes.join(ends, "node", "left_semi")
+        if self.held is not None:
+            new = new.join(self.held.select("node"), "node", "left_anti")
+        sets = util.staged(_sets(self.docs, util.staged(new.select("node", "rep"), "wanted"), *self.how), "sets")
+        self.held = sets if self.held is None else self.held.unionByName(sets)
+        left = pairs.join(self.held.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+        both = left.join(self.held.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return util.staged(both.filter(common * self.den >= (F.size("sa") + F.size("sb") - common) * self.num).select("a", "b"), "verified")
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (node, label) of all nodes after more links (a, b); only components are linked, not nodes."""
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(
+        labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    merged = graph.components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    into = merged.select(F.col("node").alias("label"), F.col("label").alias("into"))
+    return util.staged(labels.join(into, "label", "left").select("node", F.coalesce("into", "label").alias("label")), "labels")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,9 +208,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     Two documents are linked when common n-grams * den >= joint n-grams * num.
     """
     spark = util.settle(docs.sparkSession)
-    frequent = _tokens(docs, n, num, den, key, text).groupBy("token").count().filter(F.col("count") >= _HOT_LEAST)
-    top = frequent.orderBy(F.desc("count"), "token").limit(_HOT).select("token").toArrow()
-    hot = np.sort(np.array(top.column(0).to_numpy(), np.int64).view(np.uint64))
+    begun = _counted(docs, n, num, den, text)
+    hot = np.union1d(begun, _counted(docs, n, num, den, text, begun))
 
     described = util.staged(_described(docs, n, num, den, hot, key, text), "described")
     some = described.filter(F.col("node").isNotNull())
@@ -166,44 +219,57 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
     leaders = nodes.groupBy("group").agg(F.min("node").alias("leader"))
     groups = nodes.join(leaders, "group")
-    posting = groups.filter(F.col("node") == F.col("leader")).select("leader", "n", F.explode("prefix").alias("token"))
-    placed = F.struct(F.xxhash64("leader").alias("h"), "leader", "n")
-    hubs = posting.groupBy("token").agg(F.count("*").alias("c"), F.min(placed).alias("lo"), F.max(placed).alias("hi")).filter("c > 1")
-    shared = util.staged(posting.join(hubs, "token").select("token", "leader", "n", "lo", "hi"), "postings")
-    star = shared.select("leader", "n", F.posexplode(F.array("lo", "hi")).alias("which", "hub")).filter(
-        (F.col("hub.leader") != F.col("leader")) & _near(F.col("n"), F.col("hub.n"), num, den))
-    counted = star.groupBy("leader", "n", "which", F.col("hub.leader").alias("hub"), F.col("hub.n").alias("hub_n")).count()
-    best = counted.filter(_enough(F.col("count"), F.col("n"), F.col("hub_n"), num, den)).groupBy("leader", "which").agg(
-        F.max(F.struct("count", "hub")).alias("best"))
-    to_hub = best.select(F.col("leader").alias("a"), F.col("best.hub").alias("b"))
-    to_leader = groups.filter(F.col("node") != F.col("leader")).select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    first = util.staged(to_hub.unionByName(to_leader).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = util.staged(_verified(docs, first, nodes, n, num, den, key, text), "verified")
-    labels = util.staged(graph.components(links), "labels")
-
-    member = groups.join(labels, "node", "left").select("node", "n", "leader", F.coalesce("label", "node").alias("label"))
-    # buckets of one token, or of one group, that hold more than one component
-    keyed = shared.select(F.col("token").alias("bucket"), "leader").join(member, "leader").select("bucket", "node", "n", "label")
+    # of two similar sets the one that is not larger has a common n-gram already in this shorter prefix
+    brief = F.col("n") - F.ceil(F.col("n") * 2 * num / (num + den)) + 1
+    posting = groups.filter(F.col("node") == F.col("leader")).select("leader", F.posexplode("prefix").alias("pos", "token"), brief.alias("brief")).select(
+        "leader", "token", (F.col("pos") < F.col("brief")).alias("early"))
+    crowd = posting.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = util.staged(posting.join(crowd, "token"), "postings")
+    checker = _Checker(docs, nodes, n, num, den, key, text)
+    sizes = nodes.select(F.col("node").alias("leader"), "n")
+    inner = groups.filter(F.col("node") != F.col("leader")).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    several = groups.groupBy("leader").agg(F.count("*").alias("m")).filter("m > 1").select("leader")
+    labels = nodes.select("node", F.col("node").alias("label"))
+    for turn, size in enumerate(_HANDS):
+        live = shared.join(sizes, "leader").join(labels.withColumnRenamed("node", "leader"), "leader")
+        if turn:
+            mixed = live.filter(F.col("c") > _HANDS[0]).groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
+            live = live.join(mixed, "token")
+        bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("c") / size))).cast("int")
+        hand = F.pmod(F.xxhash64("leader", F.lit(turn)), F.pow(F.lit(2), bits).cast("long"))
+        dealt = live.select("token", hand.alias("hand"), "leader", "n", "label", "early")
+        x, y = dealt.alias("x"), dealt.alias("y")
+        meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.hand") == F.col("y.hand")) & (F.col("x.leader") < F.col("y.leader"))
+        met = x.join(y, meet & (F.col("x.label") != F.col("y.label")) & _near(F.col("x.n"), F.col("y.n"), num, den) & _early("x.n", "y.n", "x.early", "y.early"))
+        pairs = checker.candidates(met.select(F.col("x.leader").alias("a"), F.col("y.leader").alias("b")).distinct())
+        labels = _relabelled(labels, checker.similar(util.staged(pairs if turn else pairs.unionByName(inner), "pairs")))
+
+    member = util.staged(groups.join(labels, "node").select("node", "n", "leader", "label"), "members")
+    # tokens that were not paired in full: of many groups, or with a group of several members
+    wide = shared.join(several.withColumn("m", F.lit(True)), "leader", "left").filter((F.col("c") > _HANDS[0]) | F.col("m")).select("token").distinct()
+    keyed = shared.join(wide, "token").select(F.col("token").alias("bucket"), "leader", "early").join(member, "leader").select("bucket", "node", "n", "label", "early")
     mixed = keyed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-    inside = member.groupBy("leader").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("leader")
     open_ = util.staged(keyed.join(mixed, "bucket"), "open")
-    kinds = open_.select("bucket", "label").distinct()
-    sides = kinds.alias("x").join(kinds.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label"))).select(
+    # pairs of components that have nodes of near sizes in a bucket, one of them early
+    kinds = open_.groupBy("bucket", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("early").alias("early"))
+    able = (F.col("x.most") * den >= F.col("y.least") * num) & (F.col("y.most") * den >= F.col("x.least") * num) & (F.col("x.early") | F.col("y.early"))
+    sides = kinds.alias("x").join(kinds.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & able).select(
         F.col("x.bucket").alias("bucket"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
-    a_side = open_.select("bucket", F.col("label").alias("la"), F.col("node").alias("a"), F.col("n").alias("na"))
-    b_side = open_.select("bucket", F.col("label").alias("lb"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    crossing = sides.join(a_side, ["bucket", "la"]).join(b_side, ["bucket", "lb"]).filter(_near(F.col("na"), F.col("nb"), num, den))
-    crossing = crossing.groupBy("a", "b", "na", "nb").count().filter(_enough(F.col("count"), F.col("na"), F.col("nb"), num, den)).select("a", "b")
+    a_side = open_.select("bucket", F.col("label").alias("la"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("early").alias("ea"))
+    b_side = open_.select("bucket", F.col("label").alias("lb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("early").alias("eb"))
+    crossing = sides.join(a_side, ["bucket", "la"]).join(b_side, ["bucket", "lb"]).filter(
+        _near(F.col("na"), F.col("nb"), num, den) & _early("na", "nb", "ea", "eb")).select("a", "b")
     # members of one group share the whole prefix: pairs of different components inside it
+    inside = member.groupBy("leader").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("leader")
     apart = member.join(inside, "leader")
     within = apart.select("leader", F.col("label").alias("la"), F.col("node").alias("a")).join(
         apart.select("leader", F.col("label").alias("lb"), F.col("node").alias("b")), "leader").filter("la < lb").select("a", "b")
-    more = util.staged(crossing.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                       .join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_verified(docs, more, nodes, n, num, den, key, text))
-    labels = util.staged(graph.components(links), "labels")
+    ordered = crossing.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = util.staged(checker.candidates(ordered), "pairs")
+    if not more.isEmpty():
+        labels = _relabelled(labels, checker.similar(more))
 
-    whole = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    whole = nodes.select("node", "rep").join(labels, "node")
     least = whole.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = whole.join(least, "label").select("node", "component_id")
     return described.join(named, "node", "left").select(F.col("k").alias(key), "n_shingles", F.coalesce("component_id", "k").alias("component_id"))

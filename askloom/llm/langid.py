@@ -7,7 +7,7 @@ follow-the-regularised-leader and elastic-net penalties on a bounded sample of l
 rows, then calibrated by one temperature on a part of the sample that training did not see.
 
 What may be bounded is bounded by parameters: ``per_label`` labelled rows for each language
-(those of smallest hash of the key) and ``max_labels`` languages (the most frequent). Every
+(distinct texts, those of smallest hash) and ``max_labels`` languages (the most frequent). Every
 row is predicted, from its whole text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every
@@ -106,7 +106,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum()
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> Model | None:
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 8, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> Model | None:
     """A model of (label, feature numbers, shares) rows; every fifth row only calibrates."""
     labels = tuple(sorted({r[0] for r in rows}))
     if not labels:
@@ -152,11 +152,11 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 4, alpha:
     return Model(labels, (w[:size] * idf[:, None] * _SCALE).astype(np.float32), w[size], float(best))
 
 
-def train(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = 800, max_labels: int = 200) -> Model | None:
+def train(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = 400, max_labels: int = 200) -> Model | None:
     """Fit on a bounded sample of labelled rows: at most ``per_label`` x ``max_labels``."""
-    known = rows.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("y"))
-    order = F.xxhash64(F.col("k").cast("string"))
-    ranked = known.withColumn("h", order).withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "k"))).filter(F.col("r") <= per_label)
+    labelled = rows.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("y"), F.xxhash64(text).alias("h"))
+    known = labelled.groupBy("y", "h").agg(F.min("k").alias("k"))  # copies of a text teach nothing more
+    ranked = known.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "k"))).filter(F.col("r") <= per_label)
     common = known.groupBy("y").count().orderBy(F.desc("count"), "y").limit(max_labels).select("y")
     chosen = ranked.join(F.broadcast(common), "y").select("k", "y", "h", "r")  # broadcast: max_labels rows
     with_text = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")  # per_label * max_labels keys
@@ -182,6 +182,8 @@ def train(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     table = got.sort_by([("r", "ascending"), ("y", "ascending"), ("h", "ascending")])
     f, x = table.column("f").combine_chunks(), table.column("x").combine_chunks()
     sample = [(y, np.array(f[i].values), np.array(x[i].values)) for i, y in enumerate(table.column("y").to_pylist())]
+    del got, table, f, x
+    pa.default_memory_pool().release_unused()
     return fit([s for s in sample if len(s[1])])
 
 

@@ -107,7 +107,23 @@ def op7_quality_rules(spark, folder):
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-@query("op8_line_dedup")
+@query("op8_line_dedup", """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, list_transform(ls, lambda x: substr(md5(x), 1, 16)) AS h FROM l),
+g AS (SELECT doc_id, h, list_transform(range(1, len(h) - 1), lambda i: CASE WHEN h[i] = b AND h[i + 1] = b AND h[i + 2] = b THEN 'z'
+        ELSE substr(md5(h[i] || h[i + 1] || h[i + 2]), 1, 16) END) AS g FROM h, (SELECT substr(md5(''), 1, 16) AS b)),
+f AS (SELECT DISTINCT doc_id, h, g[p] AS k, p FROM (
+        SELECT doc_id, h, g, unnest(list_transform(range(1, greatest(len(g) - 2, 1) + 1), lambda j: j + list_position(g[j:j + 2], list_min(g[j:j + 2])) - 1)) AS p
+        FROM g WHERE len(g) > 0) WHERE g[p] <> 'z'),
+c AS (SELECT doc_id, k, p, CASE WHEN p >= 2 THEN h[p - 1] END AS b1, CASE WHEN p >= 3 THEN h[p - 2] END AS b2, h[p + 3] AS a1, h[p + 4] AS a2,
+        row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS nth FROM f),
+gone AS (SELECT DISTINCT c.doc_id, unnest(range(c.p - CASE WHEN c.b1 = s.b1 THEN CASE WHEN c.b2 = s.b2 THEN 2 ELSE 1 END ELSE 0 END,
+        c.p + 3 + CASE WHEN c.a1 = s.a1 THEN CASE WHEN c.a2 = s.a2 THEN 2 ELSE 1 END ELSE 0 END)) AS i FROM c JOIN c s ON s.k = c.k AND s.nth = 1 WHERE c.nth > 1),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+kept AS (SELECT e.doc_id, string_agg(s, chr(10) ORDER BY e.i) AS t FROM (SELECT doc_id, unnest(ls) AS s, generate_subscripts(ls, 1) AS i FROM l) e
+         LEFT JOIN gone ON gone.doc_id = e.doc_id AND gone.i = e.i WHERE gone.i IS NULL GROUP BY e.doc_id)
+SELECT l.doc_id, len(ls)::BIGINT AS n_lines, coalesce(n.n, 0)::BIGINT AS n_removed, length(coalesce(t, ''))::BIGINT AS n_kept_chars, md5(coalesce(t, '')) AS kept_md5
+FROM l LEFT JOIN n ON n.doc_id = l.doc_id LEFT JOIN kept ON kept.doc_id = l.doc_id""")
 def op8_line_dedup(spark, folder):
     rows = lines.drop_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_kept_chars"), F.md5("text").alias("kept_md5"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text is a piece of its own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -41,7 +41,7 @@ _BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER)
 
 def _powers(base: int, n: int) -> np.ndarray:
     if len(_POWERS[base]) < n:
-        grown = np.full(max(n, PIECE_BYTES + 1), base, np.uint64)
+        grown = np.full(n + (n >> 2), base, np.uint64)
         grown[0] = 1
         _POWERS[base] = np.multiply.accumulate(grown)
     return _POWERS[base][:n]
@@ -61,12 +61,12 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return raw, at - at[0]
 
 
-def pieces(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of whole texts, about PIECE_BYTES at a time."""
+def pieces(column: pa.Array | pa.ChunkedArray, times: int = 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of whole texts, about ``times`` PIECE_BYTES at once."""
     raw, at = texts_of(column)
     lo, n = 0, len(at) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PIECE_BYTES, side="right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + times * PIECE_BYTES, side="right")) - 1)
         yield lo, hi, raw[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]
         lo = hi
 
