@@ -53,7 +53,8 @@ def made(seed):
 
 def test_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_HOT_LEAST", 6)
-    for seed, (n, num, den) in ((1, (3, 90, 100)), (2, (5, 80, 100)), (3, (3, 90, 100)), (4, (2, 80, 100))):
+    for seed, (n, num, den), hands in ((1, (3, 90, 100), (32, 64, 256)), (2, (5, 80, 100), (2, 3)), (3, (3, 90, 100), (1,)), (4, (2, 80, 100), (2, 4))):
+        monkeypatch.setattr(jaccard, "_HANDS", hands)
         rows = made(seed)
         got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n, num, den).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, n, num, den)
