@@ -20,6 +20,8 @@ from askloom.llm.queries import PSEUDONYM_KEY, vocabulary
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: a document goes when no language reaches this calibrated probability
 LEAST_SCORE = 0.3
+#: a repeated run of lines of so many words or more goes whole; shorter ones go where winnowing meets them
+LEAST_WORDS = 50
 
 
 def _columns(df: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later repeated runs of lines; a document of which no word is left goes."""
-    left = lines.drop_repeats(docs.select("doc_id", "text", "lang", "source"))
+    left = lines.drop_repeats(docs.select("doc_id", "text", "lang", "source"), least_words=LEAST_WORDS)
     return _columns(left.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 

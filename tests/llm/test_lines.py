@@ -35,3 +35,46 @@ def test_odd_tables(spark):
     got = sorted(((r.doc_id, r.text, r.n_removed) for r in out.collect()), key=str)
     assert got == sorted([(1, long, 0), (1, long, 0), (2, "", 5000), (None, None, 0), (None, "x\ny\nz", 0), (3, "", 3), (4, "", 0), (5, "p\nq", 0), (6, "p\nq", 0)], key=str)
     assert lines.drop_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def long_runs(rows, least):
+    """Lines to keep after all repeated runs of ``least`` words or more are deleted: every run of every document is looked up."""
+    first, runs = {}, []
+    for k, text in rows:
+        ls = text.split("\n")
+        for i in range(len(ls)):
+            for j in range(i, len(ls)):
+                if sum(len(x.split()) for x in ls[i:j + 1]) >= least:
+                    runs.append((tuple(ls[i:j + 1]), k, i, j))
+                    first.setdefault(runs[-1][0], (k, i))
+    gone = {(k, x) for run, k, i, j in runs if (k, i) > first[run] for x in range(i, j + 1)}
+    # blank lines alone at the edge of a run may stay
+    return {(k, x) for k, x in gone if dict(rows)[k].split("\n")[x].strip()}
+
+
+def removed(spark, rows, least):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return {(r.k, x - 1) for r in lines.repeated_lines(df, least_words=least).collect() for x in r.lines}
+
+
+def test_every_long_run_goes(spark):
+    r = random.Random(8)
+    line = lambda n: " ".join(f"w{r.randint(0, 999)}" for _ in range(n))
+    pool = [line(r.choice([1, 2, 5, 9, 12, 20, 30])) for _ in range(25)] + ["", "", " "]
+    shared = [[r.choice(pool) for _ in range(r.randint(1, 6))] for _ in range(8)]
+    rows = []
+    for k in range(120):
+        body = [f"own {k} {j}" if r.random() < 0.5 else r.choice(pool) for j in range(r.randint(0, 6))]
+        for _ in range(r.randint(0, 2)):
+            at = r.randint(0, len(body))
+            body[at:at] = r.choice(shared)
+        rows.append((k, "\n".join(body)))
+    rows += [(200, line(60)), (201, rows[5][1]), (202, "a b\n" * 30), (203, "a b\n" * 31), (204, "")]
+    rows += [(205, dict(rows)[200]), (206, "own\n" + dict(rows)[200] + "\n\nlast")]
+    plain = removed(spark, rows, None)
+    for least in (1, 20, 50):
+        want, got = long_runs(rows, least), removed(spark, rows, least)
+        assert want - plain, "the winnowing alone must miss some"
+        assert want <= got
+        text = {k: t.split("\n") for k, t in rows}
+        assert {(k, x) for k, x in got if text[k][x].strip()} == {(k, x) for k, x in want | plain if text[k][x].strip()}
