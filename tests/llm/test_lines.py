@@ -78,3 +78,12 @@ def test_every_long_run_goes(spark):
         assert want <= got
         text = {k: t.split("\n") for k, t in rows}
         assert {(k, x) for k, x in got if text[k][x].strip()} == {(k, x) for k, x in want | plain if text[k][x].strip()}
+
+
+def test_edges_of_a_run_that_crosses_contexts(spark):
+    """Whichever gram is the fingerprint, it first stands in another context; the run from the second document goes whole."""
+    a, b, c, d, e, f = (f"{x} " * 12 + x for x in "abcdef")
+    for inner in ([b, c, d], [a, b, c], [c, d, e], [b, c, d, e]):
+        rows = [(1, "\n".join(["x", *inner, "y"])), (2, "\n".join([a, b, c, d, e])), (3, "\n".join(["p", a, b, c, d, e, "q"])), (4, "\n".join([f, a, b, c, d]))]
+        got = {r.doc_id: r.text for r in lines.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), least_words=50).collect()}
+        assert got[1] == rows[0][1] and got[3] == "p\nq" and got[4] == f
