@@ -169,6 +169,20 @@ def test_ann_candidates_shrink_as_the_table_grows(spark):
     q.unpersist()
 
 
+def test_ann_recall_holds_as_the_table_grows(spark, sf):
+    assert QUERIES["dense_topk_ann"].run(spark, sf).agg(F.avg("recall_at_10")).first()[0] >= 0.9
+    for n in (2_000, 20_000):
+        v = np.random.default_rng(n).normal(size=(n, 64))  # without structure, as the given vectors
+        v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype("float32")
+        vec = spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(n), "embedding": list(v)}), "doc_id bigint, embedding array<float>").repartition(8).persist()
+        q = vec.filter(f"doc_id % {n // 40} = 0").withColumnRenamed("doc_id", "query_id").persist()
+        got = {(r.query_id, r.doc_id) for r in retrieve.dense_topk_ann(q, vec, 10).collect()}
+        want = {(r.query_id, r.doc_id) for r in retrieve.dense_topk(q, vec, 10).collect()}
+        assert len(got & want) >= 0.9 * len(want)
+        vec.unpersist()
+        q.unpersist()
+
+
 def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
     class Context:
         master = "spark://host:7077"
