@@ -7,9 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
-from askloom.llm import ann, bpe, jaccard, langid, licenses, lines, packing, pii, quality, substrings
+from askloom.llm import ann, bpe, divergence, jaccard, langid, licenses, lines, packing, pii, quality, resample, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -137,3 +136,47 @@ def op9_byte_bpe(spark, folder):
 @query("op10_license_scan")
 def op10_license_scan(spark, folder):
     return licenses.scan(table(spark, folder, "documents")).drop("spans")
+
+
+@query("op11_source_divergence", """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+w AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(ws) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM w GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT w.lang, source, term, sum(w.n)::HUGEINT AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(t.total, 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang)
+        LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) t USING (lang, source)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * g.v) AS p,
+        1 + (1000000000::HUGEINT * (k.n + 5)) // (v.total + 5 * v.v) AS q
+        FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+l1 AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN l1 ON l1.lang = a.lang AND l1.source = a.source AND l1.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pairs UNION ALL FROM terms))
+WHERE part = 'pair' OR rank <= 50""")
+def op11_source_divergence(spark, folder):
+    return divergence.as_rows(*divergence.audit(table(spark, folder, "documents")))
+
+
+# The rules of the test pages.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query("op12_url_filter", """
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(rh, rp, rv) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+m AS (SELECT page_id, host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv
+        FROM h LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM h JOIN m USING (page_id, host, path)""")
+def op12_url_filter(spark, folder):
+    return urls.judge(table(spark, folder, "pages"), urls.rule_table(spark, URL_RULES))
+
+
+@query("op13_target_resampling")
+def op13_target_resampling(spark, folder):
+    drawn = resample.draw(table(spark, folder, "documents"), table(spark, folder, "benchmark"), n=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
