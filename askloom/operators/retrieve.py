@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from askloom.functions import fixed, maths
 from askloom.functions import text as tx
+from askloom.operators import ranking
 from askloom.operators.index import LexicalIndex
-from askloom.util import balanced, broadcast_if, staged, top_per_group
+from askloom.util import balanced, broadcast_if, settle, spread, staged, top_per_group
 
 QUERY_BLOCK = 2048
 VECTOR_SHARD = 200_000
@@ -26,31 +27,89 @@ def by_score(score: str, *ties: str) -> list[Column]:
 
 # ---- lexical ---------------------------------------------------------------
 
-def bm25_scores(queries: DataFrame, index: LexicalIndex, query: str = "query_id", text: str = "text",
-                k1: float = fixed.BM25_K1, b: float = fixed.BM25_B) -> DataFrame:
-    """(query, doc, score) for every document that shares a term with a query; repeated query terms count again.
+#: weights of query terms that travel to the blocks at once
+WEIGHT_ROWS = 1_000_000
 
-    A small query table is broadcast to the postings, which stay where they are: the sum
-    per (query, doc) then needs no further shuffle. A large one is joined on the term, with
-    AQE splitting frequent terms.
-    """
+
+def _weighted(queries: DataFrame, index: LexicalIndex, query: str, text: str) -> DataFrame:
+    """(query, term, weight, avgdl) of the queries' terms in the index; repeated query terms count again."""
     asked = (
         queries.select(query, F.explode_outer(tx.tokens_bm25(text)).alias("term")).filter("term IS NOT NULL")
         .groupBy(query, "term").agg(F.count("*").alias("qtf"))
     )
-    weighted = index.terms.select("term", "idf").join(broadcast_if(asked, queries, 4), "term")
-    avgdl = index.totals.select("avgdl").scalar()
-    hits = index.postings.join(broadcast_if(weighted, queries, 4), "term")
-    tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
-    return hits.groupBy(query, index.doc).agg(F.round(F.sum(part), 6).alias("score"))
+    weight = (F.col("qtf") * F.col("idf")).alias("weight")
+    return index.terms.select("term", "idf").join(broadcast_if(asked, queries, 4), "term").select(
+        query, "term", weight, index.totals.select("avgdl").scalar().alias("avgdl"))
+
+
+def _allowed_blocks(blocks: DataFrame, allowed: DataFrame, doc: str) -> DataFrame:
+    """Blocks without the postings of other documents; their bounds stay valid."""
+    each = blocks.select("shard", "term", "block", "max_tf", "min_dl", F.explode(F.arrays_zip("docs", "tfs", "dls")).alias("p"))
+    some = each.withColumn("_doc", F.col("p.docs")).join(broadcast_if(allowed.select(F.col(doc).alias("_doc"))), "_doc", "left_semi")
+    lists = some.groupBy("shard", "term", "block").agg(F.array_sort(F.collect_list("p")).alias("p"), F.first("max_tf").alias("max_tf"), F.first("min_dl").alias("min_dl"))
+    return lists.select("shard", "term", F.col("p.docs").alias("docs"), F.col("p.tfs").alias("tfs"), F.col("p.dls").alias("dls"), "max_tf", "min_dl")
 
 
 def bm25_topk(queries: DataFrame, index: LexicalIndex, k: int = fixed.TOP_K, query: str = "query_id",
-              text: str = "text") -> DataFrame:
-    """(query, doc, score, rank): best ``k`` documents with a positive score."""
-    scores = bm25_scores(queries, index, query, text).filter("score > 0")
-    return top_per_group(scores, [query], by_score("score", index.doc), k)
+              text: str = "text", k1: float = fixed.BM25_K1, b: float = fixed.BM25_B, allowed: DataFrame | None = None,
+              held_rows: int = WEIGHT_ROWS) -> DataFrame:
+    """(query, doc, score, rank): best ``k`` documents with a positive score, among ``allowed`` ones if given.
+
+    The asked terms' blocks are placed by shard; a task ranks the queries over its shards by
+    ``ranking`` and emits at most ``k`` rows per query, so no (query, document) pair is
+    shuffled. Up to ``held_rows`` weights travel to the blocks. More are cut into blocks of
+    queries, each with the postings of its own terms; a (shard, query block) cell is bounded
+    on both sides.
+    """
+    settle(queries.sparkSession)
+    doc, qt = index.doc, dict(queries.dtypes)[query]
+    of_doc = index.blocks.schema["docs"].dataType.elementType
+    schema, kind = f"{query} {qt}, {doc} {of_doc.simpleString()}, score double", to_arrow_type(of_doc)
+    names = [query, doc, "score"]
+    weighted = _weighted(queries, index, query, text)
+    held = weighted.limit(held_rows + 1).toArrow()
+    columns = ["shard", "term", "docs", "tfs", "dls", "max_tf", "min_dl"]
+
+    def blocks_for(terms: DataFrame) -> DataFrame:
+        some = index.blocks.join(broadcast_if(terms, queries, 4), "term", "left_semi")
+        return (some if allowed is None else _allowed_blocks(some, allowed, doc)).select(*columns)
+
+    if held.num_rows <= held_rows:
+        sent = queries.sparkSession.sparkContext.broadcast(held.combine_chunks())
+
+        def scan(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            t = sent.value
+            if t.num_rows == 0:
+                return
+            asked = ranking.Asked(t.column(query).chunk(0), t.column("term").chunk(0), t.column("weight").to_numpy(), k)
+            for rows in ranking.shards(batches):
+                asked.feed(ranking.Shard(rows, asked.terms, k1, b, t.column("avgdl")[0].as_py()))
+            yield asked.told(names, kind)
+
+        placed = spread(blocks_for(weighted.select("term").distinct()), "shard").sortWithinPartitions("shard")
+        best = placed.mapInArrow(scan, schema)
+    else:
+        weighted = staged(weighted, "weights")
+        n_blocks = -(-weighted.count() // held_rows)
+        of_block = F.pmod(F.xxhash64(query), F.lit(n_blocks)).alias("_b")
+        wanted = weighted.select("term", of_block).distinct()
+        rows = blocks_for(wanted.select("term").distinct()).join(wanted, "term")
+        by_query = weighted.groupBy(query).agg(F.collect_list(F.struct("term", "weight")).alias("w"), F.first("avgdl").alias("avgdl")).select(query, "w", "avgdl", of_block)
+        at = rows.select(F.col("shard").alias("_s"), F.col("_b").alias("_c")).distinct()
+        cells = by_query.join(at, F.col("_b") == F.col("_c"))
+
+        def cell(q: pa.Table, d: pa.Table) -> pa.Table:
+            if not q.num_rows or not d.num_rows:
+                return pa.table({n: pa.array([], t) for n, t in zip(names, (q.schema.field(query).type, kind, pa.float64()))})
+            q = q.combine_chunks()
+            w = q.column("w").chunk(0)
+            who = q.column(query).chunk(0).take(pa.array(np.repeat(np.arange(len(w)), w.value_lengths().to_numpy())))
+            asked = ranking.Asked(who, w.flatten().field("term"), w.flatten().field("weight").to_numpy(), k)
+            asked.feed(ranking.Shard(d, asked.terms, k1, b, q.column("avgdl")[0].as_py()))
+            return pa.Table.from_batches([asked.told(names, kind)])
+
+        best = cells.groupBy("_c", "_s").cogroup(rows.groupBy("_b", "shard")).applyInArrow(cell, schema)
+    return top_per_group(best, [query], by_score("score", doc), k)
 
 
 # ---- vectors ----------------------------------------------------------------
@@ -63,14 +122,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
 _CELLS = 4_000_000
 
 
-def _first_k(cols: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best rows of every column; ties go to the smaller document."""
-    place = np.unique(ids, return_inverse=True)[1]
-    order = np.lexsort((place, -scores, cols))
-    cols = cols[order]
-    return order[np.arange(len(cols)) - np.searchsorted(cols, cols, side="left") < k]
-
-
 class _BestK:
     """Running best ``k`` documents of a block of queries, fed with vectors strip by strip.
 
@@ -96,7 +147,7 @@ class _BestK:
             found = cols, ids[at:at + tall][rows], score
             if self.cols is not None:
                 found = tuple(np.concatenate(x) for x in zip((self.cols, self.ids, self.scores), found))
-            keep = _first_k(*found, self.k)
+            keep = ranking.best_first(*found, self.k)
             self.cols, self.ids, self.scores = (x[keep] for x in found)
             full = np.flatnonzero(np.bincount(self.cols, minlength=len(self.q)) == self.k)
             last = np.searchsorted(self.cols, full, side="right") - 1
@@ -340,11 +391,6 @@ def fused(cand: DataFrame, alpha, k: int, query: str = "query_id", doc: str = "d
     return top_per_group(scored, [query], by_score("score", doc), k)
 
 
-def allowed_postings(index: LexicalIndex, allowed: DataFrame) -> LexicalIndex:
-    """The index with postings of the allowed documents only; statistics stay those of the whole corpus."""
-    return replace(index, postings=index.postings.join(broadcast_if(allowed.select(index.doc)), index.doc, "left_semi"))
-
-
 def hybrid_fuse(queries: DataFrame, index: LexicalIndex, query_vectors: DataFrame, vectors: DataFrame,
                 k: int = fixed.TOP_K, alpha=fixed.ALPHA_DEFAULT, query: str = "query_id",
                 allowed: DataFrame | None = None, scope: str = "both") -> DataFrame:
@@ -355,9 +401,8 @@ def hybrid_fuse(queries: DataFrame, index: LexicalIndex, query_vectors: DataFram
     """
     if allowed is not None:
         vectors = vectors.join(broadcast_if(allowed.select(index.doc)), index.doc, "left_semi")
-        index = allowed_postings(index, allowed) if scope == "both" else index
     dense = dense_topk(query_vectors, vectors, 2 * k, query, index.doc)
-    sparse = bm25_topk(queries, index, 2 * k, query)
+    sparse = bm25_topk(queries, index, 2 * k, query, allowed=allowed if scope == "both" else None)
     return fused(candidates(dense, sparse, query, index.doc), alpha, k, query, index.doc)
 
 

@@ -32,20 +32,87 @@ def test_union_setting_is_off(spark, sf):
     assert spark.conf.get("spark.sql.unionOutputPartitioning", "false") == "false"
 
 
-def test_bm25_plan_scores_where_the_postings_are(spark, sf):
-    plan = d.bm25_top(spark, sf, 10)._jdf.queryExecution().executedPlan().toString()
-    tree = plan.split("Subquery")[0]
-    assert "WindowGroupLimit" in tree and "BroadcastHashJoin" in plan
-    assert "hashpartitioning(query_id#" in plan
-    assert "CartesianProduct" not in plan
-    # no shuffle on (query, document): the sum per pair runs on the document partitioning
+def test_bm25_plan_shuffles_blocks_and_best_rows_only(spark, sf):
+    """No shuffle by document: the asked terms' blocks by shard, then at most k rows per query and task."""
     import re
-    assert not re.search(r"Exchange hashpartitioning\(query_id#\d+L, doc_id#\d+L", plan)
+    tree = d.bm25_top(spark, sf, 10)._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+    keys = re.findall(r"Exchange hashpartitioning\(([^()]*?), \d+\)", tree)
+    keys = [re.sub(r"#\d+L?", "", x) for x in keys]
+    assert keys[:2] == ["query_id", "shard"] and set(keys[2:]) <= {"term", "query_id, term"}  # the last are the queries' own terms
+    assert "WindowGroupLimit" in tree and "CartesianProduct" not in tree and "doc_id#" not in "".join(re.findall(r"Exchange .*", tree))
 
 
 def test_scan_reads_only_needed_columns(spark, sf):
-    text = d.lexical(spark, sf).terms._jdf.queryExecution().executedPlan().toString()
+    text = index.blocks_of(d.corpus(spark, sf), "doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
+    terms = d.lexical(spark, sf).terms._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in terms  # statistics come from the blocks, no text is read again
+
+
+def plain_bm25(docs, queries, k, allowed=None, k1=fixed.BM25_K1, b=fixed.BM25_B):
+    """The full ranking in plain Python."""
+    from collections import Counter
+    from math import log
+    words = {i: t.lower().split() for i, t in docs}
+    df = Counter(w for ws in words.values() for w in set(ws))
+    idf = {w: log(len(docs) - n + 0.5) - log(n + 0.5) for w, n in df.items()}
+    floor = fixed.BM25_EPSILON * sum(idf.values()) / max(len(idf), 1)
+    idf = {w: floor if x < 0 else x for w, x in idf.items()}
+    avgdl = sum(map(len, words.values())) / max(len(docs), 1)
+    out = set()
+    for q, text in queries:
+        scores = []
+        for i, ws in words.items():
+            if allowed is None or i in allowed:
+                tf = Counter(ws)
+                s = round(sum(idf[w] * tf[w] * (k1 + 1) / (tf[w] + k1 * (1 - b + b * len(ws) / avgdl)) for w in text.lower().split() if w in tf), 6)
+                if s > 0:
+                    scores.append((-s, i))
+        out |= {(q, i, round(-s, 5), r) for r, (s, i) in enumerate(sorted(scores)[:k], 1)}
+    return out
+
+
+@pytest.mark.parametrize("seed,vocabulary,k", [(1, 400, 5), (2, 12, 10), (3, 3, 4), (4, 3000, 3)])
+def test_pruned_bm25_equals_full_ranking(spark, seed, vocabulary, k, monkeypatch):
+    """Random corpora with copies (ties), few and many words, words in most documents; several shards, small blocks, many queries."""
+    r = random.Random(seed)
+    word = lambda: f"w{min(int(r.paretovariate(0.7)), vocabulary)}"
+    docs = [(i, " ".join(word() for _ in range(r.choice([0, 1, 5, 30, 200])))) for i in range(500)]
+    docs += [(1000 + i, docs[i % 7][1]) for i in range(150)]
+    queries = [(q, " ".join(word() for _ in range(r.randint(0, 9)))) for q in range(60)] + [(90, "w1 w1 w1"), (91, "nowhere"), (92, docs[5][1])]
+    monkeypatch.setattr(index, "BLOCK", 8)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    blocks = index.staged(index.blocks_of(df, "doc_id", shard_docs=70), "blocks")
+    ix = index.from_counts(blocks, index.counts_of(blocks), "doc_id")
+    q = spark.createDataFrame(queries, "query_id long, text string")
+    show = lambda top: {(r.query_id, r.doc_id, round(r.score, 5), r["rank"]) for r in top.collect()}
+    assert show(retrieve.bm25_topk(q, ix, k)) == plain_bm25(docs, queries, k)
+    assert show(retrieve.bm25_topk(q, ix, k, held_rows=40)) == plain_bm25(docs, queries, k)  # cells
+    some = {i for i, _ in docs if i % 3 == 0}
+    allowed = df.filter("doc_id % 3 = 0").select("doc_id")
+    assert show(retrieve.bm25_topk(q, ix, k, allowed=allowed)) == plain_bm25(docs, queries, k, some)
+
+
+def test_pruned_bm25_keeps_string_keys(spark):
+    docs = [(f"d{i % 50:03}", f"word{i % 5} common text {'rare' if i == 7 else ''}") for i in range(50)]
+    ix = index.build_index(spark.createDataFrame(docs, "doc_id string, text string"), "doc_id")
+    top = retrieve.bm25_topk(spark.createDataFrame([("q", "rare word3")], "query_id string, text string"), ix, 4).collect()
+    assert [r.doc_id for r in sorted(top, key=lambda r: r["rank"])] == ["d007", "d003", "d008", "d013"]
+
+
+def test_pruning_skips_most_postings():
+    """A rare word decides: of a word that is in every document only the candidates' blocks are scored."""
+    import pyarrow as pa
+    from askloom.operators import ranking
+
+    n = 20_000
+    tokens = pa.array([["the"] * (1 + i % 3) + [f"x{i % 97}"] + (["rare"] if i % 2000 == 5 else []) for i in range(n)])
+    batch = index._shard_blocks(pa.array(np.arange(n)), tokens, n)
+    rows = pa.Table.from_batches([batch]).filter(pa.compute.is_in(batch.column("term"), pa.array(["rare", "the"])))
+    asked = ranking.Asked(pa.array([1, 1]), pa.array(["rare", "the"]), np.array([8.0, 0.1]), 5)
+    asked.feed(ranking.Shard(rows, asked.terms, 1.5, 0.75, 3.0))
+    assert len(asked.ids) == 5 and set(asked.ids % 2000) == {5}
+    assert asked.scored < 0.1 * n
 
 
 def test_retrieval_basics(spark):
