@@ -27,7 +27,7 @@ class LexicalIndex:
     """blocks, terms(term, df, ctf, idf), totals(n_docs, avgdl, avg_idf).
 
     A block holds up to ``BLOCK`` postings of a term, in document order: (shard, term,
-    block, n, docs, tfs, dls, max_tf, min_dl). The last two bound the score of its postings
+    block, n, sum_tf, docs, tfs, dls, max_tf, min_dl). The last two bound the score of its postings
     whatever the average length, so blocks stay valid when the corpus grows. A shard has one
     more row with a null term, whose ``n`` counts its documents.
     """
@@ -45,10 +45,10 @@ class LexicalIndex:
 
 
 def block_schema(doc_type: str) -> str:
-    return f"shard bigint, term string, block int, n bigint, docs array<{doc_type}>, tfs array<int>, dls array<int>, max_tf int, min_dl int"
+    return f"shard bigint, term string, block int, n bigint, sum_tf bigint, docs array<{doc_type}>, tfs array<int>, dls array<int>, max_tf int, min_dl int"
 
 
-def _shard_blocks(docs: pa.Array, tokens: pa.ListArray, shard_docs: int) -> pa.RecordBatch:
+def _shard_blocks(docs: pa.Array, tokens: pa.ListArray) -> pa.RecordBatch:
     """The blocks of one shard, terms in order."""
     order = pc.sort_indices(docs)
     docs, tokens = docs.take(order), tokens.take(order)
@@ -71,9 +71,10 @@ def _shard_blocks(docs: pa.Array, tokens: pa.ListArray, shard_docs: int) -> pa.R
     rows = [
         pa.array(np.full(len(at) + 1, shard)), pa.concat_arrays([words.take(pa.array(by_word[term[at]])).cast(pa.string()), pa.nulls(1, pa.string())]),
         pa.array(np.append((at - first[at]) // BLOCK, 0), pa.int32()), pa.array(np.append(size, len(docs)), pa.int64()),
+        pa.array(np.append(np.add.reduceat(tf, at) if len(at) else size, 0), pa.int64()),
         *[pa.concat_arrays([a, b]) for a, b in zip(lists, none)], pa.array(np.append(most, 0), pa.int32()), pa.array(np.append(least, 0), pa.int32()),
     ]
-    return pa.RecordBatch.from_arrays(rows, ["shard", "term", "block", "n", "docs", "tfs", "dls", "max_tf", "min_dl"])
+    return pa.RecordBatch.from_arrays(rows, ["shard", "term", "block", "n", "sum_tf", "docs", "tfs", "dls", "max_tf", "min_dl"])
 
 
 def blocks_of(chunks: DataFrame, doc: str, text: str = "text", shard_docs: int = SHARD_DOCS) -> DataFrame:
@@ -99,7 +100,7 @@ def blocks_of(chunks: DataFrame, doc: str, text: str = "text", shard_docs: int =
 
     def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
-        return _shard_blocks(t.column(0).chunk(0), t.column(1).chunk(0), shard_docs)
+        return _shard_blocks(t.column(0).chunk(0), t.column(1).chunk(0))
 
     tokens = balanced(chunks.select(doc, text)).select(doc, F.coalesce(tx.tokens_bm25(text), F.array().cast("array<string>")).alias("_t"))
     return tokens.mapInArrow(run, block_schema(dict(chunks.dtypes)[doc]))
@@ -107,8 +108,7 @@ def blocks_of(chunks: DataFrame, doc: str, text: str = "text", shard_docs: int =
 
 def counts_of(blocks: DataFrame) -> DataFrame:
     """(term, df, ctf) from blocks; the null term counts the documents."""
-    tfs = F.aggregate("tfs", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum(tfs).alias("ctf"))
+    return blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("sum_tf").alias("ctf"))
 
 
 def from_counts(blocks: DataFrame, counts: DataFrame, doc: str, epsilon: float = fixed.BM25_EPSILON) -> LexicalIndex:

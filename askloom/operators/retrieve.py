@@ -71,7 +71,7 @@ def bm25_topk(queries: DataFrame, index: LexicalIndex, k: int = fixed.TOP_K, que
     columns = ["shard", "term", "docs", "tfs", "dls", "max_tf", "min_dl"]
 
     def blocks_for(terms: DataFrame) -> DataFrame:
-        some = index.blocks.join(broadcast_if(terms, queries, 4), "term", "left_semi")
+        some = index.blocks.join(terms, "term", "left_semi")
         return (some if allowed is None else _allowed_blocks(some, allowed, doc)).select(*columns)
 
     if held.num_rows <= held_rows:
@@ -86,14 +86,15 @@ def bm25_topk(queries: DataFrame, index: LexicalIndex, k: int = fixed.TOP_K, que
                 asked.feed(ranking.Shard(rows, asked.terms, k1, b, t.column("avgdl")[0].as_py()))
             yield asked.told(names, kind)
 
-        placed = spread(blocks_for(weighted.select("term").distinct()), "shard").sortWithinPartitions("shard")
+        terms = queries.sparkSession.createDataFrame(held.select(["term"]).group_by("term").aggregate([]), "term string")
+        placed = spread(blocks_for(F.broadcast(terms)), "shard").sortWithinPartitions("shard")
         best = placed.mapInArrow(scan, schema)
     else:
         weighted = staged(weighted, "weights")
         n_blocks = -(-weighted.count() // held_rows)
         of_block = F.pmod(F.xxhash64(query), F.lit(n_blocks)).alias("_b")
         wanted = weighted.select("term", of_block).distinct()
-        rows = blocks_for(wanted.select("term").distinct()).join(wanted, "term")
+        rows = blocks_for(broadcast_if(wanted.select("term").distinct())).join(broadcast_if(wanted), "term")
         by_query = weighted.groupBy(query).agg(F.collect_list(F.struct("term", "weight")).alias("w"), F.first("avgdl").alias("avgdl")).select(query, "w", "avgdl", of_block)
         at = rows.select(F.col("shard").alias("_s"), F.col("_b").alias("_c")).distinct()
         cells = by_query.join(at, F.col("_b") == F.col("_c"))

@@ -38,7 +38,7 @@ def test_bm25_plan_shuffles_blocks_and_best_rows_only(spark, sf):
     tree = d.bm25_top(spark, sf, 10)._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
     keys = re.findall(r"Exchange hashpartitioning\(([^()]*?), \d+\)", tree)
     keys = [re.sub(r"#\d+L?", "", x) for x in keys]
-    assert keys[:2] == ["query_id", "shard"] and set(keys[2:]) <= {"term", "query_id, term"}  # the last are the queries' own terms
+    assert keys == ["query_id", "shard"]
     assert "WindowGroupLimit" in tree and "CartesianProduct" not in tree and "doc_id#" not in "".join(re.findall(r"Exchange .*", tree))
 
 
@@ -107,7 +107,7 @@ def test_pruning_skips_most_postings():
 
     n = 20_000
     tokens = pa.array([["the"] * (1 + i % 3) + [f"x{i % 97}"] + (["rare"] if i % 2000 == 5 else []) for i in range(n)])
-    batch = index._shard_blocks(pa.array(np.arange(n)), tokens, n)
+    batch = index._shard_blocks(pa.array(np.arange(n)), tokens)
     rows = pa.Table.from_batches([batch]).filter(pa.compute.is_in(batch.column("term"), pa.array(["rare", "the"])))
     asked = ranking.Asked(pa.array([1, 1]), pa.array(["rare", "the"]), np.array([8.0, 0.1]), 5)
     asked.feed(ranking.Shard(rows, asked.terms, 1.5, 0.75, 3.0))
