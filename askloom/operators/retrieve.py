@@ -214,137 +214,6 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = fixed.TOP_K, que
     return top_per_group(best, [query], by_score("score", doc), k)
 
 
-def ann_bits(n: int, bucket: int = 16) -> int:
-    """Key length at which ``n`` vectors fall into buckets of about ``bucket``."""
-    return int(min(24, max(2, np.floor(np.log2(max(n, 1) / bucket)))))
-
-
-#: draws by which the reach of a query's probes is set
-_DRAWS = 512
-#: probed buckets that are held at once
-_PROBES = 1_000_000
-
-
-def _reach(margin: np.ndarray, bound: np.ndarray, recall: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cost of each bit, cost limit) of queries so that a vector of cosine ``bound`` lies in a probed bucket with chance ``recall``.
-
-    A vector at angle t has margins cos t times the query's plus sin t times a normal draw.
-    A bucket costs the log-odds of the bits in which it differs; a vector is met when the
-    cheapest table needs no more than the limit, which is a quantile over the draws.
-    """
-    cos = np.clip(bound, 0.0, 1 - 1e-9)[:, None, None]
-    sin = np.sqrt(1 - cos * cos)
-    x = np.minimum(np.abs(margin) * cos / sin, 1e3)
-    cost = 1.5976 * x + 0.07056 * x ** 3
-    draws = np.random.default_rng([seed, 1]).standard_normal((_DRAWS, *margin.shape[1:]))
-    limit = np.empty(len(margin))
-    for i in range(len(margin)):
-        other = (cos[i] * margin[i] + sin[i] * draws > 0) != (margin[i] > 0)
-        needed = np.sort((other * cost[i]).sum(axis=2).min(axis=1))
-        limit[i] = needed[min(int(np.ceil(recall * _DRAWS)), _DRAWS - 1)]
-    return cost, limit + 1e-9
-
-
-def _within(code: int, cost: np.ndarray, limit: float) -> np.ndarray:
-    """All codes that differ from ``code`` in bits whose costs sum up to ``limit`` at most."""
-    codes, spent = np.array([code], np.int64), np.zeros(1)
-    for j in np.argsort(cost):
-        more = spent + cost[j] <= limit
-        codes, spent = np.concatenate([codes, codes[more] ^ (1 << j)]), np.concatenate([spent, spent[more] + cost[j]])
-    return codes
-
-
-def ann_candidates(queries: DataFrame, vectors: DataFrame, query: str = "query_id", doc: str = "doc_id", embedding: str = "embedding",
-                   tables: int = 8, bits: int | None = None, probes: int = 2, seed: int = 42, bound: str | None = None, recall: float = 0.9) -> DataFrame:
-    """(query, doc) pairs that share a key of signed random projections in one of ``tables``.
-
-    Keys are as long as the number of vectors asks for. A query also looks into buckets
-    across its least certain bits, which costs no table: into ``probes`` of each table and,
-    where the queries' column ``bound`` gives a cosine, into as many more as it takes for a
-    unit vector of that cosine to be met with chance ``recall``.
-    """
-    length = bits or ann_bits(vectors.count())
-    more = min(probes, length)
-
-    def keyed(df: DataFrame, key: str, asks: bool) -> DataFrame:
-        t = dict(df.dtypes)[key]
-
-        def cells_of(code: np.ndarray, margin: np.ndarray, bounds: np.ndarray | None) -> Iterable[tuple[list[int], np.ndarray]]:
-            """(cells per row, cells) of runs of rows."""
-            base = np.arange(tables) << length
-            if bounds is None:
-                near = np.argsort(np.abs(margin), axis=2)[:, :, :more if asks else 0]
-                cells = np.concatenate([code[:, :, None], code[:, :, None] ^ (1 << near)], axis=2) + base[None, :, None]
-                yield [cells.shape[1] * cells.shape[2]] * len(cells), cells.reshape(-1)
-                return
-            cost, limit = _reach(margin, bounds, recall, seed)
-            near = code[:, :, None] ^ (1 << np.argsort(np.abs(margin), axis=2)[:, :, :more])
-            sizes, held = [], []
-            for i in range(len(code)):
-                mine = [np.union1d(_within(code[i, j], cost[i, j], limit[i]), near[i, j]) + base[j] for j in range(tables)]
-                sizes.append(sum(map(len, mine)))
-                held += mine
-                if sum(sizes) >= _PROBES:
-                    yield sizes, np.concatenate(held)
-                    sizes, held = [], []
-            if sizes:
-                yield sizes, np.concatenate(held)
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                m = _matrix(batch.column(1))
-                p = np.random.default_rng(seed).standard_normal((m.shape[1], tables * length))
-                margin = (m @ p).reshape(len(m), tables, length)
-                code = (margin > 0) @ (1 << np.arange(length))
-                bounds = batch.column(2).to_numpy(zero_copy_only=False) if batch.num_columns > 2 else None
-                at = 0
-                for sizes, cells in cells_of(code, margin, bounds):
-                    offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(at, len(sizes)), pa.ListArray.from_arrays(offsets, pa.array(cells.astype(np.int64)))], [key, "cells"]
-                    )
-                    at += len(sizes)
-
-        columns = [key, embedding, *([F.coalesce(F.col(bound), F.lit(0.0)).cast("double").alias("bound")] if asks and bound else [])]
-        return df.select(*columns).mapInArrow(run, f"{key} {t}, cells array<bigint>").select(key, F.explode("cells").alias("cell"))
-
-    asked = keyed(queries, query, True)
-    asked = asked if bound else broadcast_if(asked, queries, tables * (1 + more))
-    return keyed(vectors, doc, False).join(asked, "cell").select(query, doc).distinct()
-
-
-def dense_topk_ann(queries: DataFrame, vectors: DataFrame, k: int = fixed.TOP_K, query: str = "query_id",
-                   doc: str = "doc_id", embedding: str = "embedding", recall: float = 0.9, **how) -> DataFrame:
-    """Approximate best ``k`` of unit vectors: candidates of ``ann_candidates``, then exact rescoring. AQE splits crowded keys.
-
-    The candidates of few probes and about 1,000 spread vectors give each query ``k``
-    neighbours, whose last bounds the distance of the true ones. The probes are then widened
-    until a vector at that distance is met with chance ``recall``, a nearer one with a larger
-    one, whatever the length of the keys. Vectors in clusters need few probes; vectors
-    without structure need a good part of the table, which no key can spare them.
-    """
-    n = vectors.count()
-    how = {"bits": ann_bits(n)} | how
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        return (
-            pairs.join(vectors.select(doc, F.col(embedding).alias("dv")), doc)
-            .join(broadcast_if(queries.select(query, F.col(embedding).alias("qv")), queries), query)
-            .select(query, doc, F.round(maths.dot("qv", "dv"), 6).alias("score"))
-        )
-
-    spread = vectors.filter(F.pmod(F.xxhash64(doc), F.lit(max(1, n // 1024))) == 0)
-    first = scored(ann_candidates(queries, vectors, query, doc, embedding, **how)).unionByName(
-        dense_topk(queries, spread, k, query, doc, embedding).select(query, doc, "score")).distinct()
-    last = top_per_group(first, [query], by_score("score", doc), k).groupBy(query).agg(
-        F.when(F.count("*") == k, F.min("score")).alias("_bound"))
-    bounded = queries.select(query, embedding).join(last, query, "left")
-    pairs = ann_candidates(bounded, vectors, query, doc, embedding, bound="_bound", recall=recall, **how)
-    return top_per_group(scored(pairs), [query], by_score("score", doc), k)
-
-
 # ---- fusion ------------------------------------------------------------------
 
 def minmax(score: str, group: str) -> Column:

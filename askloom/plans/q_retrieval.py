@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from askloom.functions import fixed
-from askloom.operators import retrieve
+from askloom.operators import cells, retrieve
 from askloom.plans import domain as d
 from askloom.plans.registry import query
 
@@ -34,7 +34,7 @@ def dense_topk(spark, sf):
 def dense_topk_ann(spark, sf):
     """Approximate ranking beside the exact one: the result is recall per query."""
     q, v = d.query_vectors(spark, sf), d.vectors(spark, sf)
-    approx = retrieve.dense_topk_ann(q, v, 10).select("query_id", "doc_id", F.lit(1).alias("hit"))
+    approx = cells.search(cells.build(v, 10), q, 10).select("query_id", "doc_id", F.lit(1).alias("hit"))
     exact = retrieve.dense_topk(q, v, 10).select("query_id", "doc_id")
     joined = exact.join(approx, ["query_id", "doc_id"], "left")
     return joined.groupBy("query_id").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("recall_at_10"))

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -34,7 +35,6 @@ def test_union_setting_is_off(spark, sf):
 
 def test_bm25_plan_shuffles_blocks_and_best_rows_only(spark, sf):
     """No shuffle by document: the asked terms' blocks by shard, then at most k rows per query and task."""
-    import re
     tree = d.bm25_top(spark, sf, 10)._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
     keys = re.findall(r"Exchange hashpartitioning\(([^()]*?), \d+\)", tree)
     keys = [re.sub(r"#\d+L?", "", x) for x in keys]
@@ -215,39 +215,81 @@ def test_dense_beyond_one_block(spark):
     assert got == {(i, int(j)) for i in range(2100) for j in best[i]}
 
 
-def test_ann_recall(spark, sf):
-    r = QUERIES["dense_topk_ann"].run(spark, sf).agg(F.avg("recall_at_10")).first()[0]
-    assert r > 0.4  # vectors without structure; see below for clustered ones
+def units(v):
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype("float32")
 
 
-def test_ann_candidates_shrink_as_the_table_grows(spark):
-    rng = np.random.default_rng(4)
-    n = 100_000
-    centres = rng.normal(size=(n // 20, 16))
-    v = np.repeat(centres, 20, axis=0) + 0.25 * rng.normal(size=(n, 16))
-    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype("float32")
-    vec = spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(n), "embedding": list(v)}), "doc_id bigint, embedding array<float>").repartition(8).persist()
-    q = vec.filter("doc_id % 1000 = 0").withColumnRenamed("doc_id", "query_id").persist()
-    assert retrieve.ann_candidates(q, vec).count() < 0.02 * n * 100
-    got = {(r.query_id, r.doc_id) for r in retrieve.dense_topk_ann(q, vec, 10).collect()}
-    want = {(r.query_id, r.doc_id) for r in retrieve.dense_topk(q, vec, 10).collect()}
-    assert len(got & want) >= 0.9 * len(want)
+def vector_table(spark, v):
+    return spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(len(v)), "embedding": list(v)}), "doc_id bigint, embedding array<float>").repartition(8).persist()
+
+
+def recall_and_share(spark, v, every, k=10):
+    from askloom.operators import cells
+
+    vec = vector_table(spark, v)
+    q = vec.filter(f"doc_id % {every} = 0").withColumnRenamed("doc_id", "query_id").persist()
+    ix = cells.build(vec, k)
+    got = {(r.query_id, r.doc_id) for r in cells.search(ix, q, k).collect()}
+    want = {(r.query_id, r.doc_id) for r in retrieve.dense_topk(q, vec, k).collect()}
+    share = cells.share_read(ix, q, k)
     vec.unpersist()
     q.unpersist()
+    return len(got & want) / len(want), share, ix
+
+
+def test_ann_recall_on_given_vectors(spark):
+    for folder in ("/root/testdata/sf0.001", "/root/testdata/sf0.1"):
+        assert QUERIES["dense_topk_ann"].run(spark, folder).agg(F.avg("recall_at_10")).first()[0] >= 0.9
+
+
+def test_ann_without_structure_keeps_its_recall(spark):
+    recall, share, _ = recall_and_share(spark, units(np.random.default_rng(1).normal(size=(10_000, 64))), 250)
+    assert recall >= 0.9 and share < 0.95
+
+
+def test_ann_share_falls_on_clusters(spark):
+    """The share of pairs that is scored falls as clustered vectors grow in number; folders that are not probed are not read."""
+    shares = []
+    for n in (4_000, 40_000):
+        rng = np.random.default_rng(n)
+        v = units(np.repeat(rng.normal(size=(n // 20, 16)), 20, axis=0) + 0.25 * rng.normal(size=(n, 16)))
+        recall, share, ix = recall_and_share(spark, v, n // 50)
+        assert recall >= 0.9
+        shares.append(share)
+    assert shares[1] < 0.6 * shares[0] and shares[1] < 0.1, shares
+    from askloom.operators import cells
+    one = vector_table(spark, v[:1]).withColumnRenamed("doc_id", "query_id")
+    asked = cells.probes(ix, one, 10, "query_id").toArrow().combine_chunks()
+    scan = cells._scan(ix, asked, 10, "query_id", ["query_id", "doc_id", "score"], "query_id bigint, doc_id bigint, score double")
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*cell#\d+ (=|IN) ", plan) and len(asked.column("cells")[0]) < 0.2 * len(ix.size)
+
+
+def test_ann_by_groups_equals_folders_and_loaded_index(spark, tmp_path):
+    """More queries than travel at once, a cell with a third of all vectors, string keys, a saved index."""
+    from askloom.operators import cells
+
+    rng = np.random.default_rng(3)
+    v = units(rng.normal(size=(900, 8)))
+    v[600:] = v[0]
+    vec = vector_table(spark, v).select(F.format_string("k%05d", "doc_id").alias("key"), "embedding")
+    q = vec.filter("key < 'k00080'").withColumnRenamed("key", "query_id")
+    ix = cells.build(vec, 5, doc="key", path=str(tmp_path / "ix"))
+    show = lambda df: {tuple(r) for r in df.select("query_id", "key", "score", "rank").collect()}
+    a = show(cells.search(ix, q, 5))
+    assert a == show(cells.search(ix, q, 5, block=7, part=50)) == show(cells.search(cells.load(spark, str(tmp_path / "ix"), "key"), q, 5))
+    assert {x[1] for x in a if x[0] == "k00000"} == {"k00000", "k00600", "k00601", "k00602", "k00603"}
+
 
+def test_ann_small_tables(spark):
+    from askloom.operators import cells
 
-def test_ann_recall_holds_as_the_table_grows(spark, sf):
-    assert QUERIES["dense_topk_ann"].run(spark, sf).agg(F.avg("recall_at_10")).first()[0] >= 0.9
-    for n in (2_000, 20_000):
-        v = np.random.default_rng(n).normal(size=(n, 64))  # without structure, as the given vectors
-        v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype("float32")
-        vec = spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(n), "embedding": list(v)}), "doc_id bigint, embedding array<float>").repartition(8).persist()
-        q = vec.filter(f"doc_id % {n // 40} = 0").withColumnRenamed("doc_id", "query_id").persist()
-        got = {(r.query_id, r.doc_id) for r in retrieve.dense_topk_ann(q, vec, 10).collect()}
-        want = {(r.query_id, r.doc_id) for r in retrieve.dense_topk(q, vec, 10).collect()}
-        assert len(got & want) >= 0.9 * len(want)
-        vec.unpersist()
-        q.unpersist()
+    vec = vector_table(spark, units(np.eye(3)))
+    q = vec.withColumnRenamed("doc_id", "query_id")
+    assert cells.search(cells.build(vec, 10), q, 10).count() == 9
+    none = vec.filter("false")
+    assert cells.search(cells.build(none, 10), q, 10).count() == 0
+    assert cells.search(cells.build(vec, 10), q.filter("false"), 10).count() == 0
 
 
 def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
@@ -324,8 +366,7 @@ def test_question_dedup_equals_brute_force(spark):
     rows += [(100, "abxcd?"), (101, "abcd?"), (102, "abcdefgh ijk?"), (103, "abcdefghijk?")]
 
     def canon(t):
-        import re
-        return " ".join(sorted({w for w in re.findall(r"\w+", t.lower()) if w not in fixed.CANONICAL_STOPWORDS and len(w) > 2}))
+            return " ".join(sorted({w for w in re.findall(r"\w+", t.lower()) if w not in fixed.CANONICAL_STOPWORDS and len(w) > 2}))
 
     kept, want = [], set()
     for i, t in rows:
