@@ -10,7 +10,7 @@ from askloom.operators import index, retrieve
 from askloom.plans import domain as d
 from askloom.plans.domain import sql_strip
 from askloom.plans.registry import query, relation
-from askloom.sources import files, records, stores, tables
+from askloom.sources import files, partitions, records, stores, tables
 from askloom.sources.tables import table
 from askloom.util import scratch_dir
 
@@ -160,7 +160,10 @@ def collection_stats(spark, sf):
 def purge_stale_collections(spark, sf):
     chunks = table(spark, sf, "events").select(F.concat(F.when(F.col("event_type") == "view", "main_").otherwise("user_"), F.col("user_id").cast("string")).alias("collection"), "ts", "value")
     seen = chunks.groupBy("collection").agg(F.when(F.max("value") < 60, F.max("ts")).alias("created_at"))
-    kept = stores.purge_stale(chunks, seen, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"))
+    path = scratch_dir(spark, "collections")
+    partitions.write_partitions(chunks, path, ["collection"])
+    stores.purge_stale(spark, path, seen, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"), chunks.schema)
+    kept = partitions.read_store(spark, path, chunks.schema)
     return kept.groupBy("collection").agg(F.count("*").alias("n"))
 
 

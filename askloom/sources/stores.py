@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askloom.functions import fixed
+from askloom.sources import partitions
 
 
 def last_write_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -52,8 +53,9 @@ def stale_collections(collections: DataFrame, now: Column, hours: int = 2) -> Da
     return collections.filter(F.startswith("collection", F.lit("user_")) & (F.col("created_at") < age_limit))
 
 
-def purge_stale(chunks: DataFrame, collections: DataFrame, now: Column, hours: int = 2) -> DataFrame:
-    return chunks.join(stale_collections(collections, now, hours).select("collection"), "collection", "left_anti")
+def purge_stale(spark, path: str, collections: DataFrame, now: Column, schema, hours: int = 2) -> None:
+    """Drop the stale collections' folders from a store partitioned by collection; no other file is touched."""
+    partitions.delete_where(spark, path, ["collection"], stale_collections(collections, now, hours).select("collection"), F.lit(False), schema)
 
 
 def reembed(chunks: DataFrame, encoder: Callable[[pd.Series], list], name: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askloom.operators.index import write_segment
+from askloom.sources import partitions
 from askloom.sources.records import short_hash
 from askloom.sources.tables import TABLES
 from askloom.util import scratch_dir, settle
@@ -45,26 +46,33 @@ def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], chec
         q.stop()
 
 
-def closed_result(stream: DataFrame) -> DataFrame:
-    """Run an aggregating stream in append mode: windows are written once, when the watermark closes them, and leave the state."""
-    spark = stream.sparkSession
-    path, schema = scratch_dir(spark, "stream-result"), stream.schema
-    run_append(stream, path, scratch_dir(spark, "stream-state"))
-    return spark.read.schema(schema).parquet(path)
+def time_bounds(rows: DataFrame, time: str, parts: int) -> list:
+    """Values that cut a table's time column into ``parts`` parts of about equal size."""
+    shares = [i / parts for i in range(1, parts)]
+    found = rows.agg(F.percentile_approx(F.unix_micros(F.col(time).cast("timestamp")), shares, 1000)).first()[0] or []
+    return [F.timestamp_micros(F.lit(x)) for x in sorted(set(found))]
 
 
-def replayed(rows: DataFrame, time: str, bounds: list) -> DataFrame:
-    """A table as a stream of several micro-batches, cut at ``bounds`` of its time column.
+def replayed(rows: DataFrame, time: str, transform: Callable[[DataFrame], DataFrame], bounds: list | None = None, parts: int = 5) -> DataFrame:
+    """What a stream makes of a table that arrives in parts, one after the other, with a restart in between.
 
-    The parts are written one after the other, so a file source takes them in this order.
+    The parts are cut at ``bounds`` of the time column (default: ``parts`` of equal size). A
+    part is added to the source folder, in as many files as Spark makes, and the query runs
+    on the same checkpoint until it has taken it in; watermark and state carry over.
     """
     spark = settle(rows.sparkSession)
-    folder, edges = scratch_dir(spark, "replay"), [None, *bounds, None]
+    folder, out, state = (scratch_dir(spark, name) for name in ("replay", "stream-result", "stream-state"))
+    bounds = time_bounds(rows, time, parts) if bounds is None else bounds
+    edges, schema = [None, *bounds, None], None
     for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
         part = rows if lo is None else rows.filter(F.col(time) >= lo)
         part = part if hi is None else part.filter(F.col(time) < hi)
-        part.coalesce(1).write.parquet(f"{folder}/part={i}")  # a part is one micro-batch of the replay
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(folder)
+        part.write.parquet(f"{folder}/part={i}")
+        source = spark.readStream.schema(rows.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(folder)
+        stream = transform(source)
+        schema = stream.schema
+        run_append(stream, out, state)
+    return spark.read.schema(schema).parquet(out)
 
 
 def audit_stream(events: DataFrame) -> DataFrame:
@@ -87,9 +95,27 @@ def sessions(events: DataFrame, gap: str = "2 hours", delay: str = "1 hour") ->
         "user_id", F.col("w.start").alias("start"), F.col("w.end").alias("expires"), "n")
 
 
-def retained(audit: DataFrame, now: Column, days: int = 30, time: str = "ts") -> DataFrame:
-    """Rows younger than ``days`` and rows with a ticket."""
-    return audit.filter((F.col(time) >= now - F.make_interval(days=F.lit(days))) | (F.col("ticket_id").isNotNull() & (F.col("ticket_id") != "")))
+#: folders of a store that a stream fills: a replayed micro-batch replaces its own files
+DAY_FOLDERS = ["day", "batch"]
+
+
+def day_batch(path: str, time: str = "ts") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer into folders by day and micro-batch."""
+    def write(df: DataFrame, batch_id: int) -> None:
+        partitions.write_partitions(df.withColumn("day", F.to_date(time)).withColumn("batch", F.lit(batch_id).cast("bigint")), path, DAY_FOLDERS)
+
+    return write
+
+
+def retain(spark: SparkSession, path: str, now: Column, schema, days: int = 30, time: str = "ts") -> None:
+    """Delete rows older than ``days`` that carry no ticket from a store that ``day_batch`` filled.
+
+    Only folders of days that had begun by then are read, and of these only the ones that
+    lose rows are rewritten.
+    """
+    limit = now - F.make_interval(days=F.lit(days))
+    ticket = F.col("ticket_id").isNotNull() & (F.col("ticket_id") != "")
+    partitions.delete_where(spark, path, DAY_FOLDERS, F.col("day") <= F.to_date(limit), (F.col(time) >= limit) | ticket, schema)
 
 
 def ingest_batch(store: str) -> Callable[[DataFrame, int], None]:
@@ -113,25 +139,3 @@ def ingest_stream(spark: SparkSession, folder: str, store: str, checkpoint: str)
     """Stream documents into the chunk store and give the store back."""
     run_batches(table_stream(spark, folder, "documents"), ingest_batch(store), checkpoint)
     return spark.read.schema("chunk_id string, text string, batch bigint").parquet(store)
-
-
-def deduplicated(queries: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
-    """First occurrence of a key within the watermark (a cache bounded by time)."""
-    return queries.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
-
-
-def assembled(events: DataFrame, response: list[str]) -> DataFrame:
-    """One row per response from its event sequence: text, citations, verdict, time to first token.
-
-    Only token and citation payloads are gathered; their number is the length of one answer.
-    """
-    kind = F.col("kind")
-    ordered = lambda k: F.transform(F.array_sort(F.collect_list(F.when(kind == k, F.struct("sequence", "payload")))), lambda x: x["payload"])
-    first_ts, first_token = F.min("ts"), F.min(F.when(kind == "token", F.col("ts")))
-    ms = lambda c: F.unix_micros(c.cast("timestamp")) / 1000.0
-    return events.groupBy(*response).agg(
-        F.array_join(ordered("token"), "").alias("answer"), ordered("citation").alias("citations"),
-        F.max_by("payload", F.when(kind == "verify", F.col("sequence"))).alias("verdict"), F.max(kind == "done").alias("finished"),
-        (ms(first_token) - ms(first_ts)).alias("ttft_ms"))
-
-

@@ -151,9 +151,10 @@ def test_late_rows_are_dropped_and_open_windows_wait(spark):
     day = lambda d, h=12: dt.datetime(2024, 1, d, h)
     rows = [(1, day(1), 0), (2, day(2), 0), (3, day(5), 1), (4, day(1), 2), (5, day(6), 2), (6, day(9), 3)]
     df = spark.createDataFrame(rows, "event_id long, ts timestamp, part int")
-    stream = ev.replayed(df, "part", [F.lit(1), F.lit(2), F.lit(3)]).select(
+    audit = lambda s: s.select(
         "event_id", "ts", F.lit("s").alias("session_id"), F.lit("m").alias("model_tag"), F.lit(1.0).alias("latency_ms"), F.lit(None).cast("string").alias("ticket_id"))
-    got = {(r.start.day, r.n) for r in ev.closed_result(ev.windowed_metrics(stream, "1 day")).collect()}
+    closed = ev.replayed(df, "part", lambda s: ev.windowed_metrics(audit(s), "1 day"), [F.lit(1), F.lit(2), F.lit(3)])
+    got = {(r.start.day, r.n) for r in closed.collect()}
     assert got == {(1, 1), (2, 1), (5, 1), (6, 1)}  # row 4 comes after its day was closed; the ninth is still open
 
 
