@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -144,35 +145,92 @@ def keep_first_of_pairs(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes if gone is None else nodes.join(gone.withColumnRenamed("n", "node"), "node", "left_anti")
 
 
+def _unmatched(n1: int, n2: int, threshold: float) -> int:
+    """The most characters that two strings with a ratio above ``threshold`` can leave unmatched, both together; -1: never above it."""
+    d = math.ceil((1 - threshold) * (n1 + n2) + 1e-9) - 1
+    d -= (d + n1 + n2) % 2  # unmatched + 2 x matched = both lengths
+    return d if d >= abs(n1 - n2) else -1
+
+
+def least_shared(n: int, q: int, threshold: float) -> int:
+    """``q``-grams of a string of length ``n`` that lie in common blocks with any string of a ratio above ``threshold``.
+
+    An unmatched character of its own spoils at most q of its grams, one of the other
+    string at most q - 1.
+    """
+    fewest = n
+    wide = (2 - threshold) / threshold
+    for m in range(max(1, math.floor(n / wide)), math.ceil(n * wide) + 1):
+        d = _unmatched(n, m, threshold)
+        if d >= 0:
+            own = (d + n - m) // 2
+            fewest = min(fewest, n - (q - 1) - q * own - (q - 1) * (d - own))
+    return fewest
+
+
+#: lengths for which ``least_shared`` is counted out; beyond, its limit per character is used
+_COUNTED = 400
+
+
+def form_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(earlier, later) nodes whose forms can have a ratio above ``threshold``; complete, with few others.
+
+    The matching blocks of such a pair hold at least ``least_shared`` grams of each side, at
+    positions that differ by no more than the unmatched characters. In an order with rare
+    grams first (then by position), the first gram of the blocks has that many minus one
+    after it on both sides, so it is among the leading grams of both. Pairs come from an
+    equi-join of leading grams on (gram, length band, stretch of positions). Frequent grams
+    come last in the order and are hardly ever leading ones, so a gram of every form pairs
+    nothing. Lengths at which 3-grams are not certain are joined on single characters too.
+    """
+    n, form = F.length("form"), F.col("form")
+    wide = (2 - threshold) / threshold
+    longest = nodes.agg(F.max(n)).first()[0] or 0
+    out = None
+
+    def pieces(q):
+        return F.when(n >= q, F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.substring(form, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
+
+    weak = [m for m in range(1, _COUNTED + 1) if least_shared(m, 3, threshold) < 1]
+    slope = min(1 - 3 * (1 - 1 / wide), 1 - 2 * (wide - 1))  # the other string as short, and as long, as it can be
+    if slope * _COUNTED - 3 < 1:
+        weak = list(range(1, longest + 1))
+    for q, top in ((3, longest), (1, math.ceil(max(weak, default=0) * wide))):
+        some = nodes.filter(n <= top) if q == 1 else nodes
+        if top == 0:
+            continue
+        counted = F.array(*[F.lit(max(0, least_shared(m, q, threshold))) for m in range(1, min(_COUNTED, max(1, top)) + 1)])
+        per_char = 1 / wide if q == 1 else slope
+        shared = F.when(n <= F.lit(_COUNTED), F.get(counted, n - 1)).otherwise(F.floor(n * F.lit(per_char)) - 3)
+        grams = some.select("node", n.alias("n"), shared.alias("c"), F.posexplode(pieces(q)).alias("p", "g")).filter("c > 0")
+        freq = grams.groupBy("g").agg(F.count("*").alias("df"))
+        order = grams.join(freq, "g").groupBy("node", "n", "c").agg(F.array_sort(F.collect_list(F.struct("df", "g", "p"))).alias("o"))
+        lead = order.select("node", "n", F.explode(F.slice("o", F.lit(1), F.greatest(F.size("o") - F.col("c").cast("int") + 1, F.lit(0)))).alias("k")).filter("k.df > 1")
+        lead = cut_lineage(lead.select("node", "n", "k.g", "k.p", F.floor(F.log(F.col("n")) / math.log(wide)).cast("int").alias("band")))
+
+        def stretch(band):  # no shift in a pair is longer than this
+            return F.ceil(F.pow(F.lit(wide), band + 1) * ((1 - threshold) * (1 + wide))) + 1
+
+        near = [F.lit(i) for i in (-1, 0, 1)]
+        a = lead.select("g", F.col("node").alias("x"), F.col("n").alias("n1"), F.col("p").alias("p1"), "band", F.floor(F.col("p") / stretch(F.col("band"))).alias("at"))
+        b = lead.withColumn("band", F.explode(F.transform(F.array(*near), lambda i: F.col("band") + i)))
+        b = b.withColumn("at", F.explode(F.transform(F.array(*near), lambda i: F.floor(F.col("p") / stretch(F.col("band"))) + i)))
+        b = b.select("g", F.col("node").alias("y"), F.col("n").alias("n2"), F.col("p").alias("p2"), "band", "at")
+        room = (1 - threshold) * (F.col("n1") + F.col("n2"))
+        fits = (F.col("x") < F.col("y")) & (F.abs(F.col("n1") - F.col("n2")) < room) & (F.abs(F.col("p1") - F.col("p2")) < room)
+        found = a.join(b, ["g", "band", "at"]).filter(fits).select(F.col("x").alias("earlier"), F.col("y").alias("later")).distinct()
+        out = found if out is None else out.unionByName(found).distinct()
+    return nodes.select(F.col("node").alias("earlier"), F.col("node").alias("later")).limit(0) if out is None else out
+
+
 def question_dedup(questions: DataFrame, key: str, text: str, threshold: float = 0.88) -> DataFrame:
     """(key, kept): a question goes when its canonical form is more than ``threshold`` alike (difflib ratio) to a kept one.
 
-    Equal forms are folded first. A ratio r means that at least r/2 of all characters lie in
-    common blocks, so two forms above it are close in length and share character 3-grams
-    (2-grams when they are very short): pairs come from an equi-join on the rarer 3-grams, which misses none, and only
-    those are compared in Python.
+    Equal forms are folded first; only the pairs of ``form_pairs`` are compared in Python.
     """
     forms = questions.select(F.col(key).alias("key"), tx.canonical_string(text).alias("form"))
     nodes = cut_lineage(forms.groupBy("form").agg(F.min("key").alias("node")))
-    form, n = F.col("form"), F.length("form")
-
-    def pieces(q):
-        return F.when(n >= q, F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.substring(form, i, F.lit(q)))).otherwise(F.array(form))
-
-    keys = F.when(n < 16, F.concat(pieces(2), pieces(3))).otherwise(pieces(3))
-    grams = nodes.select("node", n.alias("n"), F.explode_outer(F.array_distinct(keys)).alias("g"))
-    freq = grams.groupBy("g").agg(F.count("*").alias("df"))
-    # Of a form's 3-grams at most 3 * (unmatched characters of both forms) are not in a common
-    # block, and those characters are fewer than this share of its length; so a shared one is
-    # among that many plus one. Short forms keep all, with their 2-grams.
-    spare = 6 * (1 - threshold) / threshold
-    keep = F.when(F.col("n") < 30, F.col("m")).otherwise(F.least(F.col("m"), F.ceil(F.col("n") * spare).cast("int") + 1))
-    rare = (
-        grams.join(freq, "g").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
-        .withColumn("m", F.size("o")).select("node", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("k")).filter("k.df > 1").select("node", "n", "k.g"))
-    a, b = rare.select("g", F.col("node").alias("earlier"), F.col("n").alias("n1")), rare.select("g", F.col("node").alias("later"), F.col("n").alias("n2"))
-    bound = 2 * F.least("n1", "n2") > threshold * (F.col("n1") + F.col("n2"))
-    cand = a.join(b, "g").filter((F.col("earlier") < F.col("later")) & bound).select("earlier", "later").distinct()
+    cand = form_pairs(nodes, threshold)
 
     @F.pandas_udf("double")
     def ratio(new: pd.Series, old: pd.Series) -> pd.Series:

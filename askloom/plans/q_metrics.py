@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from askloom.functions import fixed, maths
 from askloom.functions import text as tx
-from askloom.operators import audit, calibrate, decompose, evaluate, features, labels, metrics, models, retrieve
+from askloom.operators import audit, calibrate, decompose, evaluate, features, intervals, labels, metrics, models, retrieve
 from askloom.plans import domain as d
 from askloom.plans.domain import sql_alnum, sql_list, sql_sentences
 from askloom.plans.registry import query, relation
@@ -149,7 +149,7 @@ def citation_match_pairs(spark, sf):
     """The interval join beneath citation matching: same document (equi-join) and overlapping spans."""
     p = d.responses(spark, sf).select(*KEYS, F.inline("citations"))
     g = d.gold_rows(spark, sf).select("query_id", F.inline("gold_citations")).select("query_id", "doc_id", F.col("span_start").alias("gs"), F.col("span_end").alias("ge"))
-    return p.join(g, ["query_id", "doc_id"]).filter("span_start < ge AND gs < span_end").select(*KEYS, "doc_id")
+    return intervals.overlap_join(p, g, ["query_id", "doc_id"], ("span_start", "span_end"), ("gs", "ge")).select(*KEYS, "doc_id")
 
 
 @query("tool_accuracy", """

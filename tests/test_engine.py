@@ -379,6 +379,65 @@ def test_question_dedup_equals_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.75, 0.88, 0.95])
+def test_form_pairs_are_complete(spark, threshold):
+    """Every pair above the threshold is a candidate: random strings of all lengths with edits, few and many letters."""
+    r = random.Random(int(threshold * 100))
+    forms = set()
+    for letters in ("ab", "abcdefgh ", "abcdefghijklmnopqrstuvwxyz "):
+        for length in (*range(1, 30), 45, 80, 150, 450):
+            base = "".join(r.choice(letters) for _ in range(length))
+            forms.add(base)
+            for edits in (1, 1, 2, length // 10 + 1, length // 5 + 1):
+                x = list(base)
+                for _ in range(edits):
+                    at = r.randrange(len(x) + 1)
+                    kind = r.randrange(3)
+                    x[at:at + (kind > 0)] = [] if kind == 1 else [r.choice(letters)]
+                forms.add("".join(x))
+    forms = sorted(forms - {""})
+    nodes = spark.createDataFrame(list(enumerate(forms)), "node long, form string")
+    got = {(p.earlier, p.later) for p in qa.form_pairs(nodes, threshold).collect()}
+    want = {(i, j) for j in range(len(forms)) for i in range(j) if 2 * min(len(forms[i]), len(forms[j])) > threshold * (len(forms[i]) + len(forms[j]))
+            and SequenceMatcher(None, forms[j], forms[i]).quick_ratio() > threshold and SequenceMatcher(None, forms[j], forms[i]).ratio() > threshold}
+    assert len(want) > 100 and want <= got
+
+
+def test_a_common_word_does_not_pair_all_questions(spark):
+    """A word that is in every form, short forms included, is no leading gram of any: what is left are chance pairs of rare grams."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    forms = sorted({" ".join(sorted(["common", *(word() for _ in range(r.choice([2, 3, 5])))])) for _ in range(2000)})
+    forms += [f + "s" for f in forms[:50]]
+    assert 50 <= qa.form_pairs(spark.createDataFrame(list(enumerate(forms)), "node long, form string"), 0.88).count() < 0.02 * len(forms) ** 2 / 2
+
+
+def test_overlapping_spans_equal_brute_force(spark):
+    """Spans of all lengths, empty and inverted ones, repeated rows, nulls; then a document with very many spans on both sides."""
+    from askloom.operators import intervals
+
+    r = random.Random(6)
+
+    def spans(n, key):
+        out = []
+        for i in range(n):
+            s = r.randrange(400)
+            out.append((f"{key}{i}", r.choice([1, 2]), s, s + r.choice([-3, 0, 1, 1, 2, 5, 40, 300])))
+        return out + out[:5] + [(f"{key}n", None, 1, 5), (f"{key}m", 1, None, 5)]
+
+    left, right = spans(150, "a"), spans(120, "b")
+    a = spark.createDataFrame(left, "a string, doc long, s long, e long")
+    b = spark.createDataFrame(right, "b string, doc long, rs long, re long")
+    got = sorted((x.a, x.b) for x in intervals.overlap_join(a, b, ["doc"], ("s", "e"), ("rs", "re")).collect())
+    assert got == sorted((x[0], y[0]) for x in left for y in right if None not in (*x, *y) and x[1] == y[1] and x[2] < y[3] and y[2] < x[3])
+    n = 100_000
+    wide = spark.range(n).select(F.lit(1).alias("doc"), (F.col("id") * 10).alias("s"), (F.col("id") * 10 + 12).alias("e"))
+    other = spark.range(n).select(F.lit(1).alias("doc"), (F.col("id") * 10 + 5).alias("rs"), (F.col("id") * 10 + 8).alias("re"))
+    found = intervals.overlap_join(wide, other, ["doc"], ("s", "e"), ("rs", "re")).withColumn("task", F.spark_partition_id())
+    per_task = [x["count"] for x in found.groupBy("task").count().collect()]
+    assert sum(per_task) == n and max(per_task) < n / 3
+
+
 def test_lcs_and_rouge(spark):
     rnd = random.Random(2)
     rows = [([rnd.choice("abcd") for _ in range(rnd.randrange(0, 30))], [rnd.choice("abcd") for _ in range(rnd.randrange(0, 30))]) for _ in range(40)]
