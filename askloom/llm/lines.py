@@ -7,7 +7,7 @@ later occurrence is joined with it and extended line by line both ways, as far a
 neighbouring fingerprint can lie (two lines). The lines so covered are deleted from the later
 place; the first place keeps them. This alone finds no run of one or two lines, runs of three
 or four by chance, and where a fingerprint first stood in another context it can leave lines
-at the edges of a run. It is the rule of the SQL twin of ``op8_line_dedup``.
+at the edges of a run.
 
 With ``least_words`` every run of lines of so many words or more that stood earlier is deleted
 as well, whole and whatever its number of lines: from each line on, the shortest window of
@@ -90,6 +90,13 @@ def _windows(text: Column, least: int) -> Column:
     return let(F.split(text, "\n", -1), keyed)
 
 
+def private(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, whatever the case of its letters."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int | None = None) -> DataFrame:
     """(k, t): key and text hash of a document; ``lines``: its sorted line numbers (from 1) to delete."""
     if least_words is not None and not 1 <= least_words <= 63:
@@ -130,10 +137,11 @@ def _without(text: Column, lines: Column) -> Column:
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int | None = None) -> DataFrame:
     """All columns with ``text`` rid of later repeated runs; n_lines and n_removed are added."""
-    found = repeated_lines(docs, key, text, least_words).select(F.col("k").alias("_k"), F.col("t").alias("_t"), F.col("lines").alias("_lines"))
-    joined = docs.join(found, docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text]) == F.col("_t")), "left")
-    hit = F.col("_lines").isNotNull()
+    k, t, at = (private(docs, name) for name in ("k", "t", "lines"))
+    found = repeated_lines(docs, key, text, least_words).select(F.col("k").alias(k), F.col("t").alias(t), F.col("lines").alias(at))
+    joined = docs.join(found, docs[key].eqNullSafe(F.col(k)) & (F.xxhash64(docs[text]) == F.col(t)), "left")
+    hit = F.col(at).isNotNull()
     n_lines = F.when(docs[text].isNull(), 0).otherwise(F.length(docs[text]) - F.length(F.translate(docs[text], "\n", "")) + 1)
     return joined.withColumns({
-        "n_lines": n_lines.cast("long"), "n_removed": F.when(hit, F.size("_lines")).otherwise(0).cast("long"),
-        text: F.when(hit, _without(docs[text], F.col("_lines"))).otherwise(docs[text])}).drop("_k", "_t", "_lines")
+        "n_lines": n_lines.cast("long"), "n_removed": F.when(hit, F.size(at)).otherwise(0).cast("long"),
+        text: F.when(hit, _without(docs[text], F.col(at))).otherwise(docs[text])}).drop(k, t, at)

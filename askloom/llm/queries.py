@@ -116,7 +116,13 @@ f AS (SELECT DISTINCT doc_id, h, g[p] AS k, p FROM (
         FROM g WHERE len(g) > 0) WHERE g[p] <> 'z'),
 c AS (SELECT doc_id, k, p, CASE WHEN p >= 2 THEN h[p - 1] END AS b1, CASE WHEN p >= 3 THEN h[p - 2] END AS b2, h[p + 3] AS a1, h[p + 4] AS a2,
         row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS nth FROM f),
-gone AS (SELECT DISTINCT c.doc_id, unnest(range(c.p - CASE WHEN c.b1 = s.b1 THEN CASE WHEN c.b2 = s.b2 THEN 2 ELSE 1 END ELSE 0 END,
+u AS (SELECT doc_id, h, pos, n, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS cum FROM (
+        SELECT doc_id, h, pos, len(regexp_extract_all(ls[pos], '[^\\x20\\x09-\\x0D]+')) AS n FROM (SELECT l.doc_id, h, ls, unnest(range(1, len(ls) + 1)) AS pos FROM l JOIN h USING (doc_id))) WHERE n > 0),
+r AS (SELECT a.doc_id, a.h, a.pos, b.pos AS last FROM u a JOIN u b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.cum >= a.cum - a.n + 50),
+v AS (SELECT doc_id, any_value(h) AS h, pos, min(last) AS last FROM r GROUP BY doc_id, pos UNION SELECT doc_id, any_value(h) AS h, max(pos) AS pos, last FROM r GROUP BY doc_id, last),
+long AS (SELECT doc_id, pos, last, row_number() OVER (PARTITION BY array_to_string(h[pos:last], '') ORDER BY doc_id, pos) AS nth FROM v),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS i FROM long WHERE nth > 1 UNION
+        SELECT DISTINCT c.doc_id, unnest(range(c.p - CASE WHEN c.b1 = s.b1 THEN CASE WHEN c.b2 = s.b2 THEN 2 ELSE 1 END ELSE 0 END,
         c.p + 3 + CASE WHEN c.a1 = s.a1 THEN CASE WHEN c.a2 = s.a2 THEN 2 ELSE 1 END ELSE 0 END)) AS i FROM c JOIN c s ON s.k = c.k AND s.nth = 1 WHERE c.nth > 1),
 n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
 kept AS (SELECT e.doc_id, string_agg(s, chr(10) ORDER BY e.i) AS t FROM (SELECT doc_id, unnest(ls) AS s, generate_subscripts(ls, 1) AS i FROM l) e
@@ -124,7 +130,7 @@ kept AS (SELECT e.doc_id, string_agg(s, chr(10) ORDER BY e.i) AS t FROM (SELECT
 SELECT l.doc_id, len(ls)::BIGINT AS n_lines, coalesce(n.n, 0)::BIGINT AS n_removed, length(coalesce(t, ''))::BIGINT AS n_kept_chars, md5(coalesce(t, '')) AS kept_md5
 FROM l LEFT JOIN n ON n.doc_id = l.doc_id LEFT JOIN kept ON kept.doc_id = l.doc_id""")
 def op8_line_dedup(spark, folder):
-    rows = lines.drop_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    rows = lines.drop_repeats(table(spark, folder, "documents").select("doc_id", "text"), least_words=50)
     return rows.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_kept_chars"), F.md5("text").alias("kept_md5"))
 
 

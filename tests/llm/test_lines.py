@@ -4,6 +4,8 @@ import random
 
 from test_pipeline import without_runs
 
+from pyspark.sql import functions as F
+
 from askloom.llm import lines
 
 
@@ -30,8 +32,8 @@ def test_against_plain(spark):
 def test_odd_tables(spark):
     long = "\n".join(f"l{i}" for i in range(5000))
     rows = [(1, long, "a", 1), (1, long, "a", 1), (2, long, "b", 2), (None, None, None, None), (None, "x\ny\nz", "c", 3), (3, "x\ny\nz", "c", 3), (4, "", None, None), (5, "p\nq", None, None), (6, "p\nq", None, None)]
-    out = lines.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_lines string, gram int"))
-    assert out.columns == ["doc_id", "text", "n_lines", "gram", "n_removed"]
+    out = lines.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_lines string, _k int").withColumn("_lines", F.lit(7)).withColumn("k", F.lit(8)))
+    assert out.columns == ["doc_id", "text", "n_lines", "_k", "_lines", "k", "n_removed"] and out.select("_lines", "k").distinct().collect() == [(7, 8)]
     got = sorted(((r.doc_id, r.text, r.n_removed) for r in out.collect()), key=str)
     assert got == sorted([(1, long, 0), (1, long, 0), (2, "", 5000), (None, None, 0), (None, "x\ny\nz", 0), (3, "", 3), (4, "", 0), (5, "p\nq", 0), (6, "p\nq", 0)], key=str)
     assert lines.drop_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

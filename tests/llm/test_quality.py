@@ -46,5 +46,5 @@ def test_policies_and_ablation(spark):
     assert kept == [(0, True, False), (1, False, True), (1, False, True), (2, True, False), (3, False, False), (4, False, False), (5, False, False), (6, True, False)]
     assert [r.kept for r in q.judged(ledger, 1).filter("doc_id in (3, 4, 5)").collect()] == [True] * 3
     cost = {r.rule: (r.n_failed, r.n_only) for r in q.ablation(ledger).collect()}
-    assert cost["few_words"] == (2, 1) and cost["many_symbols"] == (2, 1) and cost["capitals"] == (2, 1)
+    assert cost["few_words"] == (2, 2) and cost["many_symbols"] == (2, 1) and cost["capitals"] == (2, 1)
     assert q.ledger(spark.createDataFrame([], "doc_id long, text string")).count() == 0
