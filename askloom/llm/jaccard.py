@@ -18,7 +18,8 @@ each. The steps, each a Spark job over written tables:
    a family of thousands of near copies is connected after a few, with some pairs per member
    in each, though most of its members may not be similar to any one of them.
 4. Full step. Of the tokens whose nodes are still not all connected, groups are expanded and
-   every pair of nodes of different components is filtered and verified. Nothing is sampled
+   every pair of nodes of different components is filtered and verified, once for all tokens
+   that both have; a token's largest component is not paired with itself. Nothing is sampled
    and no bucket is capped, so no link between components is lost; pairs inside a component,
    which cannot change the result, are never formed.
 
@@ -202,6 +203,28 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return util.staged(labels.join(into, "label", "left").select("node", F.coalesce("into", "label").alias("label")), "labels")
 
 
+def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different labels and near sizes that share a bucket in which the one that is not larger is early.
+
+    ``rows``: bucket, node, n, label, early. A bucket's most frequent label is not paired with
+    itself: the nodes of its other labels look up all nodes. A pair comes out of one bucket
+    only, the first that will do, however many both nodes are in. A node is in as many
+    buckets as its prefix is long, at most.
+    """
+    mine = rows.groupBy("node").agg(F.collect_list("bucket").alias("o"), F.collect_list(F.when(F.col("early"), F.col("bucket"))).alias("e"))
+    main = rows.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    told = rows.join(mine, "node").join(main, "bucket")
+    x, y = told.filter("label <> main").alias("x"), told.alias("y")
+    fewer, more = F.col("x.n") <= F.col("y.n"), F.col("y.n") <= F.col("x.n")
+    none = F.array().cast("array<bigint>")
+    first = F.array_min(F.array_union(
+        F.when(fewer, F.array_intersect("x.e", "y.o")).otherwise(none), F.when(more, F.array_intersect("y.e", "x.o")).otherwise(none)))
+    meet = (
+        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+        & _near(F.col("x.n"), F.col("y.n"), num, den) & _early("x.n", "y.n", "x.early", "y.early") & (F.col("x.bucket") == first))
+    return x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_shingles, component_id (least key of its component).
 
@@ -249,21 +272,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     wide = shared.join(several.withColumn("m", F.lit(True)), "leader", "left").filter((F.col("c") > _HANDS[0]) | F.col("m")).select("token").distinct()
     keyed = shared.join(wide, "token").select(F.col("token").alias("bucket"), "leader", "early").join(member, "leader").select("bucket", "node", "n", "label", "early")
     mixed = keyed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-    open_ = util.staged(keyed.join(mixed, "bucket"), "open")
-    # pairs of components that have nodes of near sizes in a bucket, one of them early
-    kinds = open_.groupBy("bucket", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("early").alias("early"))
-    able = (F.col("x.most") * den >= F.col("y.least") * num) & (F.col("y.most") * den >= F.col("x.least") * num) & (F.col("x.early") | F.col("y.early"))
-    sides = kinds.alias("x").join(kinds.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & able).select(
-        F.col("x.bucket").alias("bucket"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
-    a_side = open_.select("bucket", F.col("label").alias("la"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("early").alias("ea"))
-    b_side = open_.select("bucket", F.col("label").alias("lb"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("early").alias("eb"))
-    crossing = sides.join(a_side, ["bucket", "la"]).join(b_side, ["bucket", "lb"]).filter(
-        _near(F.col("na"), F.col("nb"), num, den) & _early("na", "nb", "ea", "eb")).select("a", "b")
-    # members of one group share the whole prefix: pairs of different components inside it
+    open_ = keyed.join(mixed, "bucket")
+    # members of one group share the whole prefix: one bucket more for groups that are not connected
     inside = member.groupBy("leader").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("leader")
-    apart = member.join(inside, "leader")
-    within = apart.select("leader", F.col("label").alias("la"), F.col("node").alias("a")).join(
-        apart.select("leader", F.col("label").alias("lb"), F.col("node").alias("b")), "leader").filter("la < lb").select("a", "b")
+    open_ = util.staged(open_.select("bucket", "node", "n", "label", "early"), "open")
+    crossing = _across(open_, num, den)
+    apart = member.join(inside, "leader").select(F.col("leader").alias("bucket"), "node", "n", "label", F.lit(True).alias("early"))
+    within = _across(apart, num, den)
     ordered = crossing.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = util.staged(checker.candidates(ordered), "pairs")
     if not more.isEmpty():
