@@ -203,8 +203,8 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return util.staged(labels.join(into, "label", "left").select("node", F.coalesce("into", "label").alias("label")), "labels")
 
 
-def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different labels and near sizes that share a bucket in which the one that is not larger is early.
+def _across(rows: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different labels and near sizes that share a bucket in which the one that is not larger is early, and enough of their prefixes.
 
     ``rows``: bucket, node, n, label, early. A bucket's most frequent label is not paired with
     itself: the nodes of its other labels look up all nodes. A pair comes out of one bucket
@@ -213,7 +213,7 @@ def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
     """
     mine = rows.groupBy("node").agg(F.collect_list("bucket").alias("o"), F.collect_list(F.when(F.col("early"), F.col("bucket"))).alias("e"))
     main = rows.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    told = rows.join(mine, "node").join(main, "bucket")
+    told = rows.join(mine.join(nodes.select("node", "prefix"), "node"), "node").join(main, "bucket")
     x, y = told.filter("label <> main").alias("x"), told.alias("y")
     fewer, more = F.col("x.n") <= F.col("y.n"), F.col("y.n") <= F.col("x.n")
     none = F.array().cast("array<bigint>")
@@ -221,7 +221,8 @@ def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
         F.when(fewer, F.array_intersect("x.e", "y.o")).otherwise(none), F.when(more, F.array_intersect("y.e", "x.o")).otherwise(none)))
     meet = (
         (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-        & _near(F.col("x.n"), F.col("y.n"), num, den) & _early("x.n", "y.n", "x.early", "y.early") & (F.col("x.bucket") == first))
+        & _near(F.col("x.n"), F.col("y.n"), num, den) & _early("x.n", "y.n", "x.early", "y.early") & (F.col("x.bucket") == first)
+        & _enough(F.size(F.array_intersect("x.prefix", "y.prefix")), F.col("x.n"), F.col("y.n"), num, den))
     return x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
@@ -276,11 +277,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     # members of one group share the whole prefix: one bucket more for groups that are not connected
     inside = member.groupBy("leader").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("leader")
     open_ = util.staged(open_.select("bucket", "node", "n", "label", "early"), "open")
-    crossing = _across(open_, num, den)
+    crossing = _across(open_, nodes, num, den)
     apart = member.join(inside, "leader").select(F.col("leader").alias("bucket"), "node", "n", "label", F.lit(True).alias("early"))
-    within = _across(apart, num, den)
+    within = _across(apart, nodes, num, den)
     ordered = crossing.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = util.staged(checker.candidates(ordered), "pairs")
+    more = util.staged(ordered, "pairs")
     if not more.isEmpty():
         labels = _relabelled(labels, checker.similar(more))
 
