@@ -492,7 +492,7 @@ def test_text_rules(spark):
     assert one(spark, tx.split_sub_queries(F.lit("How do I reset it and also what is the refund policy?"))) == ["How do I reset it?", "what is the refund policy?"]
     assert one(spark, tx.small_talk_class(F.lit("hey there!"))) == "greeting"
     assert one(spark, tx.small_talk_class(F.lit("hey how do I reset my password?"))) is None
-    assert one(spark, tx.refine_query(F.lit("q"), F.array(F.lit("b"), F.lit("a"), F.lit("a")), F.lit(9))) == "q\nExplain the underlying process or mechanism.\nExclude: a; b"
+    assert one(spark, tx.refine_query(F.lit("q"), F.array(F.lit("b"), F.lit("a"), F.lit("a")), F.lit(9))) == "q\nDescribe step by step how this works.\nExclude: a; b"
     assert one(spark, rules.table_like(F.lit("a|b|c\n" * 8))) is True
     assert one(spark, rules.diversify(F.lit("When must I pay"), F.lit(0.1), F.lit(0.0))) == "In which cases must I pay"
     assert one(spark, files.safe_stem(F.lit("/x/My report (1).pdf"))) == "Myreport1"
