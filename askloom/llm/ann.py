@@ -16,8 +16,10 @@ Every row is indexed. Each shard is read once by one task, and the queries are s
 it, so neither a shard (at most ``rows_per_shard``) nor the queries need to fit anywhere
 together; a shard answers a query with its k best, and these meet in one top-k.
 
-Defined results: vectors that are null, zero or hold null or non-finite values take no part,
-as queries or as candidates; vectors of different length are never compared; a row that is
+Defined results: keys are integers, anything else is a ValueError; vectors that are null, zero
+or hold null or non-finite values take no part, as queries or as candidates, and very large or
+small components are brought into range first (by powers of two, so no cosine is rounded
+otherwise); vectors of different length are never compared; a row that is
 repeated counts once; of equal vectors only the k + 1 smallest ids can be among anybody's
 nearest, so the others are set aside before the shuffle, which changes no result. A query id
 with several vectors uses the smallest in array order. Rows of the query's own id are not
@@ -33,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from askloom import util
 
@@ -56,10 +59,16 @@ def _half_width(m: int, least: int, sure: float) -> float:
     return hi
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to between a half and one."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=-1, keepdims=True))[1])
+
+
 class Shard:
     """The sorted projections of one shard, and its vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, m: int, seed: int):
+        vectors = _scaled(vectors)
         self.ids, self.vectors = ids, vectors
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
         self.unit = vectors / self.norms[:, None]
@@ -71,6 +80,7 @@ class Shard:
     def search(self, own: int, query: np.ndarray, k: int, least: int, sure: float) -> tuple[np.ndarray, np.ndarray, int]:
         """(ids, cosines, vectors verified) of the k best found."""
         n, m = len(self.ids), len(self.sorted)
+        query = _scaled(query)
         norm = sqrt(float((query * query).sum()))
         unit = query / norm
         centre = unit @ self.axes
@@ -123,21 +133,24 @@ def _usable(v: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, m: int = 64, least: int = 34, sure: float = 0.975, seed: int = 20,
-            rows_per_shard: int = 65_536, least_rows: int = 8_192, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+            rows_per_shard: int = 65_536, least_rows: int = 8_192, least_shards: int = 16, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, ``key``, score (cosine), verified: the k nearest found of each query row.
 
     ``least`` of ``m`` collisions make a vector a candidate. Shards hold ``rows_per_shard``
-    rows at most; a small table is spread over more, down to ``least_rows``.
+    rows at most; a small table is spread over ``least_shards``, of ``least_rows`` or more. Their
+    number follows from the rows alone, so the cluster's size does not change what is found.
     """
-    spark = util.settle(vectors.sparkSession)
+    util.settle(vectors.sparkSession)
+    if not isinstance(vectors.schema[key].dataType, IntegralType):
+        raise ValueError(f"{key} must be an integer column")
     value = F.col(vector).cast("array<double>")
-    kept = vectors.select(F.col(key).alias("id"), value.alias("v")).filter(F.col("id").isNotNull() & _usable(F.col("v"))).dropDuplicates(["id", "v"])
+    kept = vectors.select(F.col(key).cast("long").alias("id"), value.alias("v")).filter(F.col("id").isNotNull() & _usable(F.col("v"))).dropDuplicates(["id", "v"])
     equal = F.dense_rank().over(Window.partitionBy("v").orderBy("id"))
     kept = kept.withColumn("_r", equal).filter(F.col("_r") <= k + 1).drop("_r")
     kept = util.staged(kept.withColumn("dim", F.size("v")), "vectors")
-    asked = queries.select(F.col(key).alias("id"), value.alias("v")).filter(F.col("id").isNotNull() & _usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"))
+    asked = queries.select(F.col(key).cast("long").alias("id"), value.alias("v")).filter(F.col("id").isNotNull() & _usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"))
     rows = kept.count()
-    shards = max(ceil(rows / rows_per_shard), min(spark.sparkContext.defaultParallelism * 2, ceil(rows / least_rows)), 1)
+    shards = max(ceil(rows / rows_per_shard), min(least_shards, ceil(rows / least_rows)), 1)
     dims = kept.select("dim").distinct()
     shard = (F.shiftleft(F.col("dim").cast("long"), _DIM_SHIFT) + F.col("s"))
     left = kept.withColumn("s", F.pmod(F.xxhash64("id", "v"), F.lit(shards))).select(shard.alias("shard"), F.lit(0).alias("asks"), "id", "v")

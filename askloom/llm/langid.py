@@ -6,9 +6,10 @@ frequency: share of the text's n-grams). The classifier is trained with
 follow-the-regularised-leader and elastic-net penalties on a bounded sample of labelled
 rows, then calibrated by one temperature on a part of the sample that training did not see.
 
-What may be bounded is bounded by parameters: ``per_label`` labelled rows for each language
-(distinct texts, those of smallest hash) and ``max_labels`` languages (the most frequent). Every
-row is predicted, from its whole text.
+The classifier is fitted on a sample that parameters bound: ``per_label`` labelled rows for each
+language (distinct texts, those of smallest hash) and ``max_labels`` languages, the most frequent;
+rarer ones are not learned. The document frequencies cover every row that may be learned
+from, and every row is predicted, both from whole texts.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every
 text when there is nothing to learn from. Equal texts get equal predictions; ties go to the
@@ -101,12 +102,23 @@ class Model:
         return p / p.sum(axis=1, keepdims=True), some
 
 
+def least_score(model: Model | None, share: float) -> float:
+    """The score that lies ``share`` of the way from a guess among the model's languages to certainty."""
+    k = len(model.labels) if model else 1
+    return 1 / k + share * (1 - 1 / k)
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     p = np.exp(z - z.max())
     return p / p.sum()
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 8, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> Model | None:
+def inverse_frequencies(seen: np.ndarray, n: int) -> np.ndarray:
+    """Inverse document frequencies of features that stand in ``seen`` of ``n`` documents."""
+    return np.log((1 + n) / (1 + seen)) + 1
+
+
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, epochs: int = 8, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4) -> Model | None:
     """A model of (label, feature numbers, shares) rows; every fifth row only calibrates."""
     labels = tuple(sorted({r[0] for r in rows}))
     if not labels:
@@ -115,10 +127,6 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 8, alpha:
     held = rows[4::5] or rows
     learn = [r for i, r in enumerate(rows) if i % 5 != 4]
     size, k = 1 << BITS, len(labels)
-    seen = np.zeros(size)
-    for _, f, _x in learn:
-        seen[f] += 1
-    idf = np.log((1 + len(learn)) / (1 + seen)) + 1
     z, n = np.zeros((size + 1, k)), np.zeros((size + 1, k))  # the last row is the bias
 
     def weights(f: np.ndarray) -> np.ndarray:
@@ -152,30 +160,62 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 8, alpha:
     return Model(labels, (w[:size] * idf[:, None] * _SCALE).astype(np.float32), w[size], float(best))
 
 
+def _distinct(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct features of each text, how often each occurs, and the offsets of the texts."""
+    chars, offsets = characters(raw, at)
+    f, row = [], []
+    for feature, whole in features(chars, offsets):
+        f.append(feature[whole])
+        row.append(spans.rows_of(offsets)[:len(feature)][whole])
+    pair, count = np.unique((np.concatenate(row) << BITS) | np.concatenate(f), return_counts=True)
+    return pair & ((1 << BITS) - 1), count, np.searchsorted(pair, np.arange(len(at)) << BITS)
+
+
+def document_frequencies(rows: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
+    """In how many rows each hashed feature stands, and how many rows have a letter.
+
+    A task adds up its rows first, so at most 2 ** BITS + 1 numbers of each are shuffled,
+    and as many reach the driver.
+    """
+    def run(batches):
+        seen = np.zeros((1 << BITS) + 1, np.int64)  # the last is the number of rows
+        for b in batches:
+            for _, _, raw, at in spans.pieces(b.column(0)):
+                f, _, cut = _distinct(raw, at)
+                seen[:-1] += np.bincount(f, minlength=1 << BITS)
+                seen[-1] += np.count_nonzero(np.diff(cut))
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["f", "c"])
+
+    got = rows.select(F.col(text).alias("t")).mapInArrow(run, "f long, c long").groupBy("f").agg(F.sum("c").alias("c")).toArrow()
+    seen = np.zeros((1 << BITS) + 1, np.int64)
+    seen[got.column("f").to_numpy()] = got.column("c").to_numpy()
+    return seen[:-1], int(seen[-1])
+
+
 def train(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = 400, max_labels: int = 200) -> Model | None:
-    """Fit on a bounded sample of labelled rows: at most ``per_label`` x ``max_labels``."""
+    """Fit on a bounded sample of labelled rows: at most ``per_label`` x ``max_labels``.
+
+    A row of the sample has at most 2 ** BITS features, whatever its length. Only rows whose
+    hash is small for their label's number of texts are ranked, so that a frequent label
+    does not bring ``per_label`` rows of every task together.
+    """
     labelled = rows.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("y"), F.xxhash64(text).alias("h"))
     known = labelled.groupBy("y", "h").agg(F.min("k").alias("k"))  # copies of a text teach nothing more
-    ranked = known.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "k"))).filter(F.col("r") <= per_label)
-    common = known.groupBy("y").count().orderBy(F.desc("count"), "y").limit(max_labels).select("y")
-    chosen = ranked.join(F.broadcast(common), "y").select("k", "y", "h", "r")  # broadcast: max_labels rows
+    common = known.groupBy("y").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "y").limit(max_labels)
+    part = F.col("h") / 2.0 ** 64 + 0.5  # where the hash stands among all hashes
+    small = known.join(F.broadcast(common), "y").filter(part * F.col("c") <= 4 * per_label)  # broadcast: max_labels rows
+    chosen = small.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "k"))).filter(F.col("r") <= per_label).select("k", "y", "h", "r")
     with_text = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")  # per_label * max_labels keys
 
     def run(batches):
         for b in batches:
             for lo, hi, raw, at in spans.pieces(b.column("t")):
-                chars, offsets = characters(raw, at)
-                f, row = [], []
-                for feature, whole in features(chars, offsets):
-                    f.append(feature[whole])
-                    row.append(spans.rows_of(offsets)[:len(feature)][whole])
-                f, row = np.concatenate(f), np.concatenate(row)
-                pair, count = np.unique((row << BITS) | f, return_counts=True)
-                cut = np.searchsorted(pair, np.arange(hi - lo + 1) << BITS)
-                share = count / np.maximum(np.add.reduceat(np.append(count, 0), cut[:-1]), 1).repeat(np.diff(cut)) if len(pair) else count.astype(float)
+                f, count, cut = _distinct(raw, at)
+                share = count / np.maximum(np.add.reduceat(np.append(count, 0), cut[:-1]), 1).repeat(np.diff(cut)) if len(f) else count.astype(float)
                 yield pa.RecordBatch.from_arrays([
                     b.column("h").slice(lo, hi - lo), b.column("y").slice(lo, hi - lo), b.column("r").slice(lo, hi - lo),
-                    pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array((pair & ((1 << BITS) - 1)).astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(f.astype(np.int32))),
                     pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(share, pa.float64()))], ["h", "y", "r", "f", "x"])
 
     got = with_text.mapInArrow(run, "h long, y string, r int, f array<int>, x array<double>").toArrow()
@@ -184,11 +224,13 @@ def train(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     sample = [(y, np.array(f[i].values), np.array(x[i].values)) for i, y in enumerate(table.column("y").to_pylist())]
     del got, table, f, x
     pa.default_memory_pool().release_unused()
-    return fit([s for s in sample if len(s[1])])
+    sample = [s for s in sample if len(s[1])]
+    return fit(sample, inverse_frequencies(*document_frequencies(rows.filter(F.col(label).isNotNull()), text))) if sample else None
 
 
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, lang_pred, score) of every row, with the ``keep`` columns passed through."""
+    names_in = [f"c{i}" for i in range(len(keep) + 1)]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 ** BITS x max_labels weights
 
     def run(batches):
@@ -204,11 +246,11 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
                     names = [m.labels[i] if s else "und" for i, s in zip(top, some)]
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(i).slice(lo, hi - lo) for i in range(len(keep) + 1)), pa.array(names, pa.string()), pa.array(best)],
-                    ["k", *keep, "lang_pred", "score"])
+                    [*names_in, "lang_pred", "score"])
 
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    schema = f"k {docs.schema[key].dataType.simpleString()}, {kinds}lang_pred string, score double"
-    return docs.select(docs[key].alias("k"), *[docs[c] for c in keep], docs[text].alias("t")).mapInArrow(run, schema).withColumnRenamed("k", key)
+    columns = [docs[c].alias(name) for c, name in zip((key, *keep), names_in)]
+    kinds = "".join(f"{name} {docs.schema[c].dataType.simpleString()}, " for c, name in zip((key, *keep), names_in))
+    return docs.select(*columns, docs[text].alias("t")).mapInArrow(run, f"{kinds}lang_pred string, score double").toDF(key, *keep, "lang_pred", "score")
 
 
 def held_out(key: str = "doc_id"):

@@ -3,7 +3,9 @@
 A notice of m characters that may differ by k edits is cut into k + 1 parts. By the
 pigeonhole principle one part occurs unchanged, so an automaton over all parts finds every
 candidate place; the ``regex`` library then matches the whole notice with a bound on the
-edits around that place and gives the span. Texts are compared as lower-cased words with
+edits around that place and gives the span. Every candidate place has a window of its own; of
+overlapping finds the one of fewest edits stays (ties: the leftmost), and what it leaves free of
+the others' windows is searched again. Texts are compared as lower-cased words with
 single blanks between them, so line breaks and punctuation cost no edits.
 
 Defined results: a null or empty text has no words, no places and score 0; equal rows give
@@ -12,7 +14,10 @@ equal results; only the key and the text are read, so no other column can clash.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterable
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import ahocorasick
 import numpy as np
@@ -73,42 +78,50 @@ def _machine(notices: tuple[str, ...]) -> tuple[ahocorasick.Automaton, list[rege
 
 
 def notice_spans(text: str, notices: tuple[str, ...]) -> list[tuple[int, int, int, int]]:
-    """(start, end, notice, edits) of the notices in one line of words, best and leftmost first kept.
+    """(start, end, notice, edits) of the notices in one line of words, sorted.
 
     ``text`` holds words separated by single blanks, texts separated by line feeds. Places
     of one notice do not overlap.
     """
     machine, patterns = _machine(notices)
-    windows: dict[int, list[list[int]]] = {}
+    windows: dict[int, dict[tuple[int, int], None]] = {}
     for end, (size, where) in machine.iter(text):
         for i, at in where:
             k = edits(notices[i])
             first = end + 1 - size - at
             lo, hi = max(first - k, 0), min(first + len(notices[i]) + k, len(text))
-            mine = windows.setdefault(i, [])
-            if mine and lo <= mine[-1][1]:
-                mine[-1] = [min(lo, mine[-1][0]), max(hi, mine[-1][1])]
-            else:
-                mine.append([lo, hi])
-    found = []
-    for i, mine in windows.items():
-        floor = 0
-        for lo, hi in mine:
-            lo = max(lo, floor)
-            for line_lo, line_hi in _inside_lines(text, lo, hi):
-                for m in patterns[i].finditer(text, line_lo, line_hi):
-                    if m.start() < m.end():
-                        found.append((m.start(), m.end(), i, sum(m.fuzzy_counts)))
-                        floor = m.end()
-    return sorted(found)
-
-
-def _inside_lines(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
-    out, at = [], lo
-    while (feed := text.find("\n", at, hi)) >= 0:
-        out.append((at, feed))
-        at = feed + 1
-    return [*out, (at, hi)]
+            lo = max(lo, text.rfind("\n", lo, end + 1 - size) + 1)
+            feed = text.find("\n", end + 1, hi)
+            windows.setdefault(i, {})[lo, hi if feed < 0 else feed] = None
+    return sorted((a, z, i, e) for i, mine in windows.items() for a, z, e in _apart(text, patterns[i], len(notices[i]) - edits(notices[i]), mine))
+
+
+def _apart(text: str, pattern: regex.Pattern, least: int, windows: Iterable[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of places that do not overlap, found in the windows; none is shorter than ``least``."""
+    waiting: list[tuple[int, int, int, int, int]] = []
+    taken: list[tuple[int, int, int]] = []
+
+    def search(lo: int, hi: int) -> None:
+        m = pattern.search(text, lo, hi) if hi - lo >= least else None
+        if m:
+            heappush(waiting, (sum(m.fuzzy_counts), m.start(), m.end(), lo, hi))
+
+    for lo, hi in windows:
+        search(lo, hi)
+    while waiting:
+        e, a, z, lo, hi = heappop(waiting)
+        at = bisect_left(taken, (a,))
+        before, after = taken[at - 1] if at else None, taken[at] if at < len(taken) else None
+        if (before and before[1] > a) or (after and after[0] < z):
+            # the free parts of the window: places in it begin and end between taken ones
+            for t in taken[max(at - 1, 0):bisect_left(taken, (hi,))]:
+                if t[1] > lo:
+                    search(lo, t[0])
+                    lo = max(lo, t[1])
+            search(lo, hi)
+        else:
+            insort(taken, (a, z, e))
+    return taken
 
 
 def _normal(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:

@@ -54,3 +54,18 @@ def test_odd_rows(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in ann.nearest(df, df.filter("vec_id % 50 = 0")).collect())
     assert got == [(0, 1, 1, 0.995037), (0, 2, 50, -1.0), (50, 1, 1, -0.995037), (50, 2, 0, -1.0)]
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_very_large_and_small_components(spark):
+    rows = [(0, [1e-200, 0.0]), (1, [1e200, 1e199]), (2, [0.0, 5e-324]), (3, [-1e308, 1e308]), (4, [1e-200, 1e-200])]
+    got = ann.nearest(*[spark.createDataFrame(rows, "vec_id int, embedding array<double>")] * 2, k=2).collect()
+    by = {(r.query_id, r["rank"]): (r.vec_id, round(r.score, 9)) for r in got}
+    near = round(1 / 1.01 ** 0.5, 9)
+    assert by[0, 1] == (1, near) and by[0, 2] == (4, round(0.5 ** 0.5, 9)) and len(by) == 10
+    assert {by[2, 1], by[2, 2]} == {(3, near_half := round(0.5 ** 0.5, 9)), (4, near_half)}
+
+
+def test_keys_that_are_not_integers_are_an_error(spark):
+    df = spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>")
+    with pytest.raises(ValueError, match="vec_id"):
+        ann.nearest(df, df)

@@ -58,3 +58,37 @@ def test_notices(spark):
 def test_places_do_not_cross_texts():
     line = "released under the mit\nlicense\n"
     assert not [s for s in licenses.notice_spans(line, tuple(licenses.NOTICES)) if s[3] == 0]
+
+
+def test_notices_that_stand_close_together():
+    """A place with edits is not lost to a better one beside it, on either side; an overlapping one of more edits is."""
+    names = ("licensed under the bsd license",)
+    exact, edited = names[0], "licensed under the bsd licemse"
+    for line in ([edited, exact], [exact, edited], [edited, edited, exact, edited], [exact] * 3, [edited] * 40):
+        text, want, at = " ".join(line), [], 0
+        for part in line:
+            want.append((at, at + len(part), 0, int(part == edited)))
+            at += len(part) + 1
+        assert licenses.notice_spans(text + " \n", names) == want
+    r = random.Random(8)
+    for _ in range(60):
+        names = tuple(licenses.NOTICES)
+        line = []
+        for _ in range(r.randint(1, 6)):
+            i = r.randrange(len(names))
+            text = list(names[i])
+            if r.random() < 0.7:
+                text[r.randrange(1, len(text) - 1)] = "q"
+            line += ["zz"] * r.randint(0, 1) + ["".join(text)]
+        text = " ".join(line)
+        found = licenses.notice_spans(text + " \n", names)
+        at = 0
+        for part in line:
+            if part != "zz":
+                assert any(a < at + len(part) and z > at and e <= 1 for a, z, _, e in found), (text, part, found)
+            at += len(part) + 1
+        by = {}
+        for a, z, i, e in found:
+            assert z - a >= len(names[i]) - licenses.edits(names[i]) and e <= licenses.edits(names[i])
+            assert a >= by.get(i, 0)
+            by[i] = z

@@ -86,8 +86,9 @@ def test_stages(spark, tmp_path):
 
     before, after = seen["language_id"]
     table = spark.createDataFrame(before, "doc_id long, text string, lang string, source string, n_chars long")
-    told = langid.predict(table, langid.train(table.filter(~langid.held_out()))).collect()
-    gone = {r.doc_id for r in told if r.lang_pred == "und" or r.score < corpus_pipeline.LEAST_SCORE}
+    model = langid.train(table.filter(~langid.held_out()))
+    least = langid.least_score(model, corpus_pipeline.LEAST_CERTAINTY)
+    gone = {r.doc_id for r in langid.predict(table, model).collect() if r.lang_pred == "und" or r.score < least}
     assert {r.doc_id for r in before} - {r.doc_id for r in after} == gone and len(gone) < 10
     assert gone >= {r.doc_id for r in before if not re.search("[a-z]", r.text or "")}
     assert all(r.n_chars == len(r.text) for r in after)
