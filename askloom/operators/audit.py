@@ -19,6 +19,24 @@ def nearest_rank(rows: DataFrame, group: str, value: str, key: str, percents: di
     return hit.groupBy(group).agg(*[F.max(F.when(F.col("name") == n, F.col(value))).alias(n) for n in at])
 
 
+def interpolated(rows: DataFrame, group: str, value: str, key: str, percents: dict[str, float]) -> DataFrame:
+    """Exact percentiles between neighbouring ranks, per group with a value; no group is gathered in one task.
+
+    Nulls are left out. ``key`` tells apart the rows of a group, so that many equal values spread over tasks.
+    """
+    some = rows.select(group, value, key).filter(F.col(value).isNotNull())
+    ranked = global_rank(some, [F.col(group), F.col(value), F.col(key)])
+    sizes = staged(ranked.groupBy(group).agg(F.count("*").alias("_n"), F.min("rank").alias("_first")), "sizes")
+    place = lambda p: F.lit(p / 100.0) * (F.col("_n") - 1)
+    at = F.array(*[F.struct(F.lit(n).alias("name"), place(p).alias("place")) for n, p in percents.items()])
+    asked = sizes.select(group, "_first", F.inline(at))
+    share = F.col("place") - F.floor("place")
+    ends = F.array(F.struct(F.floor("place").alias("off"), (1 - share).alias("weight")), F.struct((F.floor("place") + 1).alias("off"), share.alias("weight")))
+    wanted = asked.select(group, "name", "_first", F.inline(ends)).filter("weight > 0").select(group, "name", "weight", (F.col("_first") + F.col("off")).alias("rank"))
+    hit = ranked.join(broadcast_if(wanted, sizes, 2 * len(percents)), [group, "rank"])  # two rows per group and percentile
+    return hit.groupBy(group).agg(*[F.sum(F.when(F.col("name") == n, F.col(value) * F.col("weight"))).alias(n) for n in percents])
+
+
 def latency_bench(responses: DataFrame, key: str) -> DataFrame:
     """Per model: n, mean and nearest-rank percentiles, throughput, mean confidence and mean time per component.
 

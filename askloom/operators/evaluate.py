@@ -7,9 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from askloom import util
 from askloom.functions import maths
 from askloom.functions import text as tx
 from askloom.operators import metrics as m
+from askloom.operators.audit import interpolated
 
 METRICS = ("recall_at_20", "grounding", "citation_f1", "rouge1", "rouge2", "rougeL", "ctx_rouge1", "ctx_rouge2", "ctx_rougeL", "completeness", "citation_coverage", "fcrs")
 
@@ -21,7 +23,10 @@ def per_query(responses: DataFrame, gold: DataFrame, query: str = "query_id") ->
     span_end, cited_text), tools, ticket_id, confidence, iterations, latency_ms, ttft_ms.
     gold: query, gold_answer, gold_ids, gold_citations, needed_tool, should_escalate.
     Where they are present: ``grounding_citations`` (the wider set that grounding and
-    context scores use in place of ``citations``), ``decomposed`` and gold ``is_multi_part``.
+    context scores use in place of ``citations``), ``decomposed`` and gold ``is_multi_part``,
+    ``tool_args`` (a map of string arguments for each of ``tools``, in their order) and gold
+    ``needed_args``: the best argument F1 among the calls of the needed tool. Where either is
+    missing, arguments count as right with the tool's name.
     """
     j = responses.join(gold, query)
     wide = "grounding_citations" if "grounding_citations" in j.columns else "citations"
@@ -56,14 +61,23 @@ def per_query(responses: DataFrame, gold: DataFrame, query: str = "query_id") ->
         rouge("_ct", "_at", 1, "recall").alias("ctx_rouge1"), rouge("_ct", "_at", 2, "recall").alias("ctx_rouge2"),
         F.round(m.rouge_l("_ct", "_at")["recall"], 4).alias("ctx_rougeL"),
         F.when(F.col("needed_tool").isNotNull(), m.tool_name_match("tools", "needed_tool")).alias("tool_name_match"),
-        # the test set names a tool without arguments: they count as right with the name
-        F.when(F.col("needed_tool").isNotNull(), m.tool_name_match("tools", "needed_tool")).alias("tool_arg_f1"),
+        F.when(F.col("needed_tool").isNotNull(), _argument_f1(j)).alias("tool_arg_f1"),
         "completeness", "citation_coverage", "tool_appropriateness", "escalation_accuracy",
         m.fcrs("completeness", "citation_coverage", "tool_appropriateness", "escalation_accuracy", "needed_tool", "should_escalate").alias("fcrs"),
         F.col("ticket_id").isNotNull().alias("escalated"), "should_escalate", "decomposed", "is_multi_part",
     )
 
 
+def _argument_f1(joined: DataFrame) -> Column:
+    name = m.tool_name_match("tools", "needed_tool")
+    if not {"tool_args", "needed_args"} <= set(joined.columns):
+        return name
+    calls = F.filter(F.arrays_zip("tools", "tool_args"), lambda c: c["tools"] == F.col("needed_tool"))
+    none = F.create_map().cast("map<string,string>")
+    best = F.array_max(F.transform(calls, lambda c: m.arg_f1(F.coalesce(c["tool_args"], none), F.col("needed_args"))))
+    return F.when(F.col("needed_args").isNull() | F.col("tool_args").isNull(), name).otherwise(F.coalesce(best, F.lit(0.0)))
+
+
 def binary_prf(predicted, gold) -> dict[str, Column]:
     """Aggregates precision, recall, f1 of two Boolean columns; 0 where undefined."""
     p, g = (F.col(c) if isinstance(c, str) else c for c in (predicted, gold))
@@ -76,17 +90,24 @@ def loop_efficiency(iterations: str = "iterations") -> Column:
     return F.when(F.max(iterations) > 0, F.avg(iterations))
 
 
-def aggregate(rows: DataFrame) -> DataFrame:
-    """Per-model means (nulls skipped), latency percentiles, loop efficiency, escalation F1 where any is due."""
+def aggregate(rows: DataFrame, query: str = "query_id") -> DataFrame:
+    """Per-model means (nulls skipped), latency percentiles, loop efficiency, escalation F1 where any is due.
+
+    The rows are written once; percentiles come from ranks over range partitions, so that no
+    task holds the latencies of a model.
+    """
+    rows = util.staged(rows, "evaluated")
     mean = [F.avg(c).alias(c) for c in (*METRICS, "citation_precision", "citation_recall", "tool_name_match", "tool_arg_f1", "tool_appropriateness", "escalation_accuracy")]
-    pct = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95)))
-    tpct = F.percentile("ttft_ms", F.array(F.lit(0.5), F.lit(0.95)))
-    return rows.groupBy("model_tag").agg(
-        F.count("*").alias("n_queries"), *mean, pct.alias("_l"), tpct.alias("_t"), F.avg("latency_ms").alias("latency_mean"),
+    means = rows.groupBy("model_tag").agg(
+        F.count("*").alias("n_queries"), *mean, F.avg("latency_ms").alias("latency_mean"),
         loop_efficiency().alias("loop_efficiency"),
         F.when(F.max("should_escalate"), binary_prf("escalated", "should_escalate")["f1"]).alias("escalation_f1"),
         F.when(F.count("is_multi_part") > 0, binary_prf(F.coalesce("decomposed", F.lit(False)) & F.col("is_multi_part").isNotNull(), F.coalesce("is_multi_part", F.lit(False)))["f1"]).alias("decomposition_f1"),
-    ).withColumns({"latency_p50": F.get("_l", F.lit(0)), "latency_p95": F.get("_l", F.lit(1)), "ttft_p50": F.get("_t", F.lit(0)), "ttft_p95": F.get("_t", F.lit(1))}).drop("_l", "_t")
+    )
+    for name in ("latency", "ttft"):
+        percents = interpolated(rows, "model_tag", f"{name}_ms", query, {f"{name}_p50": 50, f"{name}_p95": 95})
+        means = means.join(percents.withColumnRenamed("model_tag", "_tag"), F.col("model_tag").eqNullSafe(F.col("_tag")), "left").drop("_tag")
+    return means
 
 
 def long_form(summary: DataFrame, columns: list[str]) -> DataFrame:

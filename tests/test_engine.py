@@ -588,3 +588,33 @@ def test_maths(spark):
     assert one(spark, maths.span_iou(F.lit(0), F.lit(10), F.lit(5), F.lit(15))) == pytest.approx(1 / 3)
     assert one(spark, maths.recall(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(2)), 20)) == 0.5  # repeats stay in the denominator
     assert sum(one(spark, maths.softmax(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))))) == pytest.approx(1)
+
+
+def test_interpolated_percentiles(spark):
+    """Equal to numpy's linear percentiles, with nulls, ties, single rows and a group of equal values."""
+    from askloom.operators import audit
+    r = np.random.default_rng(2)
+    values = {"a": r.integers(0, 30, 400).astype(float).tolist(), "b": [5.0], "c": [7.0] * 300, "d": [1.0, 4.0], "e": []}
+    rows = [(g, i, v) for g, vs in values.items() for i, v in enumerate([*vs, None])]
+    df = spark.createDataFrame(rows, "model_tag string, query_id long, ms double").repartition(5)
+    got = {x.model_tag: (x.p50, x.p95, x.p0, x.p100) for x in audit.interpolated(df, "model_tag", "ms", "query_id", {"p50": 50, "p95": 95, "p0": 0, "p100": 100}).collect()}
+    assert set(got) == {"a", "b", "c", "d"}
+    for g, x in got.items():
+        assert np.allclose(x, np.percentile(values[g], [50, 95, 0, 100])), g
+    assert audit.interpolated(df.limit(0), "model_tag", "ms", "query_id", {"p50": 50}).count() == 0
+
+
+def test_argument_f1_of_tool_calls(spark, sf):
+    """The best call of the needed tool counts; without arguments on either side the name does."""
+    args = "CASE WHEN needed_tool IS NOT NULL AND query_id % 2 = 0 THEN map('query', 'pay', 'top_k', '5') END"
+    gold = d.gold_rows(spark, sf).limit(40).withColumn("needed_args", F.expr(args))
+    calls = F.transform("tools", lambda t: F.when(F.col("query_id") % 4 == 0, F.create_map(F.lit("query"), F.lit(" Pay "), F.lit("top_k"), F.lit("7"))).otherwise(F.create_map(F.lit("query"), F.lit("PAY"), F.lit("top_k"), F.lit("5"))))
+    responses = d.responses(spark, sf)
+    plain = {(r.model_tag, r.query_id): r for r in evaluate.per_query(responses, gold).select("model_tag", "query_id", "tool_name_match", "tool_arg_f1").collect()}
+    judged = evaluate.per_query(responses.withColumn("tool_args", calls), gold).select("model_tag", "query_id", "tool_name_match", "tool_arg_f1").collect()
+    assert len(judged) == len(plain) > 0
+    assert all(r.tool_arg_f1 == r.tool_name_match for r in plain.values())
+    for r in judged:
+        want = r.tool_name_match if r.query_id % 2 or not r.tool_name_match else 0.5 if r.query_id % 4 == 0 else 1.0
+        assert r.tool_arg_f1 == want, r
+    assert {0.5, 1.0} <= {r.tool_arg_f1 for r in judged}
