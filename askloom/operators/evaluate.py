@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,39 +131,58 @@ def consistency(answers: DataFrame, query: str, answer: str) -> DataFrame:
     return counts.groupBy(query).agg((F.max("n") / F.sum("n")).alias("consistency"))
 
 
-def poisson_steps(resolution: float = 2.0 ** -32) -> tuple[float, ...]:
-    """Cumulative probabilities of a Poisson variable with mean 1, up to the last one that a hash of this resolution can pass."""
-    steps, term, total, i = [], math.exp(-1.0), 0.0, 0
-    while total + term < 1.0 - resolution:
-        total += term
-        steps.append(round(total, 15))
-        i += 1
-        term /= i
-    return tuple(steps)
-
+BLOCK = 4096  # rows whose differences travel together as one array
+_HANDS = 16  # tasks that share the repetitions of a block
 
-POISSON1 = poisson_steps()
 
+def numbered_differences(rows: DataFrame, reference: str, metric: str, query: str) -> tuple[DataFrame, DataFrame]:
+    """Differences from ``reference``: (model_tag, pos from 0, n, d) and (model_tag, n, observed mean).
 
-def bootstrap_p(rows: DataFrame, reference: str, metric: str = "fcrs", reps: int = 1000, seed: int = 42, query: str = "query_id") -> DataFrame:
-    """Two-sided paired-bootstrap p-value of every model against ``reference``.
-
-    Resampling is done by Poisson weights: a row's weight in a repetition comes from a hash
-    of (query, repetition). Unlike drawing row numbers this needs no numbering and no join,
-    and sums combine before the shuffle, so a model with very many queries is no hot spot.
-    Pairs with a missing value are left out; no pairs gives 1.
+    Positions are ranks over range partitions, so no task numbers a whole model. Pairs with a missing value are left out.
     """
     ref = rows.filter(F.col("model_tag") == reference).select(query, F.col(metric).alias("_b"))
     diff = rows.filter(F.col("model_tag") != reference).join(ref, query).select("model_tag", query, (F.col(metric) - F.col("_b")).alias("d"))
-    live = diff.filter("d IS NOT NULL")
-    observed = live.groupBy("model_tag").agg(F.avg("d").alias("observed"))
+    ranked = util.global_rank(diff.filter("d IS NOT NULL"), [F.col("model_tag"), F.col(query), F.col("d")], "_r")
+    models = util.staged(ranked.groupBy("model_tag").agg(F.min("_r").alias("_lo"), F.count("*").alias("n"), F.avg("d").alias("observed")), "models")
+    at = ranked.join(models.select("model_tag", "_lo", "n"), "model_tag").select("model_tag", (F.col("_r") - F.col("_lo")).alias("pos"), "n", "d")
+    return at, models.drop("_lo")
+
+
+def block_draws(at: DataFrame, models: DataFrame, reps: int, seed: int = 42, block: int = BLOCK) -> DataFrame:
+    """(model_tag, n, rep, block, c): how many of a repetition's n draws fall into each block of positions.
+
+    A multinomial split: each row stands for one draw of every repetition and hashes to the
+    position it takes. Only the counts per block are shuffled, combined in the task before.
+    """
     rep = F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")
-    u = maths.hash_unit(F.concat_ws(":", F.col(query).cast("string"), F.col("rep").cast("string")), seed)
-    weight = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON1), F.lit(0))
-    drawn = live.select("model_tag", query, "d", rep).withColumn("w", weight)
-    means = drawn.groupBy("model_tag", "rep").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("mean"))
-    p = means.join(observed, "model_tag").groupBy("model_tag").agg(
-        F.avg(F.when(F.abs(F.coalesce("mean", "observed") - F.col("observed")) >= F.abs("observed"), 1.0).otherwise(0.0)).alias("p_value"))
+    one = models.filter(F.col("n") <= block).select("model_tag", "n", rep, F.lit(0).cast("bigint").alias("block"), F.col("n").alias("c"))
+    drawn = at.filter(F.col("n") > block).select("model_tag", "n", "pos", rep)
+    place = maths.hash_below(F.concat_ws(":", F.col("pos").cast("string"), F.col("rep").cast("string")), seed, F.col("n"))
+    many = drawn.select("model_tag", "n", "rep", place.alias("place")).groupBy(
+        "model_tag", "n", "rep", F.floor(F.col("place") / block).alias("block")).agg(F.count("*").alias("c"))
+    return one.unionByName(many)
+
+
+def bootstrap_p(rows: DataFrame, reference: str, metric: str = "fcrs", reps: int = 1000, seed: int = 42, query: str = "query_id", block: int = BLOCK) -> DataFrame:
+    """Two-sided paired-bootstrap p-value of every model against ``reference``.
+
+    Every repetition draws exactly as many pairs as there are, with replacement: first the
+    number of draws of each block of positions, then the rows inside the block, both from
+    hashes of (position, repetition). A block is one array of at most ``block`` numbers, and
+    its repetitions are dealt over several tasks. Pairs with a missing value are left out;
+    no pairs gives 1.
+    """
+    at, models = numbered_differences(rows, reference, metric, query)
+    keys = ["model_tag", "block", "hand"]
+    counts = block_draws(at, models, reps, seed, block).withColumn("hand", F.col("rep") % _HANDS)
+    held = at.groupBy("model_tag", F.floor(F.col("pos") / block).alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "d"))).alias("s"))
+    held = held.select("model_tag", "block", F.transform("s", lambda x: x["d"]).alias("ds"), F.explode(F.sequence(F.lit(0), F.lit(_HANDS - 1))).alias("hand"))
+    drawn = util.spread(counts, *keys).join(util.spread(held, *keys), keys)
+    name = lambda t: F.concat_ws(":", F.col("block").cast("string"), t.cast("string"), F.col("rep").cast("string"))
+    total = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.col("c")), F.lit(0.0), lambda acc, t: acc + F.get("ds", maths.hash_below(name(t), seed, F.size("ds")).cast("int")))
+    means = drawn.select("model_tag", "n", "rep", total.alias("total")).groupBy("model_tag", "rep").agg((F.sum("total") / F.max("n")).alias("mean"))
+    p = means.join(models, "model_tag").groupBy("model_tag").agg(
+        F.avg(F.when(F.abs(F.col("mean") - F.col("observed")) >= F.abs("observed"), 1.0).otherwise(0.0)).alias("p_value"))
     tags = rows.filter(F.col("model_tag") != reference).select("model_tag").distinct()
     return tags.join(p, "model_tag", "left").select("model_tag", F.coalesce("p_value", F.lit(1.0)).alias("p_value"))
 

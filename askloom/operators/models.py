@@ -38,8 +38,15 @@ def fit_confidence(rows: DataFrame, query: str, evidence: str, label: str, key:
     return model, scored.withColumn("abs_error", F.abs(F.col("confidence") - F.col(label)))
 
 
-def fit_classifier(rows: DataFrame, vector: str, label: str, multinomial: bool = False) -> tuple[object, DataFrame]:
-    """(model, rows with class probabilities): the tool policy (multinomial) or the multi-part detector (binary)."""
-    x = rows.withColumn("x", array_to_vector(F.transform(vector, lambda v: v.cast("double"))))
-    model = LogisticRegression(featuresCol="x", labelCol=label, regParam=0.01, maxIter=50, family="multinomial" if multinomial else "binomial").fit(x)
-    return model, model.transform(x).withColumn("probs", vector_to_array("probability")).drop("x", "rawPrediction", "probability")
+def fit_classifier(rows: DataFrame, vector: str, label: str, key: str, multinomial: bool = False, share: float = 0.8, seed: int = 42) -> tuple[object, DataFrame]:
+    """(model, rows with class probabilities): the tool policy (multinomial) or the multi-part detector (binary).
+
+    Classes are weighted by their inverse frequency. Learned from a ``share`` of the rows by
+    hash of the key; ``held_out`` marks the others, ``correct`` is on all.
+    """
+    sizes = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    weighted = rows.join(sizes, label).withColumn("weight", sizes.agg(F.max("_n")).scalar() / F.col("_n")).drop("_n")
+    x = weighted.withColumn("x", array_to_vector(F.transform(vector, lambda v: v.cast("double")))).withColumn("held_out", maths.hash_unit(key, seed) >= share)
+    model = LogisticRegression(featuresCol="x", labelCol=label, weightCol="weight", regParam=0.01, maxIter=50, family="multinomial" if multinomial else "binomial").fit(x.filter("NOT held_out"))
+    scored = model.transform(x).withColumn("probs", vector_to_array("probability")).drop("x", "rawPrediction", "probability")
+    return model, scored.withColumn("correct", F.col("prediction") == F.col(label))

@@ -154,6 +154,9 @@ class _BestK:
             last = np.searchsorted(self.cols, full, side="right") - 1
             self.bound[full] = self.scores[last]
 
+    def told(self, qids: pa.Array, kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([qids.take(pa.array(self.cols)), pa.array(self.ids, kind), pa.array(self.scores)], names)
+
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = fixed.TOP_K, query: str = "query_id", doc: str = "doc_id",
                embedding: str = "embedding", block: int = QUERY_BLOCK, shard: int = VECTOR_SHARD) -> DataFrame:
@@ -169,9 +172,6 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = fixed.TOP_K, que
     # one row more than a block tells which plan to take, from the very rows that are used
     held = queries.select(query, embedding).limit(block + 1).toArrow().combine_chunks()
 
-    def told(qids: pa.Array, best: _BestK, kind: pa.DataType) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([qids.take(pa.array(best.cols)), pa.array(best.ids, kind), pa.array(best.scores)], [query, doc, "score"])
-
     if held.num_rows <= block:
         sent = vectors.sparkSession.sparkContext.broadcast(held)
 
@@ -185,7 +185,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = fixed.TOP_K, que
                     kind = batch.column(0).type
                     best.feed(batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1)))
             if best.cols is not None:
-                yield told(qids, best, kind)
+                yield best.told(qids, kind, [query, doc, "score"])
 
         best = vectors.select(doc, embedding).mapInArrow(scan, schema)
     else:
@@ -200,17 +200,42 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = fixed.TOP_K, que
             F.explode(F.sequence(zero, F.lit(n_blocks - 1).cast("bigint"))).alias("block"),
         )
 
-        def cell(q: pa.Table, d: pa.Table) -> pa.Table:
-            if not q.num_rows or not d.num_rows:
-                return pa.table({n: pa.array([], t) for n, t in zip((query, doc, "score"), (q.schema.field(query).type, d.schema.field(doc).type, pa.float64()))})
-            q = q.combine_chunks()
-            best = _BestK(_matrix(q.column("qv").chunk(0)), k)
-            for b in d.to_batches():
-                best.feed(b.column(doc).to_numpy(zero_copy_only=False), _matrix(b.column("dv")))
-            return pa.Table.from_batches([told(q.column(query).chunk(0), best, d.schema.field(doc).type)])
+        best = _best_of_cells(q_side, d_side, ["shard", "block"], query, doc, k, schema)
+    return top_per_group(best, [query], by_score("score", doc), k)
+
 
-        grid = ["shard", "block"]
-        best = q_side.groupBy(*grid).cogroup(d_side.groupBy(*grid)).applyInArrow(cell, schema)
+def _best_of_cells(q_side: DataFrame, d_side: DataFrame, grid: list[str], query: str, doc: str, k: int, schema: str) -> DataFrame:
+    """The best ``k`` of each query in each cell: (query, qv, *grid) against (doc, dv, *grid)."""
+    names = [query, doc, "score"]
+
+    def cell(q: pa.Table, d: pa.Table) -> pa.Table:
+        if not q.num_rows or not d.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(names, (q.schema.field(query).type, d.schema.field(doc).type, pa.float64()))})
+        q = q.combine_chunks()
+        best = _BestK(_matrix(q.column("qv").chunk(0)), k)
+        for b in d.to_batches():
+            best.feed(b.column(doc).to_numpy(zero_copy_only=False), _matrix(b.column("dv")))
+        return pa.Table.from_batches([best.told(q.column(query).chunk(0), d.schema.field(doc).type, names)])
+
+    return q_side.groupBy(*grid).cogroup(d_side.groupBy(*grid)).applyInArrow(cell, schema)
+
+
+def dense_topk_within(queries: DataFrame, vectors: DataFrame, k: int, group: str, query: str = "query_id", doc: str = "doc_id",
+                      embedding: str = "embedding", block: int = QUERY_BLOCK, shard: int = VECTOR_SHARD // 4) -> DataFrame:
+    """(query, doc, score, rank): exact best ``k`` among the vectors of the query's own ``group``.
+
+    Both sides of a group are cut by their numbers into blocks and shards, so that a group of
+    any size is a grid of bounded cells; a cell keeps a running best ``k``. Rows without a
+    group or a vector take no part.
+    """
+    schema = f"{query} {dict(queries.dtypes)[query]}, {doc} {dict(vectors.dtypes)[doc]}, score double"
+    asked, held = (df.filter(F.col(group).isNotNull() & F.col(embedding).isNotNull()) for df in (queries, vectors))
+    parts = lambda df, most, name: df.groupBy(group).agg(F.ceil(F.count("*") / most).alias(name))
+    cut = parts(asked, block, "_blocks").join(parts(held, shard, "_shards"), group)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    q_side = asked.join(cut, group).select(query, F.col(embedding).alias("qv"), F.col(group).alias("_g"), F.pmod(F.xxhash64(query), F.col("_blocks")).alias("block"), upto("_shards").alias("shard"))
+    d_side = held.join(cut, group).select(doc, F.col(embedding).alias("dv"), F.col(group).alias("_g"), F.pmod(F.xxhash64(doc), F.col("_shards")).alias("shard"), upto("_blocks").alias("block"))
+    best = _best_of_cells(q_side, d_side, ["_g", "shard", "block"], query, doc, k, schema)
     return top_per_group(best, [query], by_score("score", doc), k)
 
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askloom.functions import fixed, maths
+from askloom.functions import fixed
 from askloom.functions.text import any_phrase
-from askloom.operators.retrieve import by_score, dense_topk
+from askloom.operators.retrieve import dense_topk, dense_topk_within
 from askloom.operators.tools import escalate
-from askloom.util import top_per_group
 
 
 def answer_from_collection(queries: DataFrame, query_vectors: DataFrame, vectors: DataFrame, members: DataFrame, answer: Column, now: Column,
@@ -26,14 +25,12 @@ def answer_from_collections(queries: DataFrame, query_vectors: DataFrame, vector
                             k: int = 5, floor: float = fixed.SIMILARITY_FLOOR) -> DataFrame:
     """The same for the collections of many users in one job.
 
-    ``queries`` (query_id, text, collection) are joined with their own collection's
-    ``members`` (collection, doc_id) only; AQE splits a large collection, and what misses the
-    floor is dropped in the join's task.
+    A query (query_id, text, collection) sees its own collection's ``members`` (collection,
+    doc_id) only; collections are searched in bounded cells.
     """
-    asked = query_vectors.select("query_id", F.col("embedding").alias("_q")).join(queries.select("query_id", "collection"), "query_id")
-    held = members.select("collection", "doc_id").join(vectors.select("doc_id", F.col("embedding").alias("_d")), "doc_id")
-    near = asked.join(held, "collection").select("query_id", "doc_id", F.round(maths.dot("_q", "_d"), 6).alias("score")).filter(F.col("score") >= floor)
-    return _answered(queries, top_per_group(near, ["query_id"], by_score("score", "doc_id"), k), answer, now)
+    asked = query_vectors.select("query_id", "embedding").join(queries.select("query_id", "collection"), "query_id")
+    held = members.select("collection", "doc_id").join(vectors.select("doc_id", "embedding"), "doc_id")
+    return _answered(queries, dense_topk_within(asked, held, k, "collection").filter(F.col("score") >= floor), answer, now)
 
 
 def _answered(queries: DataFrame, hits: DataFrame, answer: Column, now: Column) -> DataFrame:

@@ -263,12 +263,20 @@ def ablation_delta(spark, sf):
     return evaluate.ablation(summary(spark, sf), "b3").withColumn("delta", F.round("delta", 6))
 
 
-_W = " + ".join(f"(u >= {p})::INT" for p in evaluate.POISSON1)
+def sql_unit(key: str) -> str:
+    return f"(('0x' || substr(md5({key} || '|42'), 1, 8))::BIGINT / 4294967296.0)"
+
+
+relation("bnum", "SELECT model_tag, d, row_number() OVER (PARTITION BY model_tag ORDER BY event, d) - 1 AS pos, count(*) OVER (PARTITION BY model_tag) AS n FROM bdiff WHERE d IS NOT NULL", ("bdiff",))
+relation("bdraws", f"""
+    SELECT model_tag, n, rep, CASE WHEN n <= {evaluate.BLOCK} THEN 0 ELSE floor({sql_unit("pos || ':' || rep")} * n)::BIGINT // {evaluate.BLOCK} END AS block, count(*) AS c
+    FROM bnum, (SELECT unnest(range(1, 1001)) AS rep) GROUP BY ALL""", ("bnum",))
 relation("boot", f"""
-    SELECT model_tag, avg((abs(coalesce(m, o) - o) >= abs(o))::INT) AS p_value FROM (
-      SELECT model_tag, rep, CASE WHEN sum(w) > 0 THEN sum(w * d) / sum(w) END AS m FROM (
-        SELECT model_tag, d, rep, {_W} AS w FROM (SELECT model_tag, d, rep, ('0x' || substr(md5(event || ':' || rep || '|42'), 1, 8))::BIGINT / 4294967296.0 AS u FROM bdiff, (SELECT unnest(range(1, 1001)) AS rep)))
-      GROUP BY ALL) JOIN (SELECT model_tag, avg(d) AS o FROM bdiff GROUP BY 1) USING (model_tag) GROUP BY model_tag""".replace("GROUP BY ALL)", "GROUP BY model_tag, rep)"), ("bdiff",))
+    SELECT model_tag, avg((abs(m - o) >= abs(o))::INT) AS p_value FROM (
+      SELECT model_tag, rep, sum(d) / any_value(n) AS m FROM (
+        SELECT model_tag, rep, block * {evaluate.BLOCK} + floor({sql_unit("block || ':' || t || ':' || rep")} * least({evaluate.BLOCK}, n - block * {evaluate.BLOCK}))::BIGINT AS pos
+        FROM (SELECT model_tag, n, rep, block, unnest(range(1, c + 1)) AS t FROM bdraws))
+      JOIN bnum USING (model_tag, pos) GROUP BY model_tag, rep) JOIN (SELECT model_tag, avg(d) AS o FROM bnum GROUP BY 1) USING (model_tag) GROUP BY model_tag""", ("bnum", "bdraws"))
 # Per-query values for significance: mean event value per user and event type.
 relation("bval", "SELECT event_type AS model_tag, user_id AS event, round(avg(value), 6) AS v FROM events GROUP BY ALL")
 relation("bdiff", "SELECT a.model_tag, a.event, a.v - b.v AS d FROM bval a JOIN bval b ON a.event = b.event AND b.model_tag = 'click' WHERE a.model_tag <> 'click'", ("bval",))
@@ -423,11 +431,17 @@ def fit_confidence_model(spark, sf):
 
 @query("fit_tool_policy")
 def fit_tool_policy(spark, sf):
-    v = table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") % 4).alias("tool"))
-    return models.fit_classifier(v, "embedding", "tool", multinomial=True)[1].select("vec_id", "tool", F.col("prediction").cast("int").alias("predicted"))
+    """The tool that each labelled document's labels ask for, learned from its vector; right or wrong on held-out rows."""
+    lab = table(spark, sf, "labels").select("doc_id", F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 0).otherwise(2).alias("tool"))
+    rows = staged(d.vectors(spark, sf).join(lab, "doc_id"), "tool-rows")
+    return models.fit_classifier(rows, "embedding", "tool", "doc_id", multinomial=True)[1].select(
+        "doc_id", "tool", F.col("prediction").cast("int").alias("predicted"), "held_out", "correct")
 
 
 @query("fit_decomp_classifier")
 def fit_decomp_classifier(spark, sf):
-    v = table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") > 4).cast("int").alias("multi"))
-    return models.fit_classifier(v, "embedding", "multi")[1].select("vec_id", "multi", F.round(F.get("probs", F.lit(1)), 4).alias("p_multi"))
+    """Which questions have several parts, by the words of the text, learned from the vector; right or wrong on held-out rows."""
+    lab = d.corpus(spark, sf).select("doc_id", tx.multi_part_by_word("text").cast("int").alias("multi")).filter("multi IS NOT NULL")
+    rows = staged(d.vectors(spark, sf).join(lab, "doc_id"), "decomp-rows")
+    return models.fit_classifier(rows, "embedding", "multi", "doc_id")[1].select(
+        "doc_id", "multi", F.round(F.get("probs", F.lit(1)), 4).alias("p_multi"), "held_out", "correct")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from askloom.functions import fixed, maths, rules
 from askloom.functions import text as tx
 from askloom.functions.stem import porter
-from askloom.operators import calibrate, dedup, evaluate, index, labels, metrics, qa, retrieve, routing, splits, tools
+from askloom.operators import calibrate, dedup, evaluate, index, labels, metrics, models, qa, retrieve, routing, splits, tools
 from askloom.plans import QUERIES
 from askloom.plans import domain as d
 from askloom.sources import files, records, stores
@@ -519,6 +519,52 @@ def test_bootstrap_bounds(spark):
     assert evaluate.bootstrap_p(noisy, "a", reps=300).first().p_value < 0.05
 
 
+def test_bootstrap_draws_exactly_as_many_pairs(spark):
+    rng = np.random.default_rng(8)
+    n, reps = 150, 400
+    base, other = rng.normal(size=n), rng.normal(size=n)
+    rows = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(base)] + [("b", i, float(v + w * 1.5 + 0.15)) for i, (v, w) in enumerate(zip(base, other))]
+                                 + [("c", 1, None), ("c", 2, 0.5)], "model_tag string, query_id int, fcrs double")
+    at, totals = evaluate.numbered_differences(rows, "a", "fcrs", "query_id")
+    drawn = evaluate.block_draws(at, totals, reps, block=16)
+    sums = drawn.groupBy("model_tag", "rep").agg(F.sum("c").alias("c"), F.max("n").alias("n")).collect()
+    assert len(sums) == 2 * reps and all(r.c == r.n for r in sums)
+    assert drawn.filter("model_tag = 'b'").select("block").distinct().count() == 10
+    d = other * 1.5 + 0.15
+    want = np.mean(np.abs(d[rng.integers(0, n, (20000, n))].mean(axis=1) - d.mean()) >= abs(d.mean()))
+    for block in (16, 4096):
+        got = {r.model_tag: r.p_value for r in evaluate.bootstrap_p(rows, "a", reps=reps, block=block).collect()}
+        assert abs(got["b"] - want) < 0.1 and got["c"] == 0.0
+    assert evaluate.bootstrap_p(rows.filter("model_tag <> 'b'").withColumn("fcrs", F.lit(None).cast("double")), "a", reps=5).first().p_value == 1.0
+
+
+def test_own_collections_in_cells(spark):
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(400, 6)), 3)
+    group = [None if i == 7 else 0 if i % 3 else i % 5 for i in range(400)]
+    schema = "id int, g int, embedding array<double>"
+    rows = spark.createDataFrame([(i, group[i], None if i == 11 else [float(x) for x in v[i]]) for i in range(400)], schema)
+    q, docs = rows.filter("id % 4 = 1").withColumnRenamed("id", "query_id"), rows.withColumnRenamed("id", "doc_id")
+    for block, shard in ((2048, 50_000), (7, 20)):
+        got = {}
+        for r in retrieve.dense_topk_within(q, docs, 3, "g", block=block, shard=shard).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+        for i in range(1, 400, 4):
+            mates = [] if i in (7, 11) else [(j, round(float(v[i] @ v[j]), 6)) for j in range(400) if group[j] == group[i] and j not in (7, 11)]
+            assert got.get(i, []) == sorted(mates, key=lambda x: (-x[1], x[0]))[:3]
+
+
+def test_classifiers_are_held_to_unseen_rows(spark):
+    rng = np.random.default_rng(5)
+    y = rng.choice(3, 600, p=(0.8, 0.1, 0.1))
+    x = rng.normal(size=(600, 4)) + 4 * np.eye(3, 4)[y]
+    rows = spark.createDataFrame([(i, int(c), [float(t) for t in r]) for i, (c, r) in enumerate(zip(y, x))], "k int, y int, v array<double>")
+    _, scored = models.fit_classifier(rows, "v", "y", "k", multinomial=True)
+    held = scored.filter("held_out")
+    share = {r.y: r.s for r in held.groupBy("y").agg(F.avg(F.col("correct").cast("int")).alias("s")).collect()}
+    assert 60 < held.count() < 180 and set(share) == {0, 1, 2} and min(share.values()) > 0.8
+
+
 def test_calibration(spark):
     rows = spark.createDataFrame([(i, "m", 0.8, 1 if i % 5 else 0) for i in range(50)], "id int, tag string, c double, y int")
     assert calibrate.ece(rows, ["tag"], "c", "y").first().ece == pytest.approx(0.0, abs=1e-9)
