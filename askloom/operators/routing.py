@@ -67,31 +67,43 @@ def verify_answers(answers: DataFrame, citations: DataFrame, key: str, answer: s
 
 
 def action_loop(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], rerank: Callable[[DataFrame, DataFrame], DataFrame],
-                score: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame, int], DataFrame], topics: DataFrame,
-                rounds: int = fixed.MAX_ITERATIONS, query: str = "query_id") -> tuple[DataFrame, DataFrame]:
+                score: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame, int], DataFrame] | None, topics: DataFrame,
+                rounds: int = fixed.MAX_ITERATIONS, query: str = "query_id", first: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Up to ``rounds`` rounds of retrieve, drop seen, rerank, score, route; the rest is answered as well as it can be.
 
     ``queries`` has (query, text). The callables take and give DataFrames: ranked
-    (query, doc_id, score, rank), confidences (query, confidence), verdicts (query, verdict).
+    (query, doc_id, score, rank), confidences (query, confidence and, where a tool model gives
+    them, tool_probs), verdicts (query, verdict). Without ``verify`` no answer is verified.
+    ``first`` holds reranked rows of the first round, where a caller has them already.
     The plan is unrolled per round and cut by a reliable checkpoint; no rows pass through
-    the driver. Returns (responses, reranked rows of every round).
+    the driver. Returns (responses, reranked rows of every round, steps of every round:
+    query, iteration, text, tier, tool, confidence, verdict, final).
     """
-    active, seen, done = queries.withColumn("original", F.col("text")), None, None
+    active, seen, done, steps = queries.withColumn("original", F.col("text")), None, None, None
     shape = [query, "action", "confidence", "iterations", "reason"]
     for it in range(rounds):
         last = it == rounds - 1
-        found = retrieve(active.select(query, "text"))
-        if seen is not None:
-            found = drop_seen(found, seen, query)
-        ranked = cut_lineage(rerank(found, active.select(query, "text")).withColumn("iteration", F.lit(it)))
+        if it == 0 and first is not None:
+            ranked = first.withColumn("iteration", F.lit(it))
+        else:
+            found = retrieve(active.select(query, "text"))
+            if seen is not None:
+                found = drop_seen(found, seen, query)
+            ranked = cut_lineage(rerank(found, active.select(query, "text")).withColumn("iteration", F.lit(it)))
         seen = ranked if seen is None else seen.unionByName(ranked)
         conf = active.join(score(ranked), query, "left")
         tier = conf.withColumn("tier", route_tier("confidence"))
-        verdicts = verify(tier.filter("tier = 'answer_verify'"), ranked, it)
-        tier = tier.join(verdicts.select(query, "verdict"), query, "left")
+        if verify is None:
+            tier = tier.withColumn("verdict", F.lit(None).cast("string"))
+        else:
+            tier = tier.join(verify(tier.filter("tier = 'answer_verify'"), ranked, it).select(query, "verdict"), query, "left")
         retry_verdict = F.lit(False) if last else F.coalesce(F.col("verdict").isin("fail", "partial"), F.lit(False))
         retry = (F.col("tier") == "tool_retry") | ((F.col("tier") == "answer_verify") & retry_verdict)
         state = cut_lineage(tier.withColumn("retry", retry).withColumn("iterations", F.lit(it + 1)))
+        tool = mid_tier_tool("tool_probs") if "tool_probs" in state.columns else F.lit("SearchKB")
+        step = state.select(query, F.lit(it).alias("iteration"), "text", "tier", F.when(F.col("tier") == "tool_retry", tool).alias("tool"), "confidence", "verdict",
+                            (F.lit(last) | ~F.col("retry")).alias("final"))
+        steps = step if steps is None else steps.unionByName(step)
         reason = F.when(F.col("confidence").isNull(), "no_candidates").otherwise("low_confidence")
         ended = state.filter(F.lit(last) | ~F.col("retry")).select(
             query, F.when(F.col("retry") & F.lit(last), "best_effort").otherwise(F.col("tier")).alias("action"), "confidence", "iterations",
@@ -102,7 +114,7 @@ def action_loop(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame],
             hint = F.when(F.col("tier") == "tool_retry", 0).otherwise(it + 1)
             again = state.filter("retry").join(named, query, "left")
             active = cut_lineage(again.select(query, tx.refine_query("original", F.coalesce("topics", F.array().cast("array<string>")), hint).alias("text"), "original"))
-    return done.select(*shape), seen
+    return done.select(*shape), seen, steps
 
 
 def previous_confidence(steps: DataFrame, session: str, order: str, confidence: str) -> DataFrame:

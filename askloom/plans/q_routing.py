@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from askloom.functions import fixed, maths
 from askloom.functions import text as tx
-from askloom.operators import decompose, index, retrieve, routing, tools
+from askloom.operators import decompose, features, index, responses, retrieve, routing, tools, variants
 from askloom.plans import domain as d
 from askloom.plans.domain import sql_alnum, sql_any, sql_content, sql_list, sql_sentences, sql_strip
 from askloom.plans.registry import query, relation
 from askloom.sources.tables import table
-from askloom.util import broadcast_if, scratch_dir
+from askloom.util import broadcast_if, scratch_dir, staged
 
 def now():
     return F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
@@ -211,7 +211,7 @@ relation("lrank", f"""
     SELECT query_id, round(0.3 * max(score), 6) AS confidence, CASE WHEN round(0.3 * max(score), 6) >= 0.20 THEN 'answer' WHEN round(0.3 * max(score), 6) < 0.10 THEN 'ticket' ELSE 'best_effort' END AS action, 1 AS iterations
     FROM lrank GROUP BY query_id""", ("lrank",))
 def action_loop_round1(spark, sf):
-    done, _ = loop(spark, sf, rounds=1)
+    done = loop(spark, sf, rounds=1)[0]
     action = F.when(F.col("action") == "answer_verify", "best_effort").otherwise(F.col("action"))
     return done.select("query_id", "confidence", action.alias("action"), "iterations")
 
@@ -222,6 +222,84 @@ def action_loop(spark, sf):
     return loop(spark, sf)[0]
 
 
+def fused_stages(spark, sf):
+    """``stages(adaptive)`` of the variants over the test tables: fused search, lexical reranking, tool choice and verification.
+
+    A part of a question keeps the question's vector; a refined text changes its words only.
+    """
+    docs, path = d.corpus(spark, sf), scratch_dir(spark, "index")
+    index.save_index(d.lexical(spark, sf), path)
+    ix = index.load_index(spark, path, "doc_id")
+    dense = staged(d.dense_top(spark, sf, 40), "dense").withColumnRenamed("query_id", "_p")
+    topics = docs.select("doc_id", F.col("source").alias("topic"))
+    parent = F.substring_index(F.col("query_id").cast("string"), "/", 1).cast("bigint")
+    weight = d.queries(spark, sf).select(F.col("query_id").alias("_p"), retrieve.resolve_alpha(predicted=1.3 - features.features4("text", F.lit(0.0))["keyword_density"]).alias("alpha"))
+
+    def stages(adaptive):
+        def find(qs):
+            own = qs.select("query_id", parent.alias("_p"))
+            near = dense.join(broadcast_if(own), "_p").select("query_id", "doc_id", "score", "rank")
+            cand = retrieve.candidates(near, retrieve.bm25_topk(qs, ix, 40))
+            if adaptive:
+                cand = cand.join(own.join(weight, "_p").select("query_id", "alpha"), "query_id")
+            return retrieve.fused(cand, F.col("alpha") if adaptive else fixed.ALPHA_DEFAULT, 20).select("query_id", "doc_id", "score", "rank")
+
+        def rerank(found, qs):
+            return retrieve.rerank_topk(retrieve.with_texts(found.select("query_id", "doc_id"), docs, qs, 20), 10).select("query_id", "doc_id", "score", "rank")
+
+        def score(ranked):
+            # a result that mostly comes from one section asks for the policy, a mixed one for another search
+            named = ranked.join(topics, "doc_id", "left").groupBy("query_id", "topic").agg(F.count("*").alias("n"), F.max("score").alias("s"))
+            best = named.groupBy("query_id").agg(F.round(0.3 * F.max("s"), 6).alias("confidence"), (F.max("n") / F.sum("n")).alias("m"))
+            return best.select("query_id", "confidence", F.array(F.lit(0.0), 1 - F.col("m"), F.col("m"), F.lit(0.0)).alias("tool_probs"))
+
+        def verify(tier, ranked, it):
+            top = staged(ranked.filter("rank <= 3").select("query_id", "doc_id", "rank"), "top")
+            texts = docs.select("doc_id", F.col("text").alias("cited_text")).join(broadcast_if(top), "doc_id")
+            return routing.verify_answers(tier.select("query_id", F.col("text").alias("answer")), texts, "query_id", thresholds=routing.verify_thresholds(F.lit(it)))
+
+        return find, rerank, score, verify, topics
+
+    policies = topics.filter("topic IS NOT NULL").groupBy(F.col("topic").alias("section_id")).agg(F.min("doc_id").alias("pos"))
+    told = lambda c: F.array_join(F.slice(tx.sentences(F.get(c, F.lit(0))["cited_text"]), 1, 3), " ")
+    finish = lambda outcome, asked: responses.full(outcome, asked, docs, topics, policies, told)
+    return stages, finish
+
+
+# The first pass of the loop over fused candidates, without a second round: what is not an answer or a ticket is answered as well as it can be.
+@query("loop_responses_round1", """
+    SELECT query_id, CASE WHEN confidence >= 0.20 THEN 'answer' WHEN confidence >= 0.15 THEN 'answer_verify' WHEN confidence >= 0.10 THEN 'best_effort' ELSE 'ticket' END AS action, confidence,
+           CASE WHEN confidence < 0.10 THEN 'TKT-' || upper(substr(sha256(query_id::VARCHAR), 1, 10)) END AS ticket_id, ids AS retrieved, ids[1:5] AS grounding,
+           list_filter(ids[1:5], lambda d, i: best <= 0 OR scores[i] >= best * 0.6 OR i <= 2) AS cited,
+           CASE WHEN confidence >= 0.20 THEN ['AnswerDirect'] WHEN confidence >= 0.15 THEN ['AnswerDirect', 'AnswerVerify']
+                WHEN confidence >= 0.10 THEN [CASE WHEN 2 * most > n THEN 'GetPolicy' ELSE 'SearchKB' END, 'AnswerDirect'] ELSE ['CreateTicket'] END AS tools
+    FROM (SELECT query_id, round(0.3 * max(score), 6) AS confidence, max(score) AS best, list(doc_id ORDER BY rank) AS ids, list(score ORDER BY rank) AS scores, count(*) AS n FROM rerank GROUP BY 1)
+    JOIN (SELECT query_id, max(m) AS most FROM (SELECT query_id, source, count(*) AS m FROM rerank JOIN corpus USING (doc_id) GROUP BY 1, 2) GROUP BY 1) USING (query_id)""", ("rerank", "corpus"))
+def loop_responses_round1(spark, sf):
+    stages, finish = fused_stages(spark, sf)
+    q = d.queries(spark, sf)
+    rows = finish(routing.action_loop(q, *stages(False), rounds=1), q)
+    ids = lambda c: F.transform(c, lambda x: x["doc_id"])
+    return rows.select("query_id", "action", "confidence", "ticket_id", "retrieved", ids("grounding_citations").alias("grounding"), ids("citations").alias("cited"),
+                       F.transform("tool_calls", lambda c: c["tool"]).alias("tools"))
+
+
+@query("loop_responses")
+def loop_responses(spark, sf):
+    """Both rounds as full responses: fused search, middle-tier tools, verification, citations in two widths, calls."""
+    stages, finish = fused_stages(spark, sf)
+    q = d.queries(spark, sf)
+    return finish(routing.action_loop(q, *stages(False)), q)
+
+
+@query("variant_runs")
+def variant_runs(spark, sf):
+    """Every variant's responses, with loop, verification, fitted weight and decomposition run as its switches say."""
+    stages, finish = fused_stages(spark, sf)
+    rows = variants.run_stages(d.queries(spark, sf), stages, finish)
+    return rows.select("tag", F.col("parent").alias("query_id"), "n_parts", "answer", "confidence", "iterations", "ticket_id", "verify_verdict", F.size("citations").alias("n_citations"), "tools")
+
+
 @query("win_prev_confidence", """
     SELECT event_id, user_id, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS confidence_before, value AS confidence_after FROM events""")
 def win_prev_confidence(spark, sf):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from askloom.functions import fixed, maths, rules
 from askloom.functions import text as tx
 from askloom.functions.stem import porter
-from askloom.operators import calibrate, dedup, evaluate, index, labels, metrics, models, qa, retrieve, routing, splits, tools
+from askloom.operators import calibrate, dedup, evaluate, index, labels, metrics, models, qa, retrieve, routing, splits, tools, variants
 from askloom.plans import QUERIES
 from askloom.plans import domain as d
 from askloom.sources import files, records, stores
@@ -590,6 +590,48 @@ def test_action_loop_invariants(spark, sf):
             assert r.reason in ("low_confidence", "no_candidates")
 
 
+def test_full_responses(spark, sf):
+    rows = QUERIES["loop_responses"].run(spark, sf).collect()
+    assert len({r.query_id for r in rows}) == len(rows) == d.queries(spark, sf).count()
+    for r in rows:
+        tools_ = [c.tool for c in r.tool_calls]
+        cited = [c.doc_id for c in r.citations or []]
+        wide = [c.doc_id for c in r.grounding_citations or []]
+        assert set(cited) <= set(wide) and wide == (r.retrieved or [])[:5] and all(len(c.cited_text) <= 2000 for c in r.grounding_citations or [])
+        assert (r.action == "ticket") == (r.ticket_id is not None) == (tools_[-1] == "CreateTicket") == (r.answer is None)
+        assert r.iterations == 1 + max(c.iteration for c in r.tool_calls)
+        assert (r.verify_verdict is not None) == (tools_[-1] == "AnswerVerify")
+        first = [c for c in r.tool_calls if c.iteration == 0]
+        assert all(c.confidence_before is None for c in first)
+        if r.iterations == 2:
+            assert first[-1].tool in ("SearchKB", "GetPolicy", "AnswerVerify") and first[-1].result
+            assert all(c.confidence_before == first[-1].confidence_after for c in r.tool_calls if c.iteration == 1)
+
+
+def test_variants_run_their_stages(spark, sf):
+    rows = QUERIES["variant_runs"].run(spark, sf).collect()
+    by = {t: {r.query_id: r for r in rows if r.tag == t} for t in fixed.VARIANTS}
+    n = d.queries(spark, sf).count()
+    assert all(len(x) == n for x in by.values()) and len(rows) == n * len(by)
+    for t in ("m1", "m2"):
+        assert {r.iterations for r in by[t].values()} == {0} and {tuple(r.tools) for r in by[t].values()} <= {("AnswerDirect",), ("CreateTicket",)}
+    for t, f in fixed.VARIANTS.items():
+        judged = {r.query_id for r in by[t].values() if r.verify_verdict is not None or "AnswerVerify" in r.tools}
+        assert f["verify"] or not judged
+        assert f["decomposition"] or {r.n_parts for r in by[t].values()} == {1}
+        assert not f["action_loop"] or {r.iterations for r in by[t].values()} <= {1, 2}
+    split = {r.query_id for r in d.queries(spark, sf).filter(tx.multi_part_by_split("text") & (F.size(tx.split_sub_queries("text")) > 1)).collect()}
+    assert {q for q, r in by["m5"].items() if r.n_parts > 1} == split
+    assert all(by["m5"][q].answer.startswith("For [") for q in split if by["m5"][q].answer)
+
+
+def test_variant_parts(spark):
+    q = spark.createDataFrame([(1, "What is the fee? When is it due?"), (2, "Who files it?"), (3, "")], "query_id bigint, text string")
+    got = [(r.query_id, r.text) for r in variants.parts_of(q, True).orderBy("query_id").collect()]
+    assert got == [("1/0", "What is the fee?"), ("1/1", "When is it due?"), ("2/0", "Who files it?"), ("3/0", "")]
+    assert variants.parts_of(q, False).count() == 3
+
+
 def test_verify_skips_confident_answers(spark):
     a = spark.createDataFrame([(1, "The sky is blue.", 0.9), (2, "The sky is blue.", 0.1), (3, "Nothing here.", 0.1)], "k int, answer string, c double")
     c = spark.createDataFrame([(1, "d", 1, "blue sky is the"), (2, "d", 1, "the sky is blue")], "k int, doc_id string, rank int, cited_text string")
