@@ -131,6 +131,23 @@ def rouge_l(spark, sf):
     return t.select(*KEYS, F.round(plain["f1"], 4).alias("rougeL"), F.round(stem["f1"], 4).alias("rougeL_stemmed"))
 
 
+# A row of the subsequence table per word of the answer: a cell's value is the running maximum of what the words met so far allow.
+@query("rouge_l_plain", f"""
+    WITH RECURSIVE t AS (SELECT model_tag, query_id, {sql_alnum('answer')} AS a, {sql_alnum('gold_answer')} AS b FROM resp JOIN gold_rows USING (query_id)),
+      words AS (SELECT model_tag, query_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS w FROM t),
+      lcs AS (SELECT model_tag, query_id, 0::BIGINT AS i, b, list_transform(b, lambda x: 0) AS cells FROM t
+        UNION ALL
+        SELECT model_tag, query_id, i, b, list_transform(best, lambda x, j: list_max(best[1:j])) FROM (
+          SELECT model_tag, query_id, words.i, b, list_transform(cells, lambda x, j: CASE WHEN b[j] = w THEN coalesce(cells[j - 1], 0) + 1 ELSE x END) AS best
+          FROM lcs JOIN words USING (model_tag, query_id) WHERE words.i = lcs.i + 1))
+    SELECT model_tag, query_id, round(CASE WHEN len(a) + len(t.b) > 0 THEN 2 * coalesce(list_last(cells), 0) / (len(a) + len(t.b)) ELSE 0 END, 4) AS "rougeL"
+    FROM t JOIN lcs USING (model_tag, query_id) WHERE i = len(a)""", ("resp", "gold_rows"))
+def rouge_l_plain(spark, sf):
+    """The LCS-based score on plain tokens alone."""
+    t = joined(spark, sf).select(*KEYS, tx.tokens_alnum("answer").alias("a"), tx.tokens_alnum("gold_answer").alias("g"))
+    return t.select(*KEYS, F.round(metrics.rouge_l("a", "g")["f1"], 4).alias("rougeL"))
+
+
 @query("span_iou", "SELECT model_tag, query_id, pos::INT AS pos, gi::INT AS gold_pos, round(CASE WHEN c.span_end <= c.span_start THEN 0.0 ELSE ov END, 6) AS iou FROM m_pairs JOIN cites c USING (model_tag, query_id, pos)", ("m_pairs", "cites"))
 def span_iou(spark, sf):
     j = joined(spark, sf).select(*KEYS, F.posexplode("citations").alias("pos", "c"), "gold_citations").select(*KEYS, "pos", "c", F.posexplode("gold_citations").alias("gold_pos", "g"))
