@@ -93,6 +93,20 @@ def test_pruned_bm25_equals_full_ranking(spark, seed, vocabulary, k, monkeypatch
     assert show(retrieve.bm25_topk(q, ix, k, allowed=allowed)) == plain_bm25(docs, queries, k, some)
 
 
+def test_shards_are_bounded_by_tokens(spark):
+    """Long texts fill a shard before its number of documents does; a text above the bound is a shard of its own."""
+    docs = [(i, " ".join(f"w{(i * j) % 50}" for j in range(1, n + 1))) for i, n in enumerate([0, 5, 90, 3, 300, 0, 40, 60, 1] * 20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    blocks = index.blocks_of(df, "doc_id", shard_docs=50, shard_tokens=100)
+    sizes = blocks.groupBy("shard").agg(F.sum("sum_tf").alias("tokens"), F.sum(F.when(F.col("term").isNull(), F.col("n"))).alias("docs")).collect()
+    assert sum(r.docs for r in sizes) == len(docs) and max(r.docs for r in sizes) <= 50
+    assert max(r.tokens for r in sizes if r.docs > 1) <= 100 and {r.tokens for r in sizes if r.tokens > 100} == {300}
+    queries = [(0, "w1 w7 w7"), (1, "w30 w0"), (2, "nowhere")]
+    staged = index.staged(blocks, "blocks")
+    top = retrieve.bm25_topk(spark.createDataFrame(queries, "query_id long, text string"), index.from_counts(staged, index.counts_of(staged), "doc_id"), 6)
+    assert {(r.query_id, r.doc_id, round(r.score, 5), r["rank"]) for r in top.collect()} == plain_bm25(docs, queries, 6)
+
+
 def test_pruned_bm25_keeps_string_keys(spark):
     docs = [(f"d{i % 50:03}", f"word{i % 5} common text {'rare' if i == 7 else ''}") for i in range(50)]
     ix = index.build_index(spark.createDataFrame(docs, "doc_id string, text string"), "doc_id")
