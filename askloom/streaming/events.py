@@ -21,8 +21,11 @@ from askloom.util import scratch_dir, settle
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table's files as a stream."""
-    return settle(spark).readStream.schema(TABLES[name]).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A table as a stream, whether it is one file or a folder of files.
+
+    The name is a pattern because Spark takes a plain path of a stream for a folder.
+    """
+    return settle(spark).readStream.schema(TABLES[name]).parquet(f"{folder}/{name}.parque[t]")
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:

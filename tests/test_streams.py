@@ -56,6 +56,23 @@ def test_cache_answers_repeats_until_they_expire(spark, seed):
     assert {h for _, _, h, _ in want} == {True, False}
 
 
+@pytest.mark.parametrize("parts", [None, 3])
+def test_a_table_is_a_file_or_a_folder(spark, tmp_path, parts):
+    """Other tables beside it, also with a longer name, are not read."""
+    from askloom.plans import QUERIES
+
+    docs = [(i, f"some words {i % 7}", "en", "a", 12) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, rows in (("documents", df), ("documents.parquet_old", df.withColumn("text", F.lit("never")))):
+        path = f"{tmp_path}/{name}.parquet"
+        if parts:
+            rows.repartition(parts).write.parquet(path)
+        else:
+            rows.toPandas().to_parquet(path)
+    got = QUERIES["stream_ingest_incremental"].run(spark, str(tmp_path)).collect()
+    assert {(r.term, r.df, r.n_chunks) for r in got} == {(t, n, 7) for t, n in [("some", 7), ("words", 7), *((str(i), 1) for i in range(7))]}
+
+
 def files_of(path):
     return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/**/part-*.parquet", recursive=True)}
 
