@@ -161,9 +161,10 @@ def purge_stale_collections(spark, sf):
     chunks = table(spark, sf, "events").select(F.concat(F.when(F.col("event_type") == "view", "main_").otherwise("user_"), F.col("user_id").cast("string")).alias("collection"), "ts", "value")
     seen = chunks.groupBy("collection").agg(F.when(F.max("value") < 60, F.max("ts")).alias("created_at"))
     path = scratch_dir(spark, "collections")
-    partitions.write_partitions(chunks, path, ["collection"])
-    stores.purge_stale(spark, path, seen, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"), chunks.schema)
-    kept = partitions.read_store(spark, path, chunks.schema)
+    schema = stores.bucketed(chunks).schema
+    stores.write_bucketed(chunks, path)
+    stores.purge_stale_bucketed(spark, path, seen, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"), schema)
+    kept = partitions.read_store(spark, path, schema)
     return kept.groupBy("collection").agg(F.count("*").alias("n"))
 
 

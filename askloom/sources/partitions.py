@@ -77,11 +77,12 @@ def _apply(spark: SparkSession, path: str, schema) -> None:
         remove(spark, "/".join([path, *(partition_folder(spark, c, r[c]) for c in by)]))
 
 
-def delete_where(spark: SparkSession, path: str, by: list[str], concerned: Column | DataFrame, keep: Column, schema) -> None:
+def delete_where(spark: SparkSession, path: str, by: list[str], concerned: Column | DataFrame, keep: Column | DataFrame, schema) -> None:
     """Of the partitions ``concerned`` keep the rows that fulfil ``keep``.
 
     ``by`` names the store's partition columns. ``concerned`` is a condition on them, or a
-    table of values of the first one. Partitions of which every row stays are left alone.
+    table of values of the first one. ``keep`` is a condition, or a table of the keys (its
+    column) whose rows go. Partitions of which every row stays are left alone.
     """
     settle(spark)
     finish(spark, path, schema)
@@ -91,8 +92,12 @@ def delete_where(spark: SparkSession, path: str, by: list[str], concerned: Colum
     else:
         rows = rows.join(broadcast_if(concerned.select(by[0]).distinct(), concerned), by[0], "left_semi")
     beside = f"{path}-pending"
-    goes = ~F.coalesce(keep, F.lit(False))
-    rows.filter(goes).select(*by).distinct().write.parquet(f"{beside}/touched")
+    if isinstance(keep, Column):
+        goes = ~F.coalesce(keep, F.lit(False))
+        lost, stays = rows.filter(goes), rows.filter(~goes)
+    else:
+        lost, stays = (rows.join(broadcast_if(keep), keep.columns, how) for how in ("left_semi", "left_anti"))
+    lost.select(*by).distinct().write.parquet(f"{beside}/touched")
     touched = spark.read.parquet(f"{beside}/touched").select(*[F.col(c).alias(f"_{c}") for c in by])
-    rows.filter(~goes).join(broadcast_if(touched), _same(by), "left_semi").write.parquet(f"{beside}/rows")
+    stays.join(broadcast_if(touched), _same(by), "left_semi").write.parquet(f"{beside}/rows")
     finish(spark, path, schema)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from askloom.functions import fixed
 from askloom.sources import partitions
+from askloom.util import staged
 
 
 def last_write_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -58,6 +59,29 @@ def purge_stale(spark, path: str, collections: DataFrame, now: Column, schema, h
     partitions.delete_where(spark, path, ["collection"], stale_collections(collections, now, hours).select("collection"), F.lit(False), schema)
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("collection"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def bucketed(chunks: DataFrame, buckets: int = 64) -> DataFrame:
+    """Chunks with the folder that a store of very many collections keeps them in: a folder per bucket, not per collection."""
+    return chunks.withColumn("bucket", _bucket(buckets))
+
+
+def write_bucketed(chunks: DataFrame, path: str, buckets: int = 64) -> None:
+    """A store whose number of folders and files does not grow with the number of collections; large buckets are split."""
+    partitions.write_partitions(bucketed(chunks, buckets).hint("rebalance", F.col("bucket")), path, ["bucket"])
+
+
+def purge_stale_bucketed(spark, path: str, collections: DataFrame, now: Column, schema, hours: int = 2, buckets: int = 64) -> None:
+    """Delete the stale collections' rows from a store that ``write_bucketed`` filled; buckets without any are not touched.
+
+    ``schema`` is that of ``bucketed`` chunks; ``buckets`` must be the number the store was written with.
+    """
+    stale = staged(stale_collections(collections, now, hours).select("collection").distinct(), "stale")
+    partitions.delete_where(spark, path, ["bucket"], stale.select(_bucket(buckets)), stale, schema)
+
+
 def reembed(chunks: DataFrame, encoder: Callable[[pd.Series], list], name: str) -> DataFrame:
     """Re-encode all texts of a collection into a new one; the old one stays."""
 

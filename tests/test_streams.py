@@ -136,3 +136,21 @@ def test_stale_collections_are_dropped(spark, tmp_path):
     assert {r.collection for r in left.collect()} == {"user_young", "user_unknown", "main"}
     after = files_of(path)
     assert set(after) < set(before) and all(before[f] == t for f, t in after.items())
+
+
+def test_stale_collections_of_a_bucketed_store(spark, tmp_path):
+    """Many collections in few folders: stale ones lose their rows, buckets without one keep their files."""
+    path = str(tmp_path / "kb")
+    names = [f"user_{i}" for i in range(200)] + ["user_a/b=c", "main_1", None]
+    chunks = spark.createDataFrame([(f"{n}-{i}", n) for n in names for i in range(2)], "chunk_id string, collection string")
+    stores.write_bucketed(chunks, path, buckets=8)
+    before = files_of(path)
+    assert len(before) <= 9  # a null collection has a bucket as well
+    old = ["user_3", "user_a/b=c", "main_1"]
+    ages = spark.createDataFrame([(n, at(0) if n in old else at(200)) for n in names[:-1]] + [("user_7", None)], "collection string, created_at timestamp")
+    schema = stores.bucketed(chunks, 8).schema
+    stores.purge_stale_bucketed(spark, path, ages, F.lit(at(240)), schema, buckets=8)
+    left = partitions.read_store(spark, path, schema).groupBy("collection").count().collect()
+    assert {r.collection: r["count"] for r in left} == {n: 2 for n in names if n not in ("user_3", "user_a/b=c")}
+    after = files_of(path)
+    assert len([f for f, t in after.items() if before.get(f) == t]) >= 6
