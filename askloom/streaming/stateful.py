@@ -19,7 +19,7 @@ def _micros(ts: pd.Series) -> list[int]:
     return (ts - pd.Timestamp(0)).dt.total_seconds().mul(1e6).round().astype("int64").tolist()
 
 
-def assembled_stream(events: DataFrame, response: list[str], delay: str = "1 hour", idle: str = "6 hours") -> DataFrame:
+def assembled_stream(events: DataFrame, response: list[str], delay: str = "1 hour", idle: str = "6 hours", parts: int = 64) -> DataFrame:
     """One row per response as soon as it is over: answer, citations, verdict, finished, ttft_ms, n_events.
 
     ``events``: the ``response`` columns, kind (meta, token, citation, verify, done),
@@ -28,40 +28,65 @@ def assembled_stream(events: DataFrame, response: list[str], delay: str = "1 hou
     ``idle`` after its last event, by the watermark: then it leaves as it is, ``finished``
     if ``done`` was there. An event that comes twice counts once. Tokens and citations stand
     in the order of their sequence.
+
+    Responses are dealt by hash into ``parts`` groups, so that Python is called per group and
+    micro-batch, not per response. A group's state is the events of its open responses, each
+    response with its own time limit; more parts mean smaller groups, results do not depend on it.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    keys = ", ".join(f"{c} {dict(events.dtypes)[c]}" for c in response)
-    out = f"{keys}, answer string, citations array<string>, verdict string, finished boolean, ttft_ms double, n_events bigint"
-    held = "sequence array<bigint>, kind array<string>, payload array<string>, at array<bigint>"
+    of = dict(events.dtypes)
+    told = ["answer", "citations", "verdict", "finished", "ttft_ms", "n_events"]
+    # keys travel as text, so that nulls and large numbers stay exact
+    out = ", ".join(f"{c} string" for c in response) + ", answer string, citations array<string>, verdict string, finished boolean, ttft_ms double, n_events bigint"
+    held = ", ".join(f"k{i} array<string>" for i in range(len(response))) + ", sequence array<bigint>, kind array<string>, payload array<string>, at array<bigint>, due array<bigint>"
 
-    def row(key: tuple, have: dict[int, tuple[str, str, int]]) -> pd.DataFrame:
+    def row(key: tuple, have: dict[int, tuple[str, str, int]]) -> tuple:
         told = [have[s] for s in sorted(have)]
         start, token = min(x[2] for x in told), min((x[2] for x in told if x[0] == "token"), default=None)
         verdicts = [x[1] for x in told if x[0] == "verify"]
-        return pd.DataFrame([(
+        return (
             *key, "".join(x[1] or "" for x in told if x[0] == "token"), [x[1] for x in told if x[0] == "citation"], verdicts[-1] if verdicts else None,
-            any(x[0] == "done" for x in told), None if token is None else (token - start) / 1000.0, len(told))], columns=[*response, "answer", "citations", "verdict", "finished", "ttft_ms", "n_events"])
-
-    def step(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        have = {s: x for s, *x in zip(*state.get)} if state.exists else {}
-        if state.hasTimedOut:
+            any(x[0] == "done" for x in told), None if token is None else (token - start) / 1000.0, len(told))
+
+    def step(_: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        have: dict[tuple, dict[int, tuple[str, str, int]]] = {}
+        due: dict[tuple, int] = {}
+        if state.exists:
+            *keys, sequence, kinds, payloads, ats, dues = state.get
+            for key, s, kind, payload, at, limit in zip(zip(*keys), sequence, kinds, payloads, ats, dues):
+                have.setdefault(key, {})[s] = (kind, payload, at)
+                due[key] = limit
+        passed, rows, came = state.getCurrentWatermarkMs(), [], set()
+        if not state.hasTimedOut:
+            for part in batches:
+                for key, s, kind, payload, at in zip(zip(*(part[c] for c in response)), part["sequence"], part["kind"], part["payload"], _micros(part["ts"])):
+                    have.setdefault(key, {}).setdefault(int(s), (kind, payload, at))
+                    came.add(key)
+        for key in list(have):
+            mine = have[key]
+            if key in came:
+                last = min((s for s, x in mine.items() if x[0] == "done"), default=None)
+                over = last is not None and all(s in mine for s in range(1, last))
+                due[key] = max(max(x[2] for x in mine.values()) // 1000 + idle_ms, passed + 1)
+            else:
+                over = due[key] < passed
+            if over:
+                rows.append(row(key, have.pop(key)))
+                del due[key]
+        if have:
+            flat = [(*key, s, *have[key][s], due[key]) for key in have for s in sorted(have[key])]
+            state.update(tuple(list(x) for x in zip(*flat)))
+            state.setTimeoutTimestamp(max(min(due.values()), passed + 1))
+        elif state.exists:
             state.remove()
-            yield row(key, have)
-            return
-        for part in parts:
-            for s, kind, payload, at in zip(part["sequence"], part["kind"], part["payload"], _micros(part["ts"])):
-                have.setdefault(int(s), (kind, payload, at))
-        last = [s for s, x in have.items() if x[0] == "done"]
-        if last and all(s in have for s in range(1, min(last))):
-            state.remove() if state.exists else None
-            yield row(key, have)
-            return
-        order = sorted(have)
-        state.update((order, [have[s][0] for s in order], [have[s][1] for s in order], [have[s][2] for s in order]))
-        state.setTimeoutTimestamp(max(max(x[2] for x in have.values()) // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
-
-    rows = events.select(*response, "kind", F.col("sequence").cast("bigint").alias("sequence"), "ts", F.col("payload").cast("string").alias("payload"))
-    return rows.withWatermark("ts", delay).groupBy(*response).applyInPandasWithState(step, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+        if rows:
+            yield pd.DataFrame(rows, columns=[*response, *told])
+
+    rows = events.select(
+        F.pmod(F.xxhash64(*response), F.lit(parts)).alias("_part"), *[F.col(c).cast("string").alias(c) for c in response], "kind",
+        F.col("sequence").cast("bigint").alias("sequence"), "ts", F.col("payload").cast("string").alias("payload"))
+    over = rows.withWatermark("ts", delay).groupBy("_part").applyInPandasWithState(step, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+    return over.select(*[F.col(c).cast(of[c]).alias(c) for c in response], *told)
 
 
 def cached_stream(requests: DataFrame, keys: list[str], ttl: str = "2 hours", delay: str = "1 hour") -> DataFrame:

@@ -154,3 +154,11 @@ def test_stale_collections_of_a_bucketed_store(spark, tmp_path):
     assert {r.collection: r["count"] for r in left} == {n: 2 for n in names if n not in ("user_3", "user_a/b=c")}
     after = files_of(path)
     assert len([f for f, t in after.items() if before.get(f) == t]) >= 6
+
+
+def test_assembly_calls_python_per_part_not_per_response(spark):
+    """Null and large keys stay exact; the result is the same for one group and for many."""
+    rows = [(2**62 + i if i else None, k, s, at(i + s), f"{i}", 0) for i in range(40) for s, k in enumerate(["token", "citation", "done"], 1) if i % 9 != 8 or k != "token"]
+    df = spark.createDataFrame(rows, "response long, kind string, sequence long, ts timestamp, payload string, part int")
+    seen = [sorted(map(str, ev.replayed(df, "part", lambda s, n=n: stateful.assembled_stream(s, ["response"], parts=n), []).collect())) for n in (1, 16)]
+    assert seen[0] == seen[1] and len(seen[0]) == 40 - len(range(8, 40, 9))
