@@ -131,7 +131,10 @@ def fn_cosine(spark, sf):
     return e.join(nxt, "vec_id").select("vec_id", F.round(maths.dot("embedding", "other"), 6).alias("cosine"))
 
 
-@query("fn_l2_normalize", "SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE * 3 / sqrt(list_inner_product(list_transform(embedding, lambda y: y::DOUBLE * 3), list_transform(embedding, lambda y: y::DOUBLE * 3))), 6)) AS unit FROM embeddings")
+# a zero vector stays zero, as in the operator; places are rounded half up in the number's shortest decimal form, as Spark does
+@query("fn_l2_normalize", """
+    SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN n = 0 THEN 0.0::DOUBLE WHEN isfinite(x::DOUBLE * 3 / n) THEN (x::DOUBLE * 3 / n)::VARCHAR::DECIMAL(38, 6)::DOUBLE ELSE x::DOUBLE * 3 / n END) AS unit
+    FROM (SELECT vec_id, embedding, sqrt(list_inner_product(list_transform(embedding, lambda y: y::DOUBLE * 3), list_transform(embedding, lambda y: y::DOUBLE * 3))) AS n FROM embeddings)""")
 def fn_l2_normalize(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 3).alias("e"))
     return e.select("vec_id", F.transform(maths.l2_normalize("e"), lambda x: F.round(x, 6)).alias("unit"))
