@@ -218,7 +218,8 @@ def form_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
         b = b.select("g", F.col("node").alias("y"), F.col("n").alias("n2"), F.col("p").alias("p2"), "band", "at")
         room = (1 - threshold) * (F.col("n1") + F.col("n2"))
         fits = (F.col("x") < F.col("y")) & (F.abs(F.col("n1") - F.col("n2")) < room) & (F.abs(F.col("p1") - F.col("p2")) < room)
-        found = a.join(b, ["g", "band", "at"]).filter(fits).select(F.col("x").alias("earlier"), F.col("y").alias("later")).distinct()
+        # by shuffle: the size of the written grams, which Spark goes by, is far below that of their nine copies
+        found = a.join(b.hint("merge"), ["g", "band", "at"]).filter(fits).select(F.col("x").alias("earlier"), F.col("y").alias("later")).distinct()
         out = found if out is None else out.unionByName(found).distinct()
     return nodes.select(F.col("node").alias("earlier"), F.col("node").alias("later")).limit(0) if out is None else out
 

@@ -426,6 +426,13 @@ def test_a_common_word_does_not_pair_all_questions(spark):
     assert 50 <= qa.form_pairs(spark.createDataFrame(list(enumerate(forms)), "node long, form string"), 0.88).count() < 0.02 * len(forms) ** 2 / 2
 
 
+def test_leading_grams_are_not_broadcast(spark):
+    """Their copies are many times what was written; they never go through the driver."""
+    forms = [(i, f"some question {i} about nothing") for i in range(30)]
+    plan = qa.form_pairs(spark.createDataFrame(forms, "node long, form string"), 0.88)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_overlapping_spans_equal_brute_force(spark):
     """Spans of all lengths, empty and inverted ones, repeated rows, nulls; then a document with very many spans on both sides."""
     from askloom.operators import intervals
