@@ -31,6 +31,8 @@ from tokenizers import pre_tokenizers
 from askloom.llm import spans
 
 LONG_WORD = 256
+#: pieces of texts that are encoded at once, in spans.PIECE_BYTES; larger ones need more memory and are no faster
+PIECE = 0.5
 _NO_RANK = np.int32(1 << 30)
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
 # Unicode white space, and the endings that the splitting pattern keeps with their apostrophe.
@@ -297,7 +299,7 @@ class Encoded:
 
 def encode_pieces(content: bytes, column: pa.Array) -> Iterator[tuple[int, int, Encoded]]:
     v = _vocabulary(content)
-    for lo, hi, raw, at in spans.pieces(column, 2):  # larger pieces hold more words that are equal
+    for lo, hi, raw, at in spans.pieces(column, PIECE):
         yield lo, hi, Encoded(v, raw, at)
 
 

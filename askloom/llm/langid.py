@@ -31,6 +31,8 @@ from askloom.llm import spans
 
 BITS = 16
 ORDERS = (1, 2, 3)
+#: pieces of texts that are worked on at once, in spans.PIECE_BYTES: some thirty numbers are held for a character
+PIECE = 0.25
 _SCALE = 30.0  # brings the weighted frequencies near one
 
 
@@ -180,7 +182,7 @@ def document_frequencies(rows: DataFrame, text: str = "text") -> tuple[np.ndarra
     def run(batches):
         seen = np.zeros((1 << BITS) + 1, np.int64)  # the last is the number of rows
         for b in batches:
-            for _, _, raw, at in spans.pieces(b.column(0)):
+            for _, _, raw, at in spans.pieces(b.column(0), PIECE):
                 f, _, cut = _distinct(raw, at)
                 seen[:-1] += np.bincount(f, minlength=1 << BITS)
                 seen[-1] += np.count_nonzero(np.diff(cut))
@@ -210,7 +212,7 @@ def train(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str =
 
     def run(batches):
         for b in batches:
-            for lo, hi, raw, at in spans.pieces(b.column("t")):
+            for lo, hi, raw, at in spans.pieces(b.column("t"), PIECE):
                 f, count, cut = _distinct(raw, at)
                 share = count / np.maximum(np.add.reduceat(np.append(count, 0), cut[:-1]), 1).repeat(np.diff(cut)) if len(f) else count.astype(float)
                 yield pa.RecordBatch.from_arrays([
@@ -229,14 +231,15 @@ def train(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str =
 
 
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, lang_pred, score) of every row, with the ``keep`` columns passed through."""
+    """(key, lang_pred, score) of every row, with the ``keep`` columns passed through; a kept text travels once."""
     names_in = [f"c{i}" for i in range(len(keep) + 1)]
+    place = 1 + keep.index(text) if text in keep else len(names_in)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 ** BITS x max_labels weights
 
     def run(batches):
         m = sent.value
         for b in batches:
-            for lo, hi, raw, at in spans.pieces(b.column("t")):
+            for lo, hi, raw, at in spans.pieces(b.column(place), PIECE):
                 if m is None:
                     names, best = ["und"] * (hi - lo), np.zeros(hi - lo)
                 else:
@@ -250,7 +253,9 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
 
     columns = [docs[c].alias(name) for c, name in zip((key, *keep), names_in)]
     kinds = "".join(f"{name} {docs.schema[c].dataType.simpleString()}, " for c, name in zip((key, *keep), names_in))
-    return docs.select(*columns, docs[text].alias("t")).mapInArrow(run, f"{kinds}lang_pred string, score double").toDF(key, *keep, "lang_pred", "score")
+    if text not in keep:
+        columns.append(docs[text].alias("t"))
+    return docs.select(*columns).mapInArrow(run, f"{kinds}lang_pred string, score double").toDF(key, *keep, "lang_pred", "score")
 
 
 def held_out(key: str = "doc_id"):

@@ -1,6 +1,9 @@
 """Held-out accuracy, independence of labels and places, odd rows."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from askloom.llm import langid, spans
@@ -117,3 +120,31 @@ def test_rejection_follows_the_number_of_languages(spark, sf):
     share = {r.known: r for r in told.groupBy("known").agg(F.avg((F.col("score") < least).cast("int")).alias("gone"), F.avg("score").alias("mean")).collect()}
     # how many of the unlearned language go depends on the size of the sample: README.md has figures
     assert share[True].gone <= 0.01 and share[False].mean < share[True].mean - 0.05, share
+
+
+def test_a_kept_text_travels_once(spark):
+    docs = spark.createDataFrame([(1, "ein Satz", "de"), (2, None, "en")], "doc_id long, text string, lang string")
+    for keep, n in ((("text", "lang"), 3), (("lang",), 3), ((), 2)):
+        told = langid.predict(docs, None, keep=keep)
+        assert told.columns == ["doc_id", *keep, "lang_pred", "score"]
+        node = told._jdf.queryExecution().analyzed()
+        while "MapInArrow" not in node.nodeName():
+            node = node.children().head()
+        assert node.children().head().output().size() == n
+        assert sorted(r.doc_id for r in told.collect()) == [1, 2]
+
+
+def test_memory_of_a_piece():
+    """Pieces keep a task's numbers small, and the scores do not depend on them."""
+    r = np.random.default_rng(1)
+    texts = pa.array(["".join(map(chr, r.integers(97, 123, 2000))) for _ in range(1500)])
+    model = langid.Model(("a", "b", "c", "d"), r.random((1 << langid.BITS, 4)).astype(np.float32), np.zeros(4), 1.0)
+    scores = lambda times: np.concatenate([model.scores(*langid.characters(raw, at))[0] for _, _, raw, at in spans.pieces(texts, times)])
+    want = scores(1)
+    tracemalloc.start()
+    got = scores(langid.PIECE)
+    for _, _, raw, at in spans.pieces(texts, langid.PIECE):
+        langid._distinct(raw, at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and peak < 100_000_000

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +34,18 @@ def test_union_setting_is_off(spark, sf):
     assert spark.conf.get("spark.sql.unionOutputPartitioning", "false") == "false"
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    """What travels to a Python worker at once follows neither the texts' length nor the lists'."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["size", "n"])
+
+    text = util.settle(spark).range(0, 10_000, 1, 1).select(F.repeat(F.lit("abcdefghi "), 300).alias("t"))
+    for df in (text, text.select(F.split("t", " ").alias("t"))):
+        got = df.mapInArrow(sizes, "size long, n long").collect()
+        assert sum(r.n for r in got) == 10_000 and max(r.size for r in got) < 1.1 * util.BATCH_BYTES
+
+
 def test_bm25_plan_shuffles_blocks_and_best_rows_only(spark, sf):
     """No shuffle by document: the asked terms' blocks by shard, then at most k rows per query and task."""
     tree = d.bm25_top(spark, sf, 10)._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
