@@ -12,6 +12,7 @@ def _towards_least(links: DataFrame, smaller_only: bool) -> DataFrame:
     """One star step on links (a, b): each node hands its least neighbour on to its other neighbours.
 
     Small step: to its smaller neighbours and itself. Large step: to its larger neighbours.
+    Links come out as they go in, distinct and from the larger node to the smaller one.
     """
     both = links if smaller_only else links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -34,16 +35,12 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of the links (a, b) of type long; the label is the least node reached.
 
     Alternating large and small star steps; each round is a written table, and the number of
-    rounds grows with the logarithm of the longest chain. Links to itself and nulls are ignored.
+    rounds grows with the logarithm of the longest chain. Links that are stars already, or none,
+    take no round. Links to itself and nulls are ignored.
     """
     util.settle(links.sparkSession)
-
-    def ordered(df: DataFrame) -> DataFrame:
-        return df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-    now = ordered(links.filter(F.col("a") != F.col("b")))
-    while True:
-        large = ordered(_towards_least(now, smaller_only=False))
-        now = util.staged(ordered(_towards_least(large, smaller_only=True)), "links")
-        if _all_stars(now):
-            return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
+    ordered = links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = util.staged(ordered, "links")
+    while not _all_stars(now):
+        now = util.staged(_towards_least(_towards_least(now, smaller_only=False), smaller_only=True), "links")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()

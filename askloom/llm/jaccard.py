@@ -186,8 +186,10 @@ class _Checker:
         new = self.nodes.join(ends, "node", "left_semi")
         if self.held is not None:
             new = new.join(self.held.select("node"), "node", "left_anti")
-        sets = util.staged(_sets(self.docs, util.staged(new.select("node", "rep"), "wanted"), *self.how), "sets")
-        self.held = sets if self.held is None else self.held.unionByName(sets)
+        wanted = util.staged(new.select("node", "rep"), "wanted")
+        if self.held is None or not wanted.isEmpty():
+            sets = util.staged(_sets(self.docs, wanted, *self.how), "sets")
+            self.held = sets if self.held is None else self.held.unionByName(sets)
         left = pairs.join(self.held.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
         both = left.join(self.held.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
@@ -203,6 +205,14 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return util.staged(labels.join(into, "label", "left").select("node", F.coalesce("into", "label").alias("label")), "labels")
 
 
+def _joined(labels: DataFrame, checker: _Checker, pairs: DataFrame) -> DataFrame:
+    """The labels after the similar ones among the written pairs; where there are none, nothing more is planned or run."""
+    if pairs.isEmpty():
+        return labels
+    links = checker.similar(pairs)
+    return labels if links.isEmpty() else _relabelled(labels, links)
+
+
 def _across(rows: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of nodes of different labels and near sizes that share a bucket in which the one that is not larger is early, and enough of their prefixes.
 
@@ -242,23 +252,26 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     ).withColumn("group", F.xxhash64("prefix", "n")), "nodes")
 
     leaders = nodes.groupBy("group").agg(F.min("node").alias("leader"))
-    groups = nodes.join(leaders, "group")
+    groups = util.staged(nodes.join(leaders, "group").select("node", "n", "leader"), "groups")
     # of two similar sets the one that is not larger has a common n-gram already in this shorter prefix
     brief = F.col("n") - F.ceil(F.col("n") * 2 * num / (num + den)) + 1
-    posting = groups.filter(F.col("node") == F.col("leader")).select("leader", F.posexplode("prefix").alias("pos", "token"), brief.alias("brief")).select(
-        "leader", "token", (F.col("pos") < F.col("brief")).alias("early"))
+    led = nodes.join(groups.filter(F.col("node") == F.col("leader")).select("node"), "node", "left_semi")
+    posting = led.select(F.col("node").alias("leader"), "n", F.posexplode("prefix").alias("pos", "token"), brief.alias("brief")).select(
+        "leader", "n", "token", (F.col("pos") < F.col("brief")).alias("early"))
     crowd = posting.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
     shared = util.staged(posting.join(crowd, "token"), "postings")
     checker = _Checker(docs, nodes, n, num, den, key, text)
-    sizes = nodes.select(F.col("node").alias("leader"), "n")
     inner = groups.filter(F.col("node") != F.col("leader")).select(F.col("node").alias("a"), F.col("leader").alias("b"))
     several = groups.groupBy("leader").agg(F.count("*").alias("m")).filter("m > 1").select("leader")
     labels = nodes.select("node", F.col("node").alias("label"))
     for turn, size in enumerate(_HANDS):
-        live = shared.join(sizes, "leader").join(labels.withColumnRenamed("node", "leader"), "leader")
+        live = shared.withColumn("label", F.col("leader"))
         if turn:
-            mixed = live.filter(F.col("c") > _HANDS[0]).groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-            live = live.join(mixed, "token")
+            known = shared.filter(F.col("c") > _HANDS[0]).join(labels.withColumnRenamed("node", "leader"), "leader")
+            mixed = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
+            live = util.staged(known.join(mixed, "token"), "live")
+            if live.isEmpty():
+                break
         bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("c") / size))).cast("int")
         hand = F.pmod(F.xxhash64("leader", F.lit(turn)), F.pow(F.lit(2), bits).cast("long"))
         dealt = live.select("token", hand.alias("hand"), "leader", "n", "label", "early")
@@ -266,7 +279,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.hand") == F.col("y.hand")) & (F.col("x.leader") < F.col("y.leader"))
         met = x.join(y, meet & (F.col("x.label") != F.col("y.label")) & _near(F.col("x.n"), F.col("y.n"), num, den) & _early("x.n", "y.n", "x.early", "y.early"))
         pairs = checker.candidates(met.select(F.col("x.leader").alias("a"), F.col("y.leader").alias("b")).distinct())
-        labels = _relabelled(labels, checker.similar(util.staged(pairs if turn else pairs.unionByName(inner), "pairs")))
+        labels = _joined(labels, checker, util.staged(pairs if turn else pairs.unionByName(inner), "pairs"))
 
     member = util.staged(groups.join(labels, "node").select("node", "n", "leader", "label"), "members")
     # tokens that were not paired in full: of many groups, or with a group of several members
@@ -276,14 +289,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     open_ = keyed.join(mixed, "bucket")
     # members of one group share the whole prefix: one bucket more for groups that are not connected
     inside = member.groupBy("leader").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("leader")
-    open_ = util.staged(open_.select("bucket", "node", "n", "label", "early"), "open")
-    crossing = _across(open_, nodes, num, den)
     apart = member.join(inside, "leader").select(F.col("leader").alias("bucket"), "node", "n", "label", F.lit(True).alias("early"))
-    within = _across(apart, nodes, num, den)
-    ordered = crossing.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = util.staged(ordered, "pairs")
-    if not more.isEmpty():
-        labels = _relabelled(labels, checker.similar(more))
+    open_ = util.staged(open_.select("bucket", "node", "n", "label", "early").unionByName(apart), "open")
+    if not open_.isEmpty():
+        crossing = _across(open_, nodes, num, den)
+        ordered = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        labels = _joined(labels, checker, util.staged(ordered, "pairs"))
 
     whole = nodes.select("node", "rep").join(labels, "node")
     least = whole.groupBy("label").agg(F.min("rep").alias("component_id"))

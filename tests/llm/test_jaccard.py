@@ -66,3 +66,22 @@ def test_odd_tables(spark):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(rows, 3, 90, 100).collect())
     assert got[1:] == [(0, 2, 1), (1, 2, 1), (1, 2, 1), (5, 1, 5)] and got[0] == (0, 0, None)
     assert jaccard.near_duplicates(rows.limit(0)).count() == 0
+
+
+def test_steps_without_links_are_not_run(spark, monkeypatch):
+    """Each step is a plan in the driver's memory: what has nothing to do writes no table, and links that are stars take no round."""
+    from askloom import util
+    from askloom.llm import graph
+
+    written, staged = [], util.staged
+    monkeypatch.setattr(util, "staged", lambda df, label: (written.append(label), staged(df, label))[1])
+    words = [f"w{i}" for i in range(40)]
+    copies = [(i, " ".join([*words[:20], f"x{i}", *words[20:]])) for i in range(1, 4)]
+    rows = spark.createDataFrame([*copies, (9, "quite another text of a few words")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(rows, 2, 80, 100).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 9: 9}
+    assert [written.count(x) for x in ("verified", "links", "labels")] == [1, 2, 1]  # links: as given, and one round
+    written.clear()
+    links = spark.createDataFrame([(2, 1), (1, 3), (5, 4), (4, 4), (None, 1)], "a long, b long")
+    assert sorted(map(tuple, graph.components(links).collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+    assert written == ["links"]
