@@ -122,13 +122,19 @@ def build_pairs(outputs: DataFrame, key: str, doc: str, target: int | None = Non
 
 
 def build_counters(outputs: DataFrame) -> DataFrame:
-    """(reason, n): first_ok, retry_ok, skip_invalid and skip_dup."""
-    j = judged(outputs).withColumn("canonical", tx.canonical_string("query"))
+    """(reason, n): first_ok, retry_ok, skip_invalid and skip_dup.
+
+    Outputs are judged once: states are counted per form inside one aggregate. A filter on the
+    state, or a second branch over it, would judge all outputs again.
+    """
+    states = ("first_ok", "retry_ok", "skip_invalid")
     ok = F.col("state") != "skip_invalid"
-    per_form = j.groupBy("state", F.when(ok, F.col("canonical")).alias("canonical")).agg(F.count("*").alias("n"))
-    states = per_form.groupBy(F.col("state").alias("reason")).agg(F.sum("n").alias("n"))
-    dup = per_form.filter(ok).agg(F.coalesce(F.sum("n") - F.count_distinct("canonical"), F.lit(0)).alias("n"))
-    return states.unionByName(dup.select(F.lit("skip_dup").alias("reason"), "n"))
+    form = F.when(ok, tx.canonical_string("query")).alias("form")
+    forms = judged(outputs).select("state", form).groupBy("form").agg(*[F.count_if(F.col("state") == s).alias(s) for s in states])
+    sums = forms.agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in states], F.count("form").alias("forms"))
+    rows = [F.struct(F.lit(s).alias("reason"), F.col(s).alias("n")) for s in states]
+    dup = F.struct(F.lit("skip_dup").alias("reason"), (F.col("first_ok") + F.col("retry_ok") - F.col("forms")).alias("n"))
+    return sums.select(F.inline(F.array(*rows, dup))).filter((F.col("n") > 0) | (F.col("reason") == "skip_dup"))
 
 
 # ---- near-duplicate questions ---------------------------------------------------

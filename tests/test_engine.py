@@ -754,3 +754,21 @@ def test_unit_vectors_agree_on_zero_vectors(spark, tmp_path):
     halves = [(k + 0.5) / 1e6 for k in range(100, 2000, 7)]
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(halves)], "i int, x double").orderBy("i").select(F.round("x", 6)).collect()]
     assert got == [con.execute("SELECT ?::DOUBLE::VARCHAR::DECIMAL(38, 6)::DOUBLE", [x]).fetchone()[0] for x in halves]
+
+
+def test_counters_judge_each_output_once(spark, sf):
+    """One scan, and no filter that parses again; states without rows have none, skip_dup always has one."""
+    from askloom.plans import q_chunks
+
+    plan = qa.build_counters(q_chunks.outs(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and not re.search(r"Filter .*from_json", plan)
+    text = "the fee must be paid within 3 days if the form is late and due."
+    good = '{"query": "When must the late fee be paid?", "answer": "The fee must be paid within 3 days if the form is late."}'
+    rows = [("a", "d", text, good, ""), ("b", "d", text, "none", good), ("c", "d", text, good.replace("When", "What"), ""), ("e", "d", text, good, "")]
+    for n in (4, 1, 0):
+        outs = spark.createDataFrame(rows[:n], "chunk_id string, doc_id string, text string, raw string, raw_retry string")
+        judged = [(r.state, r.query) for r in qa.judged(outs).collect()]
+        canon = {q: one(spark, tx.canonical_string("q"), q=q) for s, q in judged if s != "skip_invalid"}
+        want = {s: sum(x == s for x, _ in judged) for s, _ in judged} | {"skip_dup": sum(s != "skip_invalid" for s, _ in judged) - len(set(canon.values()))}
+        assert {r.reason: r.n for r in qa.build_counters(outs).collect()} == want
+        assert n < 4 or want == {"first_ok": 3, "retry_ok": 1, "skip_dup": 2}
