@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import math
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askloom.functions import fixed, maths, rules
 from askloom.functions import text as tx
 from askloom.operators.decompose import first_json_pair
-from askloom.util import cut_lineage
+from askloom.operators.likeness import like_pairs
+from askloom.util import cut_lineage, global_rank, spread
 
 
 def select_chunks(chunks: DataFrame, doc: str, section: str, order: str, processed: DataFrame | None = None, key: str = "chunk_id",
@@ -151,83 +153,41 @@ def keep_first_of_pairs(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes if gone is None else nodes.join(gone.withColumnRenamed("n", "node"), "node", "left_anti")
 
 
-def _unmatched(n1: int, n2: int, threshold: float) -> int:
-    """The most characters that two strings with a ratio above ``threshold`` can leave unmatched, both together; -1: never above it."""
-    d = math.ceil((1 - threshold) * (n1 + n2) + 1e-9) - 1
-    d -= (d + n1 + n2) % 2  # unmatched + 2 x matched = both lengths
-    return d if d >= abs(n1 - n2) else -1
-
-
-def least_shared(n: int, q: int, threshold: float) -> int:
-    """``q``-grams of a string of length ``n`` that lie in common blocks with any string of a ratio above ``threshold``.
-
-    An unmatched character of its own spoils at most q of its grams, one of the other
-    string at most q - 1.
-    """
-    fewest = n
-    wide = (2 - threshold) / threshold
-    for m in range(max(1, math.floor(n / wide)), math.ceil(n * wide) + 1):
-        d = _unmatched(n, m, threshold)
-        if d >= 0:
-            own = (d + n - m) // 2
-            fewest = min(fewest, n - (q - 1) - q * own - (q - 1) * (d - own))
-    return fewest
-
-
-#: lengths for which ``least_shared`` is counted out; beyond, its limit per character is used
-_COUNTED = 400
+#: forms of a block at most, and characters of one
+BLOCK_ROWS, BLOCK_CHARS = 16_384, 2 * 1024 * 1024
 
 
 def form_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     """(earlier, later) nodes whose forms can have a ratio above ``threshold``; complete, with few others.
 
-    The matching blocks of such a pair hold at least ``least_shared`` grams of each side, at
-    positions that differ by no more than the unmatched characters. In an order with rare
-    grams first (then by position), the first gram of the blocks has that many minus one
-    after it on both sides, so it is among the leading grams of both. Pairs come from an
-    equi-join of leading grams on (gram, length band, stretch of positions). Frequent grams
-    come last in the order and are hardly ever leading ones, so a gram of every form pairs
-    nothing. Lengths at which 3-grams are not certain are joined on single characters too.
+    Forms in order of length become blocks of bounded size; two blocks whose lengths allow a
+    pair are a cell, and cells are dealt out evenly. ``likeness.like_pairs`` leaves the pairs
+    of a cell whose longest common subsequence is long enough. The pairs looked at grow with the
+    square of the forms, memory does not: a task holds the two blocks of a cell.
     """
-    n, form = F.length("form"), F.col("form")
-    wide = (2 - threshold) / threshold
-    longest = nodes.agg(F.max(n)).first()[0] or 0
-    out = None
-
-    def pieces(q):
-        return F.when(n >= q, F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.substring(form, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
-
-    weak = [m for m in range(1, _COUNTED + 1) if least_shared(m, 3, threshold) < 1]
-    slope = min(1 - 3 * (1 - 1 / wide), 1 - 2 * (wide - 1))  # the other string as short, and as long, as it can be
-    if slope * _COUNTED - 3 < 1:
-        weak = list(range(1, longest + 1))
-    for q, top in ((3, longest), (1, math.ceil(max(weak, default=0) * wide))):
-        some = nodes.filter(n <= top) if q == 1 else nodes
-        if top == 0:
-            continue
-        counted = F.array(*[F.lit(max(0, least_shared(m, q, threshold))) for m in range(1, min(_COUNTED, max(1, top)) + 1)])
-        per_char = 1 / wide if q == 1 else slope
-        shared = F.when(n <= F.lit(_COUNTED), F.get(counted, n - 1)).otherwise(F.floor(n * F.lit(per_char)) - 3)
-        grams = some.select("node", n.alias("n"), shared.alias("c"), F.posexplode(pieces(q)).alias("p", "g")).filter("c > 0")
-        freq = grams.groupBy("g").agg(F.count("*").alias("df"))
-        order = grams.join(freq, "g").groupBy("node", "n", "c").agg(F.array_sort(F.collect_list(F.struct("df", "g", "p"))).alias("o"))
-        lead = order.select("node", "n", F.explode(F.slice("o", F.lit(1), F.greatest(F.size("o") - F.col("c").cast("int") + 1, F.lit(0)))).alias("k")).filter("k.df > 1")
-        lead = cut_lineage(lead.select("node", "n", "k.g", "k.p", F.floor(F.log(F.col("n")) / math.log(wide)).cast("int").alias("band")))
-
-        def stretch(band):  # no shift in a pair is longer than this
-            return F.ceil(F.pow(F.lit(wide), band + 1) * ((1 - threshold) * (1 + wide))) + 1
-
-        near = [F.lit(i) for i in (-1, 0, 1)]
-        a = lead.select("g", F.col("node").alias("x"), F.col("n").alias("n1"), F.col("p").alias("p1"), "band", F.floor(F.col("p") / stretch(F.col("band"))).alias("at"))
-        b = lead.withColumn("band", F.explode(F.transform(F.array(*near), lambda i: F.col("band") + i)))
-        b = b.withColumn("at", F.explode(F.transform(F.array(*near), lambda i: F.floor(F.col("p") / stretch(F.col("band"))) + i)))
-        b = b.select("g", F.col("node").alias("y"), F.col("n").alias("n2"), F.col("p").alias("p2"), "band", "at")
-        room = (1 - threshold) * (F.col("n1") + F.col("n2"))
-        fits = (F.col("x") < F.col("y")) & (F.abs(F.col("n1") - F.col("n2")) < room) & (F.abs(F.col("p1") - F.col("p2")) < room)
-        # by shuffle: the size of the written grams, which Spark goes by, is far below that of their nine copies
-        found = a.join(b.hint("merge"), ["g", "band", "at"]).filter(fits).select(F.col("x").alias("earlier"), F.col("y").alias("later")).distinct()
-        out = found if out is None else out.unionByName(found).distinct()
-    return nodes.select(F.col("node").alias("earlier"), F.col("node").alias("later")).limit(0) if out is None else out
+    n = F.length("form")
+    some = nodes.filter(n > 0).select("node", "form", n.alias("n"))
+    rows = F.lit(max(2_048, min(BLOCK_ROWS, some.count() // 64)))
+    kind = F.floor(F.log2("n"))
+    per = F.greatest(F.lit(1), F.least(rows, F.floor(F.lit(BLOCK_CHARS) / F.pow(F.lit(2), kind + 1))))
+    placed = global_rank(some, [F.col("n"), F.col("node")]).withColumn("block", kind * F.lit(2**40) + F.floor((F.col("rank") - 1) / per))
+    packed = placed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("n", "node", "form"))).alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
+    blocks = cut_lineage(packed)
+    a, b = (blocks.select(F.col("block").alias(x), F.col("low").alias(f"{x}_low"), F.col("high").alias(f"{x}_high")) for x in "ij")
+    reach = 2.0 * F.col("i_high") / (F.col("i_high") + F.col("j_low")) > threshold  # one row per block on either side
+    cells = cut_lineage(a.join(b, (F.col("i") == F.col("j")) | ((F.col("i") < F.col("j")) & reach)).select("i", "j"))
+    sides = cells.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    dealt = spread(sides.join(blocks.select("block", "rows").hint("merge"), "block"), "i", "j")
+
+    def alike(cell: pa.Table) -> pa.Table:
+        sides = [pc.list_flatten(cell.sort_by("block").column("rows").slice(k, 1).combine_chunks()) for k in range(cell.num_rows)]
+        texts = [s.field("form").to_pylist() for s in sides]
+        x, y = like_pairs(texts[0], texts[1] if len(texts) > 1 else None, threshold)
+        return pa.table({"x": sides[0].field("node").take(pa.array(x)), "y": sides[-1].field("node").take(pa.array(y))})
+
+    kind = dict(nodes.dtypes)["node"]
+    found = dealt.groupBy("i", "j").applyInArrow(alike, f"x {kind}, y {kind}")
+    return found.select(F.least("x", "y").alias("earlier"), F.greatest("x", "y").alias("later")).filter("earlier < later").distinct()
 
 
 def question_dedup(questions: DataFrame, key: str, text: str, threshold: float = 0.88) -> DataFrame:

@@ -772,3 +772,54 @@ def test_counters_judge_each_output_once(spark, sf):
         want = {s: sum(x == s for x, _ in judged) for s, _ in judged} | {"skip_dup": sum(s != "skip_invalid" for s, _ in judged) - len(set(canon.values()))}
         assert {r.reason: r.n for r in qa.build_counters(outs).collect()} == want
         assert n < 4 or want == {"first_ok": 3, "retry_ok": 1, "skip_dup": 2}
+
+
+def syllable_forms(r, n):
+    """Forms of sorted words of common syllables: no gram is rare, few pairs are alike."""
+    parts = "an er tion re ing st th ed on ou ly en ti at or nt ha es wh he".split()
+    word = lambda: "".join(r.choice(parts) for _ in range(r.choice([2, 2, 3, 4])))
+    forms = {" ".join(sorted(word() for _ in range(r.choice([6, 12, 18, 24])))) for _ in range(n)}
+    for f in sorted(forms)[::10]:
+        at = r.randrange(len(f))
+        forms.add(f[:at] + "x" + f[at + 1:])
+    return sorted(forms)
+
+
+def test_forms_without_rare_grams_are_paired_exactly(spark, monkeypatch):
+    """What is compared in Python are the like pairs and hardly any others, over many blocks."""
+    forms = syllable_forms(random.Random(4), 300)
+    monkeypatch.setattr(qa, "BLOCK_CHARS", 8_000, raising=False)
+    got = {(p.earlier, p.later) for p in qa.form_pairs(spark.createDataFrame(list(enumerate(forms)), "node long, form string"), 0.88).collect()}
+    size = len(forms)
+    want = {(i, j) for j in range(size) for i in range(j) if SequenceMatcher(None, forms[j], forms[i]).quick_ratio() > 0.88
+            and SequenceMatcher(None, forms[j], forms[i], autojunk=False).ratio() > 0.88}
+    assert len(want) >= 20 and want <= got and len(got) < 0.002 * size ** 2 / 2
+
+
+@pytest.mark.parametrize("wide", [0, 64])
+def test_like_pairs_equal_the_longest_common_subsequence(wide, monkeypatch):
+    """One block and two, strings over one and several words of 64 places, on machine words and on whole numbers."""
+    from askloom.operators import likeness
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            old, row = row, [0]
+            for j, e in enumerate(b):
+                row.append(old[j] + 1 if c == e else max(old[j + 1], row[j]))
+        return row[-1]
+
+    monkeypatch.setattr(likeness, "WIDE", wide)
+    r, forms = random.Random(6), set()
+    for letters in ("ab", "abcdefgh ", "aéñüç中😀"):
+        for length in (1, 2, 7, 30, 64, 65, 140):
+            base = "".join(r.choice(letters) for _ in range(length))
+            forms |= {base, base[: length // 2] + "b" + base[length // 2:], base[length // 9:] + "a" * r.randrange(length // 9 + 1)}
+    forms = sorted(forms - {""}, key=len)
+    for threshold in (0.7, 0.88):
+        like = lambda i, j: 2.0 * common(forms[i], forms[j]) / (len(forms[i]) + len(forms[j])) > threshold
+        want = {(i, j) for j in range(len(forms)) for i in range(j) if like(i, j)}
+        got = set(zip(*(z.tolist() for z in likeness.like_pairs(forms, None, threshold))))
+        cut = len(forms) // 2
+        x, y = likeness.like_pairs(forms[:cut], forms[cut:], threshold)
+        assert want and got == want and set(zip(x.tolist(), (y + cut).tolist())) == {(i, j) for i, j in want if i < cut <= j}
