@@ -823,3 +823,42 @@ def test_like_pairs_equal_the_longest_common_subsequence(wide, monkeypatch):
         cut = len(forms) // 2
         x, y = likeness.like_pairs(forms[:cut], forms[cut:], threshold)
         assert want and got == want and set(zip(x.tolist(), (y + cut).tolist())) == {(i, j) for i, j in want if i < cut <= j}
+
+
+def rows_with_frequent_passages(r, n):
+    """Texts that share long frequent passages, edited copies, exact copies, short and empty texts, odd white space and letters."""
+    vocab = [f"w{i}" for i in range(400)] + ["Éa", "ß", "İx"]
+    common = [r.choices(vocab, k=70) for _ in range(3)]
+    rows = []
+    for i in range(n):
+        kind = i % 4
+        words = list(r.choice(common)) + r.choices(vocab, k=r.choice([0, 4, 12, 90])) if kind < 2 else r.choices(vocab, k=r.choice([1, 3, 5, 40]))
+        if kind == 3 and rows:
+            words = r.choice(rows)[1].split() or ["x"]
+            for _ in range(r.choice([0, 1, 2])):
+                words[r.randrange(len(words))] = r.choice(vocab)
+        rows.append((i, r.choice([" ", "\t", " \n"]).join(words)))
+    return rows + [(n, ""), (n + 1, "  \n"), (n + 2, None)]
+
+
+def test_exact_dedup_holds_no_whole_sets(spark, monkeypatch):
+    """Equal to the sequential rule with frequent members last in prefixes; what is written for all rows are prefixes."""
+    rows = rows_with_frequent_passages(random.Random(12), 240)
+    r = spark.createDataFrame(rows, "k bigint, text string")
+    monkeypatch.setattr(dedup, "HOT_LEAST", 5, raising=False)
+    written, stage = [], dedup.staged
+    monkeypatch.setattr(dedup, "staged", lambda df, label: written.append(out := stage(df, label)) or out)
+    kept = {x.k for x in dedup.keep_first(r, "k", threshold=0.85, exact=True).collect() if x.kept}
+    plain = [(k, t) for k, t in rows if t and t.strip()]
+    assert kept == set(greedy(plain, 0.85)) | {240, 241, 242}
+    longest = sum(len(shingles(t)) for _, t in plain)
+    listed = [(df, c) for df in written for c, kind in df.dtypes if kind == "array<bigint>"]
+    assert listed and all(df.agg(F.sum(F.size(c))).first()[0] < 0.4 * longest for df, c in listed)
+    got = {(x.kept, x.dropped): x.jaccard for x in dedup.removal_pairs(r, "k", threshold=0.85).collect()}
+    sets = {k: shingles(t) for k, t in plain}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in kept & set(sets) for b in set(sets) - kept}
+    want = {p: j for p, j in want.items() if p[0] != p[1] and j >= 0.85}
+    named = {}
+    for k in sorted(sets):
+        named.setdefault(frozenset(sets[k]), k)
+    assert want and {p: j for p, j in got.items()} == {(a, b): j for (a, b), j in want.items() if named[frozenset(sets[a])] == a}
